@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from caselake.functions.checks import failure
-from caselake.functions.text import value_shape
+from caselake.functions.text import iso_instant, value_shape
 from caselake.operators.store import Tables
 
 SEPARATOR = "\u001f"
@@ -50,7 +51,6 @@ def rule_failures(tenant: str | None = None) -> Column:
 
 def encode() -> Column:
     one_line = lambda c: F.translate(F.col(c), "\r\n" + SEPARATOR, "   ")
-    from caselake.functions.text import iso_instant
     parts = {"at": iso_instant(F.col("at")), "request": one_line("request"),
              "reason": F.coalesce(one_line("reason"), F.lit("")), "disclosed": F.array_join("disclosed", ","),
              "withheld": F.col("withheld").cast("string")}
@@ -90,7 +90,6 @@ class DisclosureLog:
         return release()
 
     def all(self) -> DataFrame:
-        from pyspark.sql.types import StructType
         return self.store.read("disclosures", StructType.fromDDL(SCHEMA))
 
     def between(self, start: Column, end: Column) -> DataFrame:

@@ -95,8 +95,7 @@ class Relational:
                     current = self._current(self.model[r.target])
                     if current is not None:
                         known[r.target] = current
-        lost = missing_references({**{n: known[n] for n in known}}, self.model) if any(
-            self.model[n].roles for n in after) else None
+        lost = missing_references(known, self.model)
         found = lost.limit(5).collect() if lost is not None else []
         if found:
             raise ProjectionRefused("nothing was changed; missing: " + ", ".join(

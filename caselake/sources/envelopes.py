@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 ENVELOPE = ("envelope_id string, source_id string, connector_instance_id string, ingest_timestamp timestamp, "
             "source_asserted_timestamp timestamp, payload binary, content_hash string, offset string")
@@ -51,17 +51,13 @@ def numbered_lines(spark: SparkSession, directory: str, glob: str = "*", encodin
         "row", F.monotonically_increasing_id())
     blocks = lines.groupBy("file_name", "block").agg(F.min("row").alias("first_row"), F.count("*").alias("n"))
     # One row per split: the running count is over splits of a file, not over its lines.
-    before = blocks.select("file_name", "block", "first_row", F.coalesce(F.sum("n").over(
-        _splits_before()), F.lit(0)).alias("before"))
+    earlier = Window.partitionBy("file_name").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    before = blocks.select("file_name", "block", "first_row",
+                           F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     return lines.join(before, ["file_name", "block"]).select(
         "file_name", "modified", "value", (F.col("row") - F.col("first_row") + F.col("before") + 1).alias("line_number"))
 
 
-def _splits_before():
-    from pyspark.sql import Window
-    return Window.partitionBy("file_name").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-
-
 def file_lines(spark: SparkSession, directory: str, source_id: str, glob: str = "*", skip_header_lines: int = 0,
                encoding: str = "UTF-8", instance: str = "file") -> DataFrame:
     """One envelope per non-blank line after the header; blank and header lines keep their numbers."""
