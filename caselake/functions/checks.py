@@ -89,6 +89,15 @@ def _single(e: Expect, name: str, c: Column, actual: T.DataType) -> list[Column]
     return out
 
 
+def _elements(e: Expect, c: Column, actual: T.ArrayType) -> list[Column]:
+    """Each non-null element on its own, reported as ``name[]``."""
+    if not _single(e, e.name, F.lit(None), actual.elementType):
+        return []
+    kept = F.filter(F.coalesce(c, F.array().cast(actual)), lambda x: x.isNotNull())
+    per = lambda x: F.array_compact(F.array(*_single(e, e.name + "[]", x, actual.elementType)))
+    return [F.flatten(F.transform(kept, per))]
+
+
 def failures(schema: Schema, cols: dict[str, tuple[Column, T.DataType]], extra: Column | None = None) -> Column:
     """Every failure of one record, in schema order, unexpected fields last.
 
@@ -108,11 +117,7 @@ def failures(schema: Schema, cols: dict[str, tuple[Column, T.DataType]], extra:
             checks.append(F.when(c.isNotNull(), failure(
                 e.name, "repeated", f"a list of {e.type}", value_shape(c, _java_type(actual)))))
         else:
-            def per(x, e=e, actual=actual):
-                return F.array_compact(F.array(*_single(e, e.name + "[]", x, actual.elementType)))
-            if _single(e, e.name, F.lit(None), actual.elementType):
-                kept = F.filter(F.coalesce(c, F.array().cast(actual)), lambda x: x.isNotNull())
-                nested.append(F.flatten(F.transform(kept, per)))
+            nested += _elements(e, c, actual)
     expected = f"no field beyond [{', '.join(schema.names)}]"
     if not schema.tolerant:
         for name, (c, actual, *present) in cols.items():
