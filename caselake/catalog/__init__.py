@@ -6,7 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from caselake.session import spread
+
 Query = Callable[[SparkSession, str], DataFrame]
+# Tables whose rows feed text-heavy expressions; a file too small to be split is spread over the cores.
+HEAVY = {"documents", "pages", "orders", "conversations"}
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
@@ -23,7 +27,8 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet")) if name in HEAVY else \
+        spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def money(c: str) -> Column:

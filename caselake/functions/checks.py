@@ -70,64 +70,98 @@ def _java_type(actual: T.DataType) -> str:
     return next((JAVA_NAMES[k] for k, v in SPARK_TYPES.items() if v == actual), actual.simpleString())
 
 
-def _single(e: Expect, name: str, c: Column, actual: T.DataType) -> list[Column]:
-    """Each check is null unless it fails; ``c`` is known to be non-null where it matters."""
+Check = tuple[Column, Column]
+"""(fails?, the failure to report)"""
+
+
+def _single(e: Expect, name: str, c: Column, actual: T.DataType) -> list[Check]:
     java = _java_type(actual)
     if not _is(actual, e.type):
-        return [F.when(c.isNotNull(), failure(name, "type", f"{e.type} ({JAVA_NAMES[e.type]})", value_shape(c, java)))]
+        return [(c.isNotNull(), failure(name, "type", f"{e.type} ({JAVA_NAMES[e.type]})", value_shape(c, java)))]
     out = []
     if e.type == "code" and e.codes:
-        out.append(F.when(~c.isin(list(e.codes)),
-                          failure(name, "codeList", f"one of [{', '.join(e.codes)}]", value_shape(c))))
+        out.append((~c.isin(list(e.codes)),
+                    failure(name, "codeList", f"one of [{', '.join(e.codes)}]", value_shape(c))))
     if e.type == "ref" and e.ref_type:
-        out.append(F.when(~c["typeName"].eqNullSafe(F.lit(e.ref_type)) & c.isNotNull(),
-                          failure(name, "refType", f"a reference to {e.ref_type}",
-                                  F.concat(F.lit("CanonicalRef("), c["typeName"], F.lit(")")))))
+        out.append((~c["typeName"].eqNullSafe(F.lit(e.ref_type)) & c.isNotNull(),
+                    failure(name, "refType", f"a reference to {e.ref_type}",
+                            F.concat(F.lit("CanonicalRef("), c["typeName"], F.lit(")")))))
     if e.pattern and isinstance(actual, T.StringType):
-        out.append(F.when(~c.rlike(rf"\A(?:{e.pattern})\z"),
-                          failure(name, "pattern", f"text matching {e.pattern}", value_shape(c))))
+        out.append((~c.rlike(rf"\A(?:{e.pattern})\z"),
+                    failure(name, "pattern", f"text matching {e.pattern}", value_shape(c))))
     return out
 
 
+def _gather(checks: list[Check]) -> Column:
+    """The failures as an array. Rows that pass, nearly all of them, only pay for the conditions."""
+    empty = F.array().cast(f"array<{FAILURE_TYPE}>")
+    if not checks:
+        return empty
+    any_fails = F.lit(False)
+    for fails, _ in checks:
+        any_fails = any_fails | F.coalesce(fails, F.lit(False))
+    return F.when(any_fails, F.array_compact(F.array(*[F.when(fails, f) for fails, f in checks]))).otherwise(empty)
+
+
 def _elements(e: Expect, c: Column, actual: T.ArrayType) -> list[Column]:
     """Each non-null element on its own, reported as ``name[]``."""
     if not _single(e, e.name, F.lit(None), actual.elementType):
         return []
     kept = F.filter(F.coalesce(c, F.array().cast(actual)), lambda x: x.isNotNull())
-    per = lambda x: F.array_compact(F.array(*_single(e, e.name + "[]", x, actual.elementType)))
-    return [F.flatten(F.transform(kept, per))]
-
+    return [F.flatten(F.transform(kept, lambda x: _gather(_single(e, e.name + "[]", x, actual.elementType))))]
 
-def failures(schema: Schema, cols: dict[str, tuple[Column, T.DataType]], extra: Column | None = None) -> Column:
-    """Every failure of one record, in schema order, unexpected fields last.
 
-    ``cols`` maps a field to its column and type, and optionally to a third column saying
-    whether the field is present at all (by default: whether it holds a value). A present
-    field the schema does not name is unexpected; ``extra`` maps further undeclared columns.
-    """
-    checks: list[Column] = []
+def _checks(schema: Schema, cols: dict[str, tuple]) -> tuple[list[Check], list[Column]]:
+    """The checks of a record, and separately those of its lists' elements, as arrays of failures."""
+    checks: list[Check] = []
     nested: list[Column] = []
     for e in schema.fields:
         c, actual = cols.get(e.name, (F.lit(None).cast(SPARK_TYPES[e.type]), SPARK_TYPES[e.type]))[:2]
         if e.required:
-            checks.append(F.when(c.isNull(), failure(e.name, "required", "a value", F.lit("absent"))))
+            checks.append((c.isNull(), failure(e.name, "required", "a value", F.lit("absent"))))
         if not e.repeated:
             checks += _single(e, e.name, c, actual)
         elif not isinstance(actual, T.ArrayType):
-            checks.append(F.when(c.isNotNull(), failure(
+            checks.append((c.isNotNull(), failure(
                 e.name, "repeated", f"a list of {e.type}", value_shape(c, _java_type(actual)))))
         else:
             nested += _elements(e, c, actual)
-    expected = f"no field beyond [{', '.join(schema.names)}]"
     if not schema.tolerant:
         for name, (c, actual, *present) in cols.items():
             if name not in schema.names:
-                checks.append(F.when(present[0] if present else c.isNotNull(), failure(
-                    name, "unexpectedField", expected, value_shape(c, _java_type(actual)))))
-        if extra is not None:
-            nested.append(F.coalesce(
-                F.transform(F.map_entries(extra), lambda kv: failure(
-                    kv["key"], "unexpectedField", expected, value_shape(kv["value"]))),
-                F.array().cast(f"array<{FAILURE_TYPE}>")))
-    flat = F.array_compact(F.array(*checks)) if checks else F.array().cast(f"array<{FAILURE_TYPE}>")
-    return F.concat(flat, *nested) if nested else flat
+                checks.append((present[0] if present else c.isNotNull(), failure(
+                    name, "unexpectedField", _expected(schema), value_shape(c, _java_type(actual)))))
+    return checks, nested
+
+
+def _expected(schema: Schema) -> str:
+    return f"no field beyond [{', '.join(schema.names)}]"
+
+
+def passes(schema: Schema, cols: dict[str, tuple], extra: Column | None = None) -> Column:
+    """Whether a record breaks no rule: conditions only, for the path every row takes."""
+    checks, nested = _checks(schema, cols)
+    ok = F.lit(True)
+    for fails, _ in checks:
+        ok = ok & ~F.coalesce(fails, F.lit(False))
+    for found in nested:
+        ok = ok & (F.size(found) == 0)
+    return ok if extra is None or schema.tolerant else ok & extra.isNull()
+
+
+def failures(schema: Schema, cols: dict[str, tuple], extra: Column | None = None) -> Column:
+    """Every failure of one record, in schema order, unexpected fields last.
+
+    ``cols`` maps a field to its column and type, and optionally to a third column saying
+    whether the field is present at all (by default: whether it holds a value). A present
+    field the schema does not name is unexpected; ``extra`` maps further undeclared columns.
+    """
+    checks, nested = _checks(schema, cols)
+    flat = _gather(checks)
+    if nested:
+        flat = F.concat(flat, *nested)
+    if extra is None or schema.tolerant:
+        return flat
+    surplus = F.transform(F.map_entries(extra), lambda kv: failure(
+        kv["key"], "unexpectedField", _expected(schema), value_shape(kv["value"])))
+    return F.when(extra.isNotNull(), F.concat(flat, surplus)).otherwise(flat)

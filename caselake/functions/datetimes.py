@@ -75,7 +75,12 @@ def compile_pattern(pattern: str) -> NumericPattern | None:
     return NumericPattern(rf"\A{regex}\z", tuple(parts))
 
 
-def _numbers(text: Column, compiled: NumericPattern) -> dict[str, Column]:
+def _inline(columns: list[Column]) -> list[Column]:
+    return columns
+
+
+def _numbers(text: Column, compiled: NumericPattern, bind=_inline) -> dict[str, Column]:
+    """The parts as numbers, each read once; text of the wrong shape gives nulls or nonsense, checked later."""
     out = {}
     for p in compiled.parts:
         if compiled.fixed:
@@ -83,7 +88,7 @@ def _numbers(text: Column, compiled: NumericPattern) -> dict[str, Column]:
         else:
             digits = F.regexp_extract(text, compiled.regex, p.group)
         out[p.name] = digits.try_cast("int") + F.lit(p.base)
-    return out
+    return dict(zip(out, bind(list(out.values()))))
 
 
 def _last_day(year: Column, month: Column, day: Column) -> Column:
@@ -91,12 +96,12 @@ def _last_day(year: Column, month: Column, day: Column) -> Column:
         F.least(day, F.dayofmonth(F.last_day(F.make_date(year, month, F.lit(1))))))
 
 
-def parse_date(text: Column, pattern: str) -> Column:
+def parse_date(text: Column, pattern: str, bind=_inline) -> Column:
     """Null when the text does not match; ``text`` is already trimmed and not blank."""
     compiled = compile_pattern(pattern)
     if compiled is None:
         return F.try_to_timestamp(text, F.lit(pattern)).cast("date")
-    n = _numbers(text, compiled)
+    n = _numbers(text, compiled, bind)
     if not {"year", "month", "day"} <= n.keys():
         raise ValueError(f"date pattern {pattern!r} needs year, month and day")
     ok = text.rlike(compiled.regex) & n["year"].between(1, 9999) & n["month"].between(1, 12) & n["day"].between(1, 31)
@@ -106,13 +111,13 @@ def parse_date(text: Column, pattern: str) -> Column:
     return F.when(ok, F.make_date(n["year"], n["month"], _last_day(n["year"], n["month"], n["day"])))
 
 
-def parse_local_datetime(text: Column, pattern: str, zone: str) -> Column:
+def parse_local_datetime(text: Column, pattern: str, zone: str, bind=_inline) -> Column:
     """Local wall-clock time in ``zone`` to an instant; a gap moves forward, an overlap takes the earlier offset."""
     compiled = compile_pattern(pattern)
     if compiled is None:
         local = F.try_to_timestamp(text, F.lit(pattern)).cast("timestamp_ntz")
         return F.convert_timezone(F.lit(zone), F.lit("UTC"), local).cast("timestamp")
-    n = _numbers(text, compiled)
+    n = _numbers(text, compiled, bind)
     if not {"year", "month", "day", "hour"} <= n.keys():
         raise ValueError(f"date-time pattern {pattern!r} needs a date and an hour")
     minute = n.get("minute", F.lit(0))
@@ -123,6 +128,7 @@ def parse_local_datetime(text: Column, pattern: str, zone: str) -> Column:
           & minute.between(0, 59) & second.between(0, 59))
     hour = F.when(n["hour"] == 24, F.lit(0)).otherwise(n["hour"])
     date = F.make_date(n["year"], n["month"], _last_day(n["year"], n["month"], n["day"]))
-    date = F.when(n["hour"] == 24, F.date_add(date, 1)).otherwise(date)
-    return F.when(ok, F.make_timestamp(F.year(date), F.month(date), F.dayofmonth(date),
-                                       hour, minute, second, F.lit(zone)))
+    at = F.make_timestamp(n["year"], n["month"], _last_day(n["year"], n["month"], n["day"]), hour, minute, second, F.lit(zone))
+    date = F.date_add(date, 1)
+    next_day = F.make_timestamp(F.year(date), F.month(date), F.dayofmonth(date), hour, minute, second, F.lit(zone))
+    return F.when(ok, F.when(n["hour"] == 24, next_day).otherwise(at))

@@ -37,36 +37,49 @@ def payload_text(payload: Column, charset: str = "UTF-8") -> Column:
     return F.decode(payload, charset)
 
 
-def split_values(line: Column, delimiter: str = ",", quote: str = '"') -> Column:
-    """Quotes may open anywhere, a doubled quote inside quotes is literal, an open quote runs on."""
+def raw_values(line: Column, delimiter: str = ",", quote: str = '"') -> Column:
+    """D1, first half: cut at the delimiters outside quotes; quotes may open anywhere, an open quote runs on."""
     d, q = quote_literal(delimiter), quote_literal(quote)
     quotes = F.length(line) - F.length(F.replace(line, F.lit(quote), F.lit("")))
     closed = F.when(quotes % 2 == 1, F.concat(line, F.lit(quote))).otherwise(line)
     field = f"((?:[^{q}{d}]++|{q}(?:[^{q}]++|{q}{q})*+{q})*+){d}"
-    raw = F.regexp_extract_all(F.concat(closed, F.lit(delimiter)), F.lit(field), F.lit(1))
-    quoted_part = f"{q}((?:[^{q}]++|{q}{q})*+){q}"
-    # A quoted run loses its outer quotes first; what is doubled after that was inside it.
-    unquoted = F.transform(
-        raw, lambda v: F.replace(F.regexp_replace(v, quoted_part, "$1"), F.lit(quote * 2), F.lit(quote)))
-    plain = F.split(line, d, -1)
-    return F.when(F.contains(line, F.lit(quote)), unquoted).otherwise(plain)
+    cut = F.regexp_extract_all(F.concat(closed, F.lit(delimiter)), F.lit(field), F.lit(1))
+    return F.when(F.contains(line, F.lit(quote)), cut).otherwise(F.split(line, d, -1))
+
+
+def unquote(value: Column, quote: str = '"') -> Column:
+    """D1, second half: a quoted run loses its outer quotes; a quote doubled after that was inside it."""
+    q = quote_literal(quote)
+    run = f"{q}((?:[^{q}]++|{q}{q})*+){q}"
+    plain = F.replace(F.regexp_replace(value, run, "$1"), F.lit(quote * 2), F.lit(quote))
+    return F.when(F.contains(value, F.lit(quote)), plain).otherwise(value)
+
+
+def split_values(line: Column, delimiter: str = ",", quote: str = '"') -> Column:
+    """Every value of one line."""
+    return F.transform(raw_values(line, delimiter, quote), lambda v: unquote(v, quote))
 
 
 def decode(df: DataFrame, spec: Delimited, payload: str = "payload", prefix: str = "",
            values: str = "_values") -> DataFrame:
     """Add every declared column, ``extra`` (columnN -> value, null when there is none) and
-    ``n_values``, the number of values the line held (a column past it is absent, not null)."""
+    ``n_values``, the number of values the line held (a column past it is absent, not null).
+
+    The line is read and cut once; declared columns take their value by position, so the
+    whole decode stays in generated code and only surplus values go through a lambda.
+    """
     n = len(spec.columns)
-    split = df.withColumn(values, split_values(payload_text(F.col(payload), spec.charset), spec.delimiter, spec.quote))
+    lines = df.withColumn(values, payload_text(F.col(payload), spec.charset))
+    cut = lines.withColumn(values, raw_values(F.col(values), spec.delimiter, spec.quote))
     got = F.col(values)
 
     def one(i: int) -> Column:
-        v = F.get(got, F.lit(i))
+        v = unquote(F.get(got, F.lit(i)), spec.quote)
         return empty_to_null(java_trim(v) if spec.trim_values else v)
 
-    tail = F.slice(got, F.lit(n + 1), F.size(got) - n)
+    tail = F.transform(F.slice(got, F.lit(n + 1), F.size(got) - n), lambda v: unquote(v, spec.quote))
     names = F.transform(tail, lambda _, i: F.concat(F.lit("column"), (i + n + 1).cast("string")))
     extra = F.when(F.size(got) > n, F.map_from_arrays(names, tail))
-    return split.withColumns({
+    return cut.withColumns({
         **{prefix + c: one(i) for i, c in enumerate(spec.columns)},
         prefix + "extra": extra, prefix + "n_values": F.size(got)}).drop(values)

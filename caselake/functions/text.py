@@ -8,6 +8,10 @@ from pyspark.sql import Column, functions as F
 
 # Fixed value: every character up to and including the space, what Java's trim removes.
 JAVA_TRIM_CHARS = "".join(chr(i) for i in range(0x21))
+# Fixed value: the characters Java counts as whitespace (no-break spaces are not among them).
+JAVA_WHITESPACE = "".join(map(chr, [
+    *range(0x09, 0x0E), *range(0x1C, 0x21), 0x1680, *range(0x2000, 0x2007), *range(0x2008, 0x200B), 0x2028, 0x2029,
+    0x205F, 0x3000]))
 SHAPE_LENGTH = 32
 
 
@@ -15,9 +19,14 @@ def java_trim(c: Column) -> Column:
     return F.btrim(c, F.lit(JAVA_TRIM_CHARS))
 
 
+def is_stated(c: Column) -> Column:
+    """Holds anything but whitespace; stops at the first such character and needs no regex."""
+    return F.ltrim(c, F.lit(JAVA_WHITESPACE)) != ""
+
+
 def blank_to_null(c: Column) -> Column:
     """Null and all-whitespace text are both absent."""
-    return F.when(c.rlike(r"\P{javaWhitespace}"), c)
+    return F.when(is_stated(c), c)
 
 
 def empty_to_null(c: Column) -> Column:

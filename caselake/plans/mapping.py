@@ -3,7 +3,8 @@
 A source row carries every hop's outcome as columns. The landed rows are decoded and mapped
 in one narrow pass and written once; every result (each type, quarantine, account, resolver
 input) then reads only its own columns of that table, with its state filter pushed to the
-scan. A hop whose identity is resolved adds one join on ``ord`` and one further table; the
+scan. That pass only decides; what exactly a held row broke is worked out afterwards, from
+the held rows alone. A hop whose identity is resolved adds one join on ``ord`` and one further table; the
 types finished before it never pay for that join.
 """
 
@@ -17,10 +18,10 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from caselake.functions import checks
 from caselake.functions.checks import Schema
 from caselake.functions.decode import Delimited, decode
-from caselake.functions.text import value_shape
+from caselake.functions.text import is_stated
 from caselake.functions.transforms import FAILURE_TYPE, MappingRefused, Scope, Step, Typed, build
 from caselake.model import ID, CanonicalType
-from caselake.session import materialise
+from caselake.session import materialise, spread
 
 PRODUCED, QUARANTINED, SKIPPED = "produced", "quarantined", "skipped"
 STEP_TYPES = {"string": T.StringType(), "date": T.DateType(), "timestamp": T.TimestampType(),
@@ -104,17 +105,32 @@ Resolver = Callable[[DataFrame, str], DataFrame]
 
 
 class _Frame:
-    """The wide DataFrame while it is being built; ``bind`` adds one evaluated-once column."""
+    """The wide DataFrame while it is being built.
+
+    Bound columns are evaluated once. They are collected by depth and added one projection
+    per depth for all hops together, so a long mapping is still a short stack of projections.
+    """
 
     def __init__(self, df: DataFrame):
         self.df = df
         self._n = 0
+        self._levels: dict[int, dict[str, Column]] = {}
+        self.at = 0
+
+    def start(self, depth: int) -> None:
+        self.at = depth
 
-    def bind(self, c: Column) -> Column:
-        self._n += 1
-        name = f"_t{self._n}"
-        self.df = self.df.withColumn(name, c)
-        return F.col(name)
+    def bind_all(self, columns: list[Column]) -> list[Column]:
+        self.at += 1
+        names = [f"_t{self._n + i}" for i in range(len(columns))]
+        self._n += len(columns)
+        self._levels.setdefault(self.at, {}).update(zip(names, columns))
+        return [F.col(n) for n in names]
+
+    def flush(self) -> None:
+        for depth in sorted(self._levels):
+            self.df = self.df.withColumns(self._levels[depth])
+        self._levels = {}
 
     def set(self, columns: dict[str, Column]) -> None:
         self.df = self.df.withColumns(columns)
@@ -137,22 +153,32 @@ def _source_columns(mapping: Mapping) -> dict[str, Column]:
     return {c: F.col("s_" + c) for c in mapping.decoder.columns}
 
 
-def _input_failures(mapping: Mapping, hop: Hop) -> Column:
+def _input_columns(mapping: Mapping) -> dict[str, tuple]:
     string = T.StringType()
-    cols = {c: (F.col("s_" + c), string, F.col("s_n_values") > i) for i, c in enumerate(mapping.decoder.columns)}
-    return checks.failures(hop.contract.expects, cols, F.col("s_extra"))
+    return {c: (F.col("s_" + c), string, F.col("s_n_values") > i) for i, c in enumerate(mapping.decoder.columns)}
+
+
+def _output_columns(hop: Hop, tag: str, emitted: dict[str, str]) -> dict[str, tuple]:
+    t = hop.contract.emits
+    cols = {ID: (F.col(tag + "id"), T.StringType())}
+    cols.update({r: (F.col(tag + "r_" + r), t.schema()[r].dataType) for r in hop.roles if t.role(r)})
+    cols.update({f: (F.col(tag + "v_" + f), STEP_TYPES[k], F.lit(True)) for f, k in emitted.items()})
+    return cols
 
 
 def _run_steps(frame: _Frame, mapping: Mapping, hop: Hop):
-    scope = Scope(_source_columns(mapping), bind=frame.bind)
+    """Bind the hop's steps (the caller flushes); a step starts below the deepest step it reads."""
+    scope = Scope(_source_columns(mapping), bind_all=frame.bind_all)
+    depth: dict[str, int] = {}
     traced = []
     for step in hop.steps:
+        frame.start(max([depth.get(n, 0) for n in step.source], default=0))
         inputs = {n: scope.value(n).as_text() for n in step.source}
         built = build(step, scope)
-        value = Typed(frame.bind(built.value.col), built.value.type)
-        failed = frame.bind(built.failure) if built.failure is not None else None
+        value = Typed(frame.bind_all([built.value.col])[0], built.value.type)
         scope.emitted[step.target] = value
-        traced.append((step, inputs, value, failed))
+        depth[step.target] = frame.at
+        traced.append((step, inputs, value, built))
     return scope, traced
 
 
@@ -162,6 +188,12 @@ def _identity_failure(message: str | Column) -> Column:
                     expected.alias("expected"), F.lit("absent").alias("shape"))
 
 
+def _identity_part(name: str, given: dict[str, Typed], identity_of: Callable[[str], Column]) -> Column:
+    if name.endswith("." + ID):
+        return identity_of(name[: -len(ID) - 1])
+    return given[name].as_text() if name in given else F.lit(None).cast("string")
+
+
 def _none(failed: list[Column]) -> Column:
     return F.coalesce(*failed, F.lit(None).cast(FAILURE_TYPE)) if failed else F.lit(None).cast(FAILURE_TYPE)
 
@@ -230,6 +262,43 @@ class MappedRun:
         """The same rows as events, shapes only."""
         return self._held(with_values=False)
 
+    def _explained(self) -> DataFrame:
+        """The rows with a held hop, and per hop ``in``, ``fail``, ``idfail`` and ``out``: what broke, in that order."""
+        any_held = F.lit(False)
+        for d in self.done:
+            any_held = any_held | (F.col(d.tag + "state") == QUARANTINED)
+        frame = _Frame(self.wide.filter(any_held))
+        steps = {d.hop.id: _run_steps(frame, self.mapping, d.hop) for d in self.done}
+        frame.flush()
+        new = {}
+        by_hop = {d.hop.id: d for d in self.done}
+
+        def identity_of(hop_id: str) -> Column:
+            d = by_hop[hop_id]
+            return F.when(F.col(d.tag + "state") == PRODUCED, F.col(d.tag + "id"))
+
+        for d in self.done:
+            tag, hop = d.tag, d.hop
+            scope, traced = steps[hop.id]
+            new[tag + "in"] = checks.failures(hop.contract.expects, _input_columns(self.mapping), F.col("s_extra"))
+            new[tag + "fail"] = _none([b.failure for *_, b in traced if b.failure is not None])
+            missing = []
+            if hop.identity.mode == "resolve":
+                missing.append(F.when(F.col(tag + "id").isNull(), _identity_failure(
+                    "no identity-bearing attribute was produced for entity type " + hop.identity.entity_type)))
+            for name in hop.identity.derive_from:
+                part = _identity_part(name, scope.emitted, identity_of)
+                missing.append(F.when(~F.coalesce(is_stated(part), F.lit(False)), _identity_failure(
+                    f"identity field '{name}' produced no value")))
+            for role, giver in hop.roles.items():
+                missing.append(F.when(identity_of(giver).isNull(), _identity_failure(
+                    f"role '{role}' expects an identity from hop '{giver}', which produced none")))
+            new[tag + "idfail"] = _none(missing)
+            new[tag + "out"] = checks.failures(checks.schema_of(hop.contract.emits), _output_columns(hop, tag, d.emitted))
+        frame.set(new)
+        frame.drop_bound()
+        return frame.df
+
     def _held(self, with_values: bool) -> DataFrame:
         entries = []
         source_json = F.to_json(F.struct(*[c.alias(n) for n, c in _source_columns(self.mapping).items()],
@@ -237,17 +306,20 @@ class MappedRun:
         for d in self.done:
             t, tag, h = d.hop.contract.emits, d.tag, d.hop
             at_input = F.size(tag + "in") > 0
+            step, identity = F.col(tag + "fail"), F.col(tag + "idfail")
+            broke = F.when(at_input, F.col(tag + "in")).when(step.isNotNull(), F.array(step)) \
+                .when(identity.isNotNull(), F.array(identity)).otherwise(F.col(tag + "out"))
             cols = [F.lit(h.id).alias("hop"), F.lit(f"{h.contract.id}@{h.contract.version}").alias("contract"),
                     F.when(at_input, "input").otherwise("output").alias("direction"),
                     F.when(at_input, self.mapping.decoder.emits).otherwise(t.name).alias("record_type"),
-                    F.col(tag + "failures").alias("failures")]
+                    broke.alias("failures")]
             if with_values:
                 output = F.to_json(F.struct(F.col(tag + "id").alias(ID),
                                             *[F.col(tag + "v_" + f).alias(f) for f in d.emitted]))
-                at_output = F.col(tag + "gate")
+                at_output = ~at_input & step.isNull() & identity.isNull()
                 cols.append(F.when(at_output, output).otherwise(source_json).alias("values"))
             entries.append(F.when(F.col(tag + "state") == QUARANTINED, F.struct(*cols)))
-        held = self.wide.select("envelope_id", "ord", F.explode(F.array_compact(F.array(*entries))).alias("e"))
+        held = self._explained().select("envelope_id", "ord", F.explode(F.array_compact(F.array(*entries))).alias("e"))
         out = [F.sha2(F.concat_ws("\u001f", F.lit(self.run_id), "envelope_id", "e.hop"), 256).alias("quarantine_id"),
                F.lit(self.run_id).alias("run_id"), F.lit(self.mapping.source_id).alias("source_id"),
                "envelope_id", "ord", "e.*"]
@@ -308,91 +380,85 @@ def account_row(counted: DataFrame, hops: int) -> DataFrame:
 def run_mapping(envelopes: DataFrame, mapping: Mapping, resolvers: dict[str, Resolver] | None = None,
                 run_id: str = "run") -> MappedRun:
     """``envelopes`` needs ``envelope_id``, a unique ascending ``ord`` and ``payload``."""
-    kept = envelopes.select("envelope_id", "ord", "payload")
+    kept = spread(envelopes.select("envelope_id", "ord", "payload"))
     frame = _Frame(decode(kept, mapping.decoder, prefix="s_").drop("payload"))
+    hops = [(f"h{i}_", hop) for i, hop in enumerate(mapping.ordered())]
     done: dict[str, _Done] = {}
 
-    def write(label: str) -> None:
-        frame.df = materialise(frame.df, label)
+    def write() -> None:
+        frame.df = materialise(frame.df, "mapped")
         for d in done.values():
             d.df = d.df if d.df is not None else frame.df
 
-    def identity_of(hop_id: str) -> Column:
-        if hop_id not in done:
-            return F.lit(None).cast("string")
-        tag = done[hop_id].tag
-        return F.when(F.col(tag + "state") == PRODUCED, F.col(tag + "id"))
+    # Gates on the source row and every hop's steps depend on nothing but the row.
+    steps = {hop.id: _run_steps(frame, mapping, hop) for _, hop in hops}
+    frame.flush()
+    first = {}
+    for tag, hop in hops:
+        scope, traced = steps[hop.id]
+        ok = checks.passes(hop.contract.expects, _input_columns(mapping), F.col("s_extra"))
+        for _, _, _, built in traced:
+            if built.failed is not None:
+                ok = ok & ~built.failed
+        first[tag + "ok"] = ok
+        for name, value in scope.emitted.items():
+            first[tag + "v_" + name] = value.col
+    frame.set(first)
+    frame.drop_bound()
+
+    for tag, hop in hops:
+        t, scope = hop.contract.emits, steps[hop.id][0]
+        given = {f: Typed(F.col(tag + "v_" + f), v.type) for f, v in scope.emitted.items()}
+        state_of = {h: F.col(d.tag + "state") for h, d in done.items()}
+
+        def identity_of(hop_id: str) -> Column:
+            if hop_id not in done:
+                return F.lit(None).cast("string")
+            return F.when(state_of[hop_id] == PRODUCED, F.col(done[hop_id].tag + "id"))
 
-    for i, hop in enumerate(mapping.ordered()):
-        tag, t = f"h{i}_", hop.contract.emits
         skip = F.lit(False)
         for dep in hop.depends_on:
-            skip = skip | (F.col(done[dep].tag + "state") != PRODUCED)
-        frame.set({tag + "in": _input_failures(mapping, hop)})
-        scope, traced = _run_steps(frame, mapping, hop)
-        frame.set({tag + "fail": _none([f for *_, f in traced if f is not None])})
-        reached = ~skip & (F.size(tag + "in") == 0) & F.col(tag + "fail").isNull()
+            skip = skip | (state_of[dep] != PRODUCED)
+        reached = ~skip & F.col(tag + "ok")
 
+        new = {}
         if hop.identity.mode == "resolve":
-            given = {a: scope.emitted[f].as_text() for f, a in hop.identity.attributes.items() if f in scope.emitted}
-            if not given:
+            asked = {a: given[f].as_text() for f, a in hop.identity.attributes.items() if f in given}
+            if not asked:
                 raise MappingRefused(f"hop '{hop.id}' resolves an identity from no emitted field")
             if hop.identity.provider not in (resolvers or {}):
                 raise MappingRefused(f"hop '{hop.id}' needs resolver '{hop.identity.provider}'")
-            frame.set({tag + "ask": F.when(reached & F.coalesce(*given.values()).isNotNull(), F.struct(
-                *[c.alias(a) for a, c in given.items()]))})
-            frame.set({tag + "reached": reached})
-            write("mapped")
-            reached = F.col(tag + "reached")
-            asked = frame.df.filter(F.col(tag + "ask").isNotNull()).select(
+            frame.set({tag + "ask": F.when(reached & F.coalesce(*asked.values()).isNotNull(), F.struct(
+                *[c.alias(a) for a, c in asked.items()]))})
+            write()
+            rows = frame.df.filter(F.col(tag + "ask").isNotNull()).select(
                 "ord", F.col("envelope_id").alias("record_key"), tag + "ask.*")
-            answer = resolvers[hop.identity.provider](asked, hop.identity.entity_type)
-            frame.df = frame.df.join(answer.select("ord", F.col("cluster_id").alias(tag + "id")), "ord", "left")
-            missing = F.when(F.col(tag + "id").isNull(), _identity_failure(
-                "no identity-bearing attribute was produced for entity type " + hop.identity.entity_type))
+            answer = resolvers[hop.identity.provider](rows, hop.identity.entity_type)
+            frame.df = frame.df.drop(tag + "ask").join(
+                answer.select("ord", F.col("cluster_id").alias(tag + "id")), "ord", "left")
+            identified = F.col(tag + "id").isNotNull()
         else:
-            parts, missing_parts = [], []
+            parts, identified = [], F.lit(True)
             for name in hop.identity.derive_from:
-                if name.endswith("." + ID):
-                    part = identity_of(name[: -len(ID) - 1])
-                else:
-                    part = scope.emitted[name].as_text() if name in scope.emitted else F.lit(None).cast("string")
+                part = _identity_part(name, given, identity_of)
                 parts.append(part)
-                present = F.coalesce(part, F.lit("")).rlike(r"\P{javaWhitespace}")
-                missing_parts.append(F.when(~present, _identity_failure(f"identity field '{name}' produced no value")))
-            missing = frame.bind(_none(missing_parts))
-            frame.set({tag + "id": F.when(missing.isNull(), F.concat(
-                F.lit(hop.identity.prefix), F.concat_ws("/", *parts)))})
+                identified = identified & F.coalesce(is_stated(part), F.lit(False))
+            new[tag + "id"] = F.when(identified, F.concat(F.lit(hop.identity.prefix), F.concat_ws("/", *parts)))
 
-        role_missing = []
         for role, giver in hop.roles.items():
             target = identity_of(giver)
-            frame.set({tag + "r_" + role: F.when(target.isNotNull(), F.struct(
-                F.lit(mapping.hop(giver).identity.entity_type).alias("typeName"), target.alias("id")))})
-            role_missing.append(F.when(target.isNull(), _identity_failure(
-                f"role '{role}' expects an identity from hop '{giver}', which produced none")))
-        frame.set({tag + "idfail": F.when(reached, _none([missing, *role_missing]))})
-
-        emitted = {f: v.type for f, v in scope.emitted.items() if f not in hop.scratch}
-        frame.set({tag + "v_" + f: scope.emitted[f].col for f in emitted})
-        cols = {ID: (F.col(tag + "id"), T.StringType())}
-        cols.update({r: (F.col(tag + "r_" + r), t.schema()[r].dataType) for r in hop.roles if t.role(r)})
-        cols.update({f: (F.col(tag + "v_" + f), STEP_TYPES[k], F.lit(True)) for f, k in emitted.items()})
-        ready = reached & F.col(tag + "idfail").isNull()
-        nothing = F.array().cast(f"array<{FAILURE_TYPE}>")
-        frame.set({tag + "out": F.when(ready, checks.failures(checks.schema_of(t), cols)).otherwise(nothing)})
-        frame.set({
-            tag + "gate": F.size(tag + "out") > 0,
-            tag + "failures": F.when(skip, nothing).when(F.size(tag + "in") > 0, F.col(tag + "in"))
-                .when(F.col(tag + "fail").isNotNull(), F.array(F.col(tag + "fail")))
-                .when(F.col(tag + "idfail").isNotNull(), F.array(F.col(tag + "idfail")))
-                .otherwise(F.col(tag + "out"))})
-        frame.set({tag + "state": F.when(skip, SKIPPED).when(F.size(tag + "failures") > 0, QUARANTINED)
-                  .otherwise(PRODUCED)})
-        frame.drop_bound()
-        frame.df = frame.df.drop(tag + "fail", tag + "idfail", tag + "out", tag + "ask", tag + "reached")
+            identified = identified & target.isNotNull()
+            new[tag + "r_" + role] = F.when(target.isNotNull(), F.struct(
+                F.lit(mapping.hop(giver).identity.entity_type).alias("typeName"), target.alias("id")))
+        new[tag + "ready"] = reached & identified
+        frame.set(new)
+
+        emitted = {f: v.type for f, v in given.items() if f not in hop.scratch}
+        good = F.col(tag + "ready") & checks.passes(checks.schema_of(t), _output_columns(hop, tag, emitted))
+        frame.set({tag + "state": F.when(skip, SKIPPED).when(good, PRODUCED).otherwise(QUARANTINED)})
+        frame.df = frame.df.drop(tag + "ok", *[tag + "v_" + f for f in given if f in hop.scratch])
         done[hop.id] = _Done(hop, tag, emitted)
-    write("mapped")
+    write()
     return MappedRun(mapping, run_id, frame.df, list(done.values()))
 
 
@@ -403,10 +469,12 @@ def trace(envelopes: DataFrame, mapping: Mapping, hop_id: str) -> DataFrame:
     """
     hop = mapping.hop(hop_id)
     frame = _Frame(decode(envelopes, mapping.decoder, prefix="s_").drop("payload"))
-    frame.set({"admitted": F.size(_input_failures(mapping, hop)) == 0})
+    frame.set({"admitted": checks.passes(hop.contract.expects, _input_columns(mapping), F.col("s_extra"))})
     _, traced = _run_steps(frame, mapping, hop)
+    frame.flush()
     lines, failed_before = [], F.lit(False)
-    for step, inputs, value, failed in traced:
+    for step, inputs, value, built in traced:
+        failed = built.failure
         names = F.array(*[F.lit(n) for n in inputs]).cast("array<string>")
         values = F.array(*inputs.values()).cast("array<string>")
         message = failed["expected"] if failed is not None else F.lit(None).cast("string")
@@ -434,7 +502,8 @@ def preview(envelopes: DataFrame, mapping: Mapping, resolvers: dict[str, Resolve
     at_gate = F.lit(False)
     held = F.lit(False)
     for d in run.done:
-        at_gate = at_gate | (F.size(d.tag + "in") > 0)
+        at_gate = at_gate | ((F.col(d.tag + "state") != SKIPPED) & ~checks.passes(
+            d.hop.contract.expects, _input_columns(mapping), F.col("s_extra")))
         held = held | (F.col(d.tag + "state") == QUARANTINED)
     made = {}
     for d in run.done:
@@ -446,8 +515,8 @@ def preview(envelopes: DataFrame, mapping: Mapping, resolvers: dict[str, Resolve
         return F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
 
     flag = lambda c: F.when(c, 1).otherwise(0)
-    stats = run.wide.agg(F.count("*").alias("landed"), n(flag(at_gate)).alias("gate_held"),
-                         n(flag(held & ~at_gate)).alias("map_held"),
+    stats = run.wide.withColumn("_gate", at_gate).agg(F.count("*").alias("landed"), n(flag(F.col("_gate"))).alias("gate_held"),
+                         n(flag(held & ~F.col("_gate"))).alias("map_held"),
                          *[n(c).alias("out_" + k) for k, c in made.items()])
     produced = sum((F.col("out_" + k) for k in made), F.lit(0).cast("bigint"))
     null = F.lit(None).cast("bigint")

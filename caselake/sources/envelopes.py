@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from caselake.functions.text import is_stated
+
 ENVELOPE = ("envelope_id string, source_id string, connector_instance_id string, ingest_timestamp timestamp, "
             "source_asserted_timestamp timestamp, payload binary, content_hash string, offset string")
 # The columns a reader of change or topic feeds always provides.
@@ -62,7 +64,7 @@ def file_lines(spark: SparkSession, directory: str, source_id: str, glob: str =
                encoding: str = "UTF-8", instance: str = "file") -> DataFrame:
     """One envelope per non-blank line after the header; blank and header lines keep their numbers."""
     kept = numbered_lines(spark, directory, glob, encoding).filter(
-        (F.col("line_number") > skip_header_lines) & F.col("value").rlike(r"\P{javaWhitespace}"))
+        (F.col("line_number") > skip_header_lines) & is_stated(F.col("value")))
     padded = F.when(F.length(F.col("line_number").cast("string")) < 6,
                     F.lpad(F.col("line_number").cast("string"), 6, "0")).otherwise(F.col("line_number").cast("string"))
     body = F.encode("value", encoding) if encoding.upper() not in ("UTF-8", "UTF8") else F.col("value").cast("binary")
