@@ -534,14 +534,14 @@ def i6_resolve(spark, sf):
 
 
 def conflicted(spark: SparkSession, sf: str) -> DataFrame:
-    """Line items as sightings: the part is the licence, the supplier the number, order and line the name."""
-    l = table(spark, sf, "lineitem")
-    return l.select(
-        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("ord"),
-        F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("record_key"),
-        F.when(F.col("l_returnflag") == "R", F.col("l_partkey").cast("string")).alias("driverLicenseId"),
-        F.when(F.col("l_linestatus") == "O", F.col("l_suppkey").cast("string")).alias("socialSecurityId"),
-        F.lit("Line").alias("surName"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("birthDate"))
+    """Events as sightings: the user is the licence of some, the value the number of others, type and hour the name and date."""
+    e = table(spark, sf, "events")
+    kind = F.col("event_type")
+    return e.select(
+        F.col("event_id").alias("ord"), F.col("event_id").cast("string").alias("record_key"),
+        F.when(kind.isin("click", "purchase"), F.col("user_id").cast("string")).alias("driverLicenseId"),
+        F.when(kind.isin("view", "click"), (F.col("value") * 10).cast("bigint").cast("string")).alias("socialSecurityId"),
+        kind.alias("surName"), F.date_format("ts", "yyyy-MM-dd HH").alias("birthDate"))
 
 
 @query("i7_tier_conflicts")

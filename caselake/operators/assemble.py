@@ -233,14 +233,15 @@ def _union(parts: list[DataFrame], like: DataFrame, schema: str) -> DataFrame:
 
 def submission_batches(documents: DataFrame, exchange: str, version: str, source_id: str,
                        size: int = 100, synthetic: bool = False) -> DataFrame:
-    """Request bodies of at most ``size`` documents, numbered in identity order within a range.
+    """Request bodies of at most ``size`` documents.
 
-    Documents are range-partitioned by identity and cut per partition, so no global sort
-    passes through one task; a batch never spans partitions.
+    Documents are spread by identity over a fixed number of partitions, sorted there and
+    cut into batches, so the same documents give the same batches and none spans a task.
     """
     if size < 1:
         raise ValueError("a batch holds at least one document")
-    ranged = documents.repartitionByRange(ID).sortWithinPartitions(ID) \
+    partitions = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = documents.repartition(partitions, ID).sortWithinPartitions(ID) \
         .withColumn("_row", F.monotonically_increasing_id())
     per_partition = F.shiftright("_row", 33)
     in_partition = F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))
