@@ -36,5 +36,13 @@ def money(c: str) -> Column:
     return F.col(c).cast("decimal(18,2)").cast("string")
 
 
+def side_by_side(*rows: DataFrame) -> DataFrame:
+    """One-row results as the columns of one row, without a join."""
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r, allowMissingColumns=True)
+    return out.agg(*[F.max(c).alias(c) for c in out.columns])
+
+
 def load() -> None:
     from caselake.catalog import mapped, raw, served  # noqa: F401

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from caselake.catalog import mapped, money, query, raw, table
+from caselake.catalog import mapped, money, query, raw, side_by_side, table
 from caselake.functions.text import shape
 from caselake.model import ID, CanonicalField, CanonicalType, Model, Role
 from caselake.operators import audit, graph, quality, search
@@ -64,7 +64,7 @@ CODE = "CASE o_orderstatus WHEN 'O' THEN 'VICTIM' WHEN 'F' THEN 'SUSPECT' ELSE '
 
 
 # -- V: versioned silver --------------------------------------------------------------------------------------
-def by_year(spark: SparkSession, sf: str) -> tuple[Tables, int]:
+def by_status(spark: SparkSession, sf: str) -> Silver:
     """Incidents appended once per order status; three snapshots."""
     silver = Silver(Tables(spark, scratch_path(spark, "silver"), "town"), MODEL)
     rows = changes(spark, sf)["Incident"].join(
@@ -85,19 +85,19 @@ def v1_schema(spark, sf):
 
 @query("v2_append_read", "SELECT 'I/' || CAST(o_orderkey AS VARCHAR) AS id, printf('N%012d', o_orderkey) AS number FROM orders")
 def v2_append_read(spark, sf):
-    return by_year(spark, sf).read("Incident").select(F.col(ID).alias("id"), F.col("incidentNumber").alias("number"))
+    return by_status(spark, sf).read("Incident").select(F.col(ID).alias("id"), F.col("incidentNumber").alias("number"))
 
 
 @query("v4_read_as_of", "SELECT 'I/' || CAST(o_orderkey AS VARCHAR) AS id FROM orders WHERE o_orderstatus IN ('F', 'O')")
 def v4_read_as_of(spark, sf):
-    return by_year(spark, sf).read("Incident", as_of=2).select(F.col(ID).alias("id"))
+    return by_status(spark, sf).read("Incident", as_of=2).select(F.col(ID).alias("id"))
 
 
 @query("v5_history", """
 SELECT CAST(ROW_NUMBER() OVER (ORDER BY s) AS BIGINT) AS snapshot_id, n AS added, CAST(SUM(n) OVER (ORDER BY s) AS BIGINT) AS total_records
 FROM (SELECT o_orderstatus AS s, COUNT(*) AS n FROM orders GROUP BY 1)""")
 def v5_history(spark, sf):
-    return by_year(spark, sf).history("Incident").select("snapshot_id", "added", "total_records")
+    return by_status(spark, sf).history("Incident").select("snapshot_id", "added", "total_records")
 
 
 @query("v5_history_by_column", """
@@ -109,19 +109,18 @@ def v5_history_by_column(spark, sf):
 
 @query("v6_counts", "SELECT 'Incident' AS type, COUNT(*) AS records FROM orders")
 def v6_counts(spark, sf):
-    silver = by_year(spark, sf)
+    silver = by_status(spark, sf)
     return spark.createDataFrame(list(silver.counts().items()), "type string, records bigint")
 
 
 @query("v7_drop_and_recreate", "SELECT COUNT(*) AS now, (SELECT COUNT(*) FROM orders) AS before FROM orders WHERE o_orderstatus = 'P'")
 def v7_drop_and_recreate(spark, sf):
-    silver = by_year(spark, sf)
+    silver = by_status(spark, sf)
     before = silver.read("Incident").select(ID)
     kept = silver.read("Incident").filter("beat IS NULL")
     silver.store.drop("Incident")
     silver.append({"Incident": kept})
-    return silver.read("Incident").agg(F.count("*").alias("now")).join(
-        F.broadcast(before.agg(F.count("*").alias("before"))), F.lit(True))
+    return side_by_side(silver.read("Incident").agg(F.count("*").alias("now")), before.agg(F.count("*").alias("before")))
 
 
 # -- R: replay -------------------------------------------------------------------------------------------------
@@ -147,8 +146,8 @@ def r1_replay(spark, sf):
     replay(ReplayRequest("dispatch", mapped.DISPATCH.qualified), bronze, silver, mapped.DISPATCH, resolvers)
     out = None
     for t, old in before.items():
-        one = versions.digest(silver.read(t)).select(F.lit(t).alias("type"), F.col("rows").alias("records"), "digest").join(
-            F.broadcast(versions.digest(old).select(F.col("digest").alias("was"))), F.lit(True)).select(
+        one = side_by_side(versions.digest(silver.read(t)).select(F.lit(t).alias("type"), F.col("rows").alias("records"), "digest"),
+                           versions.digest(old).select(F.col("digest").alias("was"))).select(
             "type", "records", (F.col("digest") == F.col("was")).alias("same"))
         out = one if out is None else out.unionByName(one)
     return out
@@ -156,7 +155,7 @@ def r1_replay(spark, sf):
 
 @query("r3_dry_run", "SELECT 'Incident' AS type, COUNT(*) AS records FROM orders UNION ALL SELECT 'Person', 0 UNION ALL SELECT 'PersonIncidentAssociation', 0")
 def r3_dry_run(spark, sf):
-    return spark.createDataFrame(list(dry_run(by_year(spark, sf), mapped.DISPATCH).items()), "type string, records bigint")
+    return spark.createDataFrame(list(dry_run(by_status(spark, sf), mapped.DISPATCH).items()), "type string, records bigint")
 
 
 @query("r5_equality_check", "SELECT COUNT(*) AS rows, TRUE AS reordered_same, FALSE AS shortened_same FROM lineitem")
@@ -164,8 +163,7 @@ def r5_equality_check(spark, sf):
     l = table(spark, sf, "lineitem")
     d = lambda df, name: versions.digest(df).select(F.col("rows").alias(name + "_rows"), F.col("digest").alias(name))
     a, b, c = d(l, "a"), d(l.repartition(7, "l_partkey"), "b"), d(l.filter("l_linenumber > 1"), "c")
-    joined = a.join(F.broadcast(b), F.lit(True)).join(F.broadcast(c), F.lit(True))
-    return joined.select(F.col("a_rows").alias("rows"), (F.col("a") == F.col("b")).alias("reordered_same"),
+    return side_by_side(a, b, c).select(F.col("a_rows").alias("rows"), (F.col("a") == F.col("b")).alias("reordered_same"),
                          (F.col("a") == F.col("c")).alias("shortened_same"))
 
 
@@ -280,8 +278,7 @@ def p10_all_or_nothing(spark, sf):
     except graph.ProjectionRefused:
         second = "refused"
     n = lambda t, name: rel.table(t).agg(F.count("*").alias(name))
-    return n("Person", "people").join(F.broadcast(n("Incident", "incidents")), F.lit(True)).join(
-        F.broadcast(n(LINK.name, "links")), F.lit(True)).withColumn("second", F.lit(second))
+    return side_by_side(n("Person", "people"), n("Incident", "incidents"), n(LINK.name, "links")).withColumn("second", F.lit(second))
 
 
 @query("p10_missing_references", """
@@ -313,7 +310,7 @@ def p12_run_tables(spark, sf):
     run = mapped.dispatch_run(spark, sf)
     rel.record_run(run.report(), run.violation_summary())
     total = rel.store.read("_violations").agg(F.sum("n").alias("violations"))
-    return rel.store.read("_runs").select("run_id").join(F.broadcast(total), F.lit(True))
+    return side_by_side(rel.store.read("_runs").select("run_id"), total)
 
 
 @query("p13_evolution", """
@@ -397,7 +394,7 @@ def p19_swap_on_rebuild(spark, sf):
     except Exception:  # noqa: BLE001
         state = "kept"
     new = store.read("orders")
-    return old.agg(F.count("*").alias("old_reader")).join(F.broadcast(new.agg(F.count("*").alias("new_reader"))), F.lit(True)) \
+    return side_by_side(old.agg(F.count("*").alias("old_reader")), new.agg(F.count("*").alias("new_reader"))) \
         .withColumn("after_failure", F.lit(state))
 
 
@@ -525,6 +522,7 @@ def trade(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
         F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias(ID),
         F.struct("l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice").alias("ord"),
         F.struct("l_orderkey", "l_partkey", "l_suppkey", "l_returnflag", "l_quantity").alias("v")), ID, "ord").select(ID, "v.*")
+    l = materialise(l, "lines")     # four of the tables below are views of it
     t = lambda c: F.col(c).cast("string")
     line = F.col(ID)
     return {
@@ -691,8 +689,8 @@ def l2_append_then_release(spark, sf):
         bad = "appended"
     except audit.DisclosureRefused:
         bad = "refused"
-    return log.all().agg(F.count("*").alias("recorded")).join(
-        F.broadcast(released.agg(F.count("*").alias("released"))), F.lit(True)).withColumn("bad", F.lit(bad))
+    return side_by_side(log.all().agg(F.count("*").alias("recorded")), released.agg(F.count("*").alias("released"))) \
+        .withColumn("bad", F.lit(bad))
 
 
 @query("l3_between", "SELECT printf('D%012d', o_orderkey) AS disclosure_id FROM orders WHERE o_orderdate >= TIMESTAMP '1997-01-01' AND o_orderdate < TIMESTAMP '1998-01-01'")

@@ -59,7 +59,10 @@ def failure(field: str | Column, rule: str, expected: str, shape: Column) -> Col
 
 
 def _is(actual: T.DataType, declared: str) -> bool:
-    return actual == SPARK_TYPES[declared] or (declared == "decimal" and isinstance(actual, T.DecimalType))
+    """Same type whatever its nullability; a decimal of any precision is a decimal."""
+    if declared == "decimal":
+        return isinstance(actual, T.DecimalType)
+    return actual.simpleString() == SPARK_TYPES[declared].simpleString()
 
 
 def _java_type(actual: T.DataType) -> str:
@@ -67,7 +70,8 @@ def _java_type(actual: T.DataType) -> str:
         return "List"
     if isinstance(actual, T.DecimalType):
         return "BigDecimal"
-    return next((JAVA_NAMES[k] for k, v in SPARK_TYPES.items() if v == actual), actual.simpleString())
+    name = actual.simpleString()
+    return next((JAVA_NAMES[k] for k, v in SPARK_TYPES.items() if v.simpleString() == name), name)
 
 
 Check = tuple[Column, Column]

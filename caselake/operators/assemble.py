@@ -8,11 +8,11 @@ with more keep their exact counts in the document, and their links come out whol
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from caselake.functions.text import blank_to_null, iso_instant
+from caselake.functions.text import iso_instant
 from caselake.model import ID, CanonicalType, Model
 from caselake.operators.merge import merge_rows
 
@@ -133,7 +133,6 @@ class Assembled:
     documents: DataFrame                     # canonicalId, document (struct), size, complete
     unresolved: DataFrame                    # from_type, from_id, association, role, target_type, target_id
     overflow: DataFrame                      # anchor_type, anchor_id, name, element_id, element (JSON)
-    parts: list[str] = field(default_factory=list)
 
     def json(self) -> DataFrame:
         return self.documents.select(ID, "size", "complete", F.to_json("document").alias("document"))
@@ -201,17 +200,18 @@ def assemble(spec: Assembly, tables: dict[str, DataFrame], model: Model,
         tail = [F.col("node")["elements"].alias("elements")] if s.follow else []
         element = F.struct(F.col("target").alias("_t"), F.col("link_id").alias("_l"),
                            F.struct(*node, F.col("via"), *tail).alias("e"))
-        counted = found.groupBy("anchor").agg(F.count("*").alias("n"), F.sum("size").alias("size"),
-                                              F.min("complete").alias("below"))
-        wide = counted.filter(F.col("n") > max_children).select("anchor", "n")
-        overflow.append(found.join(wide, "anchor", "left_semi").select(
+        # Which anchors are too long is decided on the bare links, so elements are joined and moved once.
+        long = link.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > max_children) \
+            .select("anchor", F.lit(True).alias("long"))
+        marked = found.join(long, "anchor", "left")
+        overflow.append(marked.filter("long").select(
             F.lit(at_type).alias("anchor_type"), F.col("anchor").alias("anchor_id"), F.lit(s.name).alias("name"),
             F.col("target").alias("element_id"), F.to_json(element["e"]).alias("element")))
-        lists = found.join(wide, "anchor", "left_anti").groupBy("anchor").agg(
-            F.sort_array(F.collect_list(element)).alias("sorted")) if max_children else None
-        items = lists.select("anchor", F.transform("sorted", lambda x: x["e"]).alias("items"))
-        return counted.join(items, "anchor", "left").select(
-            "anchor", "items", "size", (F.col("below") & (F.col("n") <= max_children)).alias("complete"))
+        gathered = marked.groupBy("anchor").agg(
+            F.sum("size").alias("size"), F.min("complete").alias("below"), F.max("long").alias("long"),
+            F.sort_array(F.collect_list(F.when(F.col("long").isNull(), element))).alias("sorted"))
+        return gathered.select("anchor", F.transform("sorted", lambda x: x["e"]).alias("items"), "size",
+                               (F.col("below") & F.col("long").isNull()).alias("complete"))
 
     top = nested(spec.root, spec.follow)
     documents = top.select(F.col("id").alias(ID), F.col("node").alias("document"), "size", "complete")

@@ -64,10 +64,9 @@ class Bronze:
         if landing_id in done:
             c = done[landing_id]
             return Landing(landing_id, c["first_batch"], c["last_batch"], c["records"], True)
-        foreign = envelopes.filter(~F.col("source_id").eqNullSafe(F.lit(source_id)))
         first = max([c["last_batch"] for c in done.values()], default=0) + 1
         numbered = with_row_index(envelopes, list(order))
-        if not foreign.isEmpty():
+        if not numbered.filter(~F.col("source_id").eqNullSafe(F.lit(source_id))).isEmpty():
             raise LandingRefused(f"a landing holds one source; some envelopes are not from '{source_id}'")
         batch_no = F.floor(F.col("row_index") / batch_size).cast("bigint") + first
         seq = (F.col("row_index") % batch_size).cast("bigint")

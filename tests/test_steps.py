@@ -17,7 +17,7 @@ def run(spark, texts, kind, **options):
     built = apply_step(Step("out", kind, ("x",), options), {"x": F.col("x")})
     failed = built.failure["shape"] if built.failure is not None else F.lit(None).cast("string")
     rows = df.select("i", built.value.as_text().alias("v"), failed.alias("f")).orderBy("i").collect()
-    return [r.v if r.f is None else ("failed", r.f) for r in rows]
+    return [r.v if r.f is None else ("failed", r.f.removeprefix("String(shape=").removesuffix(")")) for r in rows]
 
 
 @pytest.mark.parametrize("kind, options, values, expected", [
