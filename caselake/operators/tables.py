@@ -11,6 +11,7 @@ from caselake.operators.merge import merge_into, merge_rows, schema_changes
 from caselake.operators.store import Tables
 
 KEY = "canonical_id"
+# The lineage columns every relational table carries.
 LINEAGE = ("niem_run_id", "niem_source_id", "niem_mapping", "niem_projected_at")
 
 
