@@ -849,7 +849,7 @@ def o8_dominant_shape(spark, sf):
     return quality.dominant_shape(quality.shape_histogram(profiled(spark, sf), PROFILE_COLUMNS)).select("column", "shape", "n")
 
 
-@query("o9_draft_pattern", r"SELECT 'phone' AS ""column"", '^\d{2}-\(\d{3}\) \d{2}\.\d{1}$' AS pattern, COUNT(*) AS matching FROM customer".replace('""', '"'))
+@query("o9_draft_pattern", r'''SELECT 'phone' AS "column", '^\d{2}-\(\d{3}\) \d{2}\.\d{1}$' AS pattern, COUNT(*) AS matching FROM customer''')
 def o9_draft_pattern(spark, sf):
     rows = profiled(spark, sf)
     drafts = quality.draft_patterns(quality.shape_histogram(rows, PROFILE_COLUMNS)).select("column", "pattern")

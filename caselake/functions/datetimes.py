@@ -8,7 +8,6 @@ read by parts; patterns with names or markers go through ``try_to_timestamp``.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, functions as F
