@@ -36,3 +36,11 @@ def map_rows(df: DataFrame, fn: Callable[[list[str]], list[list]], column: str,
                 names=out.names)
 
     return df.select(*kept, column).mapInArrow(run, out)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

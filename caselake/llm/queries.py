@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from caselake.llm import chat, packing, tokens
+from caselake.llm import chat, decontam, langid, packing, pii, tokens
 from caselake.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,3 +66,27 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0,
                         with_ids=False).drop("bucket")
+
+
+@query("op2_surrogates")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.with_surrogates(docs, counted="n_entities")
+
+
+@query("op9_qgram_lemma")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op10_evidence_fusion")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(langid.document_rows(docs), langid.fit(docs), ["doc_id", "declared"])
+
+
+@query("language_of_pages")
+def language_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same evidence where markup, addresses and hosts are at hand."""
+    pages = langid.page_rows(table(spark, sf_dir, "pages"))
+    return langid.identify(pages, langid.fit(table(spark, sf_dir, "documents")), ["page_id", "host", "suffix", "declared"])
