@@ -32,7 +32,7 @@ from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from caselake.llm.arrow import map_rows, unused
 
-Q = 8
+Q = 10
 WINDOW = 80
 ERRORS = 0.075
 BLOCK_BYTES = 1 << 18
@@ -49,13 +49,19 @@ def folded(text: str) -> bytes:
 
 
 def qgrams(data: bytes) -> np.ndarray:
-    """The 8 bytes from every place on, as one number each."""
+    """A number for the Q bytes from every place on, mixed from their first and last eight."""
     n = len(data) - Q + 1
-    return np.ndarray((max(n, 0),), "<u8", data, strides=(1,)) if n > 0 else np.zeros(0, np.uint64)
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    eight = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+    mixed = eight[:n] * M1
+    mixed ^= eight[Q - 8:] * M2
+    return mixed
 
 
 def edit_budget(m: int) -> int:
-    return int(ERRORS * m)
+    """Edits allowed in m bytes; short items get no more than leave a q-gram in common."""
+    return max(0, min(int(ERRORS * m), (m - Q) // Q))
 
 
 def needed(m: int) -> int:

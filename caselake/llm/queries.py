@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from caselake.llm import chat, decontam, langid, packing, pii, tokens
+from caselake.llm import chat, decontam, html_extract, langid, packing, pii, tokens, vectors
 from caselake.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +55,12 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest_examples(chat.format_examples(turns))
 
 
+@query("op4_node_trees")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_extract.extract(pages, html_extract.fit(pages))
+
+
 @query("op5_elias_fano_ids")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "ids")
@@ -62,6 +68,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_documents(spark, path)
 
 
+@query("op7_pruned_graph")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 @query("op8_binary_packing")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0,
