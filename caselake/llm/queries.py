@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from caselake.llm import chat, decontam, html_extract, langid, packing, pii, tokens, vectors
+from caselake.llm import chat, decontam, html_extract, jaccard, langid, packing, pii, tokens, vectors
 from caselake.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +55,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest_examples(chat.format_examples(turns))
 
 
+@query("op3_adaptive_prefixes")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.groups(table(spark, sf_dir, "documents"), words=4, percent=85).drop("said")
+
+
 @query("op4_node_trees")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
