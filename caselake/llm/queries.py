@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from caselake.llm import chat, decontam, html_extract, jaccard, langid, packing, pii, tokens, vectors
+from caselake.llm import chat, decontam, html_extract, jaccard, langid, packing, pii, suffixes, tokens, vectors
 from caselake.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,6 +73,12 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_documents(spark, path)
 
 
+@query("op6_difference_cover")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op7_pruned_graph")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
