@@ -156,16 +156,38 @@ def s3_topic_envelopes(spark, sf):
         "content_hash", "envelope_id")
 
 
-@query("s3_slice", """
-SELECT printf('events-%06d:%019d', user_id % 8, event_id) AS "offset" FROM events
-WHERE NOT (user_id % 8 = 3 AND event_id <= 500)
-ORDER BY ts, user_id % 8, event_id LIMIT 100000""")
+def taken_sql(ceiling: str) -> str:
+    """The slice rule: partitions in turn, each by offset, past the position of partition 3."""
+    return f"""
+SELECT printf('events-%06d:%019d', part, event_id) AS "offset" FROM (
+  SELECT event_id, user_id % 8 AS part, ROW_NUMBER() OVER (PARTITION BY user_id % 8 ORDER BY event_id) AS turn
+  FROM events WHERE NOT (user_id % 8 = 3 AND event_id <= 500))
+QUALIFY ROW_NUMBER() OVER (ORDER BY turn, part) <= {ceiling}"""
+
+
+@query("s3_slice", taken_sql("(SELECT COUNT(*) // 10 FROM events)"))
 def s3_slice(spark, sf):
-    """What lies past the stored position of partition 3; the slice ceiling is the feature."""
-    rest = src.slice_records(topic_rows(spark, sf), {("events", 3): 500}, 100_000)
+    """A tenth of the topic, past the stored position of partition 3; the slice ceiling is the feature."""
+    rows = topic_rows(spark, sf)
+    rest = src.slice_records(rows, {("events", 3): 500}, rows.count() // 10)
     return src.topic_records(rest, "events").select("offset")
 
 
+@query("s3_all_slices", """
+SELECT printf('events-%06d:%019d', user_id % 8, event_id) AS "offset", 1::BIGINT AS times FROM events""")
+def s3_all_slices(spark, sf):
+    """Slices one after the other, with times that run backwards, until nothing is left: each record once."""
+    rows = topic_rows(spark, sf).withColumn("timestamp", F.timestamp_seconds(F.lit(2_000_000_000) - F.col("offset")))
+    ceiling, after, out = rows.count() // 5 + 1, {}, None
+    while True:
+        taken = src.slice_records(rows, after, ceiling)
+        later = src.positions_after(taken, after)
+        if later == after:
+            return out.groupBy("offset").agg(F.count("*").alias("times"))
+        landed = src.topic_records(taken, "events").select("offset")
+        out, after = landed if out is None else out.unionByName(landed), later
+
+
 @query("s4_change_feed", f"""
 WITH {TOPIC_SQL}
 SELECT CASE WHEN payload = '' THEN 'tombstone' WHEN event_type = 'purchase' THEN 'delete' WHEN event_type = 'signup' THEN 'create'

@@ -268,9 +268,9 @@ def p7_counts(spark, sf):
 
 @query("p8_relational", f"""
 SELECT 'L/' || CAST(o_orderkey AS VARCHAR) AS canonical_id, 'P/' || CAST(o_custkey AS VARCHAR) AS person_id, 'I/' || CAST(o_orderkey AS VARCHAR) AS incident_id,
-  {CODE} AS involvement_code, 'run' AS niem_run_id, 'town' AS niem_source_id, 'm@1' AS niem_mapping FROM orders""")
+  {CODE} AS involvement_code, 'run' AS run_id, 'town' AS source_id, 'm@1' AS mapping FROM orders""")
 def p8_relational(spark, sf):
-    return relational(changes(spark, sf)[LINK.name], LINK, "run", "town", "m@1").drop("niem_projected_at")
+    return relational(changes(spark, sf)[LINK.name], LINK, "run", "town", "m@1").drop("projected_at")
 
 
 @query("p9_upsert", """
@@ -382,7 +382,7 @@ SELECT 'Person' AS entity_type, 'P/' || CAST(o_custkey AS VARCHAR) AS id, 'L/' |
 UNION ALL SELECT 'Incident', 'I/' || CAST(o_orderkey AS VARCHAR), 'L/' || CAST(o_orderkey AS VARCHAR), 'incident', 'P/' || CAST(o_custkey AS VARCHAR),
   '{{"involvementCode":"' || {CODE} || '"}}' FROM orders""")
 def p17_links(spark, sf):
-    """Gathered per entity in bounded sorted lists, then unfolded again for the comparison."""
+    """Gathered per entity in sorted lists, then unfolded again for the comparison."""
     links = search.link_rows(changes(spark, sf)[LINK.name], LINK)
     out = None
     for t in ("Person", "Incident"):
@@ -393,6 +393,16 @@ def p17_links(spark, sf):
     return out
 
 
+@query("p17_long_list", """
+SELECT 'P/all' AS id, COUNT(*) AS links, MIN('L/' || CAST(o_orderkey AS VARCHAR)) AS first, MAX('L/' || CAST(o_orderkey AS VARCHAR)) AS last FROM orders""")
+def p17_long_list(spark, sf):
+    """One person with every order: all of their links in one document."""
+    rows = changes(spark, sf)[LINK.name].withColumn("person", ref("Person", F.lit("P/all")))
+    lists = search.link_lists(search.link_rows(rows, LINK), "Person")
+    ids = F.transform("links", lambda l: l["associationId"])
+    return lists.select(F.col(ID).alias("id"), F.size("links").cast("bigint").alias("links"), F.array_min(ids).alias("first"), F.array_max(ids).alias("last"))
+
+
 @query("p18_find_by_text", r"""
 SELECT doc_id, COUNT(DISTINCT token) AS hits FROM (
   SELECT doc_id, UNNEST(regexp_split_to_array(lower(text), '[^\p{L}\p{M}\p{N}]+')) AS token FROM documents)
@@ -566,8 +576,8 @@ li AS (
 pt AS (SELECT * FROM part WHERE p_size <= 40)"""
 
 
-def trade_documents(spark, sf, max_children: int = 10_000):
-    return assemble(TRADE_DOCUMENT, trade(spark, sf), TRADE, max_children, merged=True)
+def trade_documents(spark, sf):
+    return assemble(TRADE_DOCUMENT, trade(spark, sf), TRADE, merged=True)
 
 
 @query("e1_assemble", f"""
@@ -609,15 +619,32 @@ def e4_document_size(spark, sf):
     return trade_documents(spark, sf).documents.select(F.col(ID).alias("root"), "size")
 
 
-@query("e1_overflow", f"""
-WITH {TRADE_SQL}, n AS (SELECT ok, COUNT(*) AS k FROM li WHERE ok IN (SELECT o_orderkey FROM orders) GROUP BY 1)
-SELECT CAST(ok AS VARCHAR) AS root, k AS lines, k <= 3 AS inlined FROM n""")
-def e1_overflow(spark, sf):
-    """With a limit of three, longer lists leave the document and come whole as rows."""
-    a = trade_documents(spark, sf, max_children=3)
-    inline = a.documents.filter("complete").select(F.col(ID).alias("root"), F.size("document.elements.lines").cast("bigint").alias("lines"), F.lit(True).alias("inlined"))
-    over = a.overflow.filter("name = 'lines'").groupBy(F.col("anchor_id").alias("root")).agg(F.count("*").alias("lines"), F.lit(False).alias("inlined"))
-    return inline.filter("lines > 0").unionByName(over)
+@query("e1_elements", f"""
+WITH {TRADE_SQL}
+SELECT 'Order' AS anchor, CAST(ok AS VARCHAR) AS anchor_id, 'lines' AS name, line AS element FROM li
+UNION ALL SELECT 'Line', line, 'part', CAST(p_partkey AS VARCHAR) FROM li JOIN pt ON pk = p_partkey
+UNION ALL SELECT 'Line', line, 'supplier', CAST(s_suppkey AS VARCHAR) FROM li JOIN supplier ON sk = s_suppkey""")
+def e1_elements(spark, sf):
+    """The same links as rows."""
+    e = trade_documents(spark, sf).elements
+    return e.select(F.col("anchor_type").alias("anchor"), "anchor_id", "name", F.get_json_object("element", f"$.{ID}").alias("element"))
+
+
+SHOP = Model.of(entity("Shop", CanonicalField("name")), entity("Sale", CanonicalField("status")),
+                CanonicalType("ShopSale", "association", (), (Role("shop", "Shop"), Role("sale", "Sale"))))
+
+
+@query("e1_long_list", """
+SELECT 'all' AS shop, COUNT(*) AS sales, COUNT(*) + 1 AS size, MIN(CAST(o_orderkey AS VARCHAR)) AS first, MAX(CAST(o_orderkey AS VARCHAR)) AS last FROM orders""")
+def e1_long_list(spark, sf):
+    """Every order in one document: no list is too long to be whole."""
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias(ID), F.col("o_orderstatus").alias("status"))
+    shop = table(spark, sf, "region").agg(F.lit("all").alias(ID), F.max("r_name").alias("name"))
+    tables = {"Shop": shop, "Sale": o, "ShopSale": o.select(F.concat(F.lit("SS"), ID).alias(ID), ref("Shop", F.lit("all")).alias("shop"), ref("Sale", F.col(ID)).alias("sale"))}
+    d = assemble(Assembly("Shop", (Follow("ShopSale", "sale", "sales"),)), tables, SHOP, merged=True).documents
+    sales = F.col("document.elements.sales")
+    return d.select(F.col(ID).alias("shop"), F.size(sales).cast("bigint").alias("sales"), "size",
+                    F.get(sales, F.lit(0))[ID].alias("first"), F.element_at(sales, -1)[ID].alias("last"))
 
 
 WORLD = Model.of(entity("Region", CanonicalField("name")), entity("Nation", CanonicalField("name")),
@@ -645,12 +672,13 @@ def e5_document_json(spark, sf):
     return assemble(NATION_DOCUMENT, world(spark, sf), WORLD, merged=True).json().select(F.col(ID).alias("id"), "document")
 
 
-@query("e6_submission_batches", "SELECT COUNT(*) AS documents, COUNT(DISTINCT o_orderkey) AS distinct_documents, TRUE AS within_size, 'trade' AS exchange FROM orders")
+@query("e6_submission_batches", """
+WITH n AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, ROW_NUMBER() OVER (ORDER BY CAST(o_orderkey AS VARCHAR)) - 1 AS i FROM orders)
+SELECT printf('%012d', CAST(i // 100 AS BIGINT)) AS batch_id, COUNT(*) AS documents, MIN(id) AS first, MAX(id) AS last, 'trade' AS exchange FROM n GROUP BY i // 100""")
 def e6_submission_batches(spark, sf):
     b = submission_batches(trade_documents(spark, sf).documents, "trade", "1.0.0", "town", 100)
-    ids = b.select("documents", F.get_json_object("body", "$.exchange").alias("exchange"), F.explode("document_ids").alias("id"))
-    return ids.agg(F.count("*").alias("documents"), F.countDistinct("id").alias("distinct_documents"),
-                   (F.max("documents") <= 100).alias("within_size"), F.max("exchange").alias("exchange"))
+    return b.select("batch_id", F.col("documents").cast("bigint").alias("documents"), F.array_min("document_ids").alias("first"),
+                    F.array_max("document_ids").alias("last"), F.get_json_object("body", "$.exchange").alias("exchange"))
 
 
 @query("e7_reconcile", """
@@ -667,11 +695,28 @@ def e7_reconcile(spark, sf):
     return reconcile(batches, answers).groupBy("outcome").agg(F.count("*").alias("documents"))
 
 
-@query("e8_types_touched", f"""
-SELECT UNNEST(['Order', 'OrderLine', 'Line', 'LinePart', 'Part', 'LineSupplier', 'Supplier']) AS type, COUNT(*) AS orders FROM orders""")
+@query("e7_conflicting_answers", """
+SELECT CAST(o_orderkey AS VARCHAR) AS document_id, CASE WHEN o_orderkey % 3 = 0 THEN 'REJECTED' ELSE 'ACCEPTED' END AS outcome,
+  CASE WHEN o_orderkey % 3 = 0 THEN 'r0' ELSE 'r1' END AS remote_id FROM orders""")
+def e7_conflicting_answers(spark, sf):
+    """Every document is answered three times; a rejection counts first, then the smallest remote id."""
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("document_id"), (F.col("o_orderkey") % 3 == 0).alias("no"))
+    said = o.select("*", F.explode(F.array(F.lit(2), F.lit(1), F.lit(0))).alias("k"))
+    answers = said.select(F.lit("b").alias("batch_id"), F.lit(200).alias("status"), "document_id",
+                          F.when(F.col("no") & (F.col("k") == 0), "rejected").otherwise("accepted").alias("outcome"),
+                          F.concat(F.lit("r"), F.when(F.col("no"), F.col("k")).otherwise(F.greatest("k", F.lit(1))).cast("string")).alias("remote_id"), F.lit(None).cast("string").alias("reason"))
+    return reconcile(o.select(F.lit("b").alias("batch_id"), F.array("document_id").alias("document_ids")), answers) \
+        .select("document_id", "outcome", "remote_id")
+
+
+@query("e8_types_touched", "SELECT CAST(n_nationkey AS VARCHAR) AS root, COUNT(c_custkey) AS customers FROM nation LEFT JOIN customer ON n_nationkey = c_nationkey GROUP BY 1")
 def e8_types_touched(spark, sf):
-    names = F.array(*[F.lit(n) for n in TRADE_DOCUMENT.types_touched(TRADE)])
-    return table(spark, sf, "orders").agg(F.count("*").alias("orders")).select(F.explode(names).alias("type"), "orders")
+    """Only the tables a spec touches are read: the others fail at their first row."""
+    bad = table(spark, sf, "region").select(F.col("r_name").alias(ID), F.raise_error(F.lit("this table is not touched")).cast("string").alias("name"))
+    tables = {**world(spark, sf), "Region": bad, "RegionNation": bad}
+    needed = NATION_DOCUMENT.types_touched(WORLD)
+    d = assemble(NATION_DOCUMENT, {n: t for n, t in tables.items() if n in needed or n.startswith("Region")}, WORLD, merged=True).documents
+    return d.select(F.col(ID).alias("root"), F.size("document.elements.customers").cast("bigint").alias("customers"))
 
 
 # -- L: audit --------------------------------------------------------------------------------------------------------

@@ -1,9 +1,8 @@
 """Nested documents from typed tables, built bottom-up.
 
 Each step joins an association to its element and gathers the links of one anchor in a
-sorted list. A list is only gathered when it has at most ``max_children`` entries; anchors
-with more keep their exact counts in the document, and their links come out whole in
-``overflow`` as rows, so nothing unbounded ever sits in one task and nothing is dropped.
+sorted list: a document always holds all of its elements. ``elements`` has the same links as
+rows, whatever their number, for readers that cannot take one large value.
 """
 
 from __future__ import annotations
@@ -15,8 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from caselake.functions.text import iso_instant
 from caselake.model import ID, CanonicalType, Model
 from caselake.operators.merge import merge_rows
-
-MAX_CHILDREN = 10_000
+from caselake.operators.ordering import with_row_index
 
 
 class AssemblyRefused(ValueError):
@@ -130,12 +128,12 @@ def _has_fields(t: CanonicalType) -> Column:
 
 @dataclass
 class Assembled:
-    documents: DataFrame                     # canonicalId, document (struct), size, complete
+    documents: DataFrame                     # canonicalId, document (struct), size
     unresolved: DataFrame                    # from_type, from_id, association, role, target_type, target_id
-    overflow: DataFrame                      # anchor_type, anchor_id, name, element_id, element (JSON)
+    elements: DataFrame                      # anchor_type, anchor_id, name, element_id, element (JSON)
 
     def json(self) -> DataFrame:
-        return self.documents.select(ID, "size", "complete", F.to_json("document").alias("document"))
+        return self.documents.select(ID, "size", F.to_json("document").alias("document"))
 
     def records(self) -> DataFrame:
         """How many records the documents hold."""
@@ -144,12 +142,12 @@ class Assembled:
 
 
 def assemble(spec: Assembly, tables: dict[str, DataFrame], model: Model,
-             max_children: int = MAX_CHILDREN, merged: bool = False) -> Assembled:
+             merged: bool = False) -> Assembled:
     """``tables`` maps type name to canonical rows; roles are ``struct<typeName,id>`` columns."""
     spec.check(model)
     ready: dict[str, DataFrame] = {}
     unresolved: list[DataFrame] = []
-    overflow: list[DataFrame] = []
+    elements: list[DataFrame] = []
 
     def rows_of(name: str) -> DataFrame:
         if name not in ready:
@@ -159,23 +157,22 @@ def assemble(spec: Assembly, tables: dict[str, DataFrame], model: Model,
         return ready[name]
 
     def nested(type_name: str, steps: tuple[Follow, ...]) -> DataFrame:
-        """(id, node, size, complete): the element and everything below it, once per identity."""
+        """(id, node, size): the element and everything below it, once per identity."""
         t, rows = model[type_name], rows_of(type_name)
         base = rows.select(F.col(ID).alias("id"), json_fields(t, rows).alias("fields"))
-        size, complete, lists = F.lit(1).cast("bigint"), F.lit(True), []
+        size, lists = F.lit(1).cast("bigint"), []
         for i, s in enumerate(sorted(steps, key=lambda s: s.name)):
             children = links(type_name, s)
             base = base.join(children.select(
                 F.col("anchor").alias(f"a{i}"), F.col("items").alias(f"i{i}"),
-                F.col("size").alias(f"z{i}"), F.col("complete").alias(f"c{i}")), F.col("id") == F.col(f"a{i}"), "left")
+                F.col("size").alias(f"z{i}")), F.col("id") == F.col(f"a{i}"), "left")
             item_type = base.schema[f"i{i}"].dataType
             lists.append(F.coalesce(F.col(f"i{i}"), F.array().cast(item_type)).alias(s.name))
             size = size + F.coalesce(F.col(f"z{i}"), F.lit(0))
-            complete = complete & F.coalesce(F.col(f"c{i}"), F.lit(True))
         parts = [F.lit(type_name).alias("type"), F.col("id").alias(ID), F.col("fields")]
         if lists:
             parts.append(F.struct(*lists).alias("elements"))
-        return base.select("id", F.struct(*parts).alias("node"), size.alias("size"), complete.alias("complete"))
+        return base.select("id", F.struct(*parts).alias("node"), size.alias("size"))
 
     def links(at_type: str, s: Follow) -> DataFrame:
         t = model[s.association]
@@ -189,37 +186,31 @@ def assemble(spec: Assembly, tables: dict[str, DataFrame], model: Model,
             F.col(anchor)["id"].alias("anchor"), F.col(s.role)["id"].alias("target"), F.col(ID).alias("link_id"),
             F.struct(*via).alias("via"))
         child = nested(target, s.follow)
-        joined = link.join(child, F.col("target") == F.col("id"), "left")
-        unresolved.append(joined.filter(F.col("id").isNull())
-                          .join(rows_of(at_type).select(F.col(ID).alias("anchor")), "anchor", "left_semi")
+        # Ids alone say which links lead nowhere; the elements below are not built for it.
+        lost = link.join(rows_of(target).select(F.col(ID).alias("target")), "target", "left_anti")
+        unresolved.append(lost.join(rows_of(at_type).select(F.col(ID).alias("anchor")), "anchor", "left_semi")
                           .select(F.lit(at_type).alias("from_type"), F.col("anchor").alias("from_id"),
                                   F.lit(s.association).alias("association"), F.lit(s.role).alias("role"),
                                   F.lit(target).alias("target_type"), F.col("target").alias("target_id")))
-        found = joined.filter(F.col("id").isNotNull())
+        found = link.join(child, F.col("target") == F.col("id"))
         node = [F.col("node")[c].alias(c) for c in ("type", ID, "fields")]
         tail = [F.col("node")["elements"].alias("elements")] if s.follow else []
         element = F.struct(F.col("target").alias("_t"), F.col("link_id").alias("_l"),
                            F.struct(*node, F.col("via"), *tail).alias("e"))
-        # Which anchors are too long is decided on the bare links, so elements are joined and moved once.
-        long = link.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > max_children) \
-            .select("anchor", F.lit(True).alias("long"))
-        marked = found.join(long, "anchor", "left")
-        overflow.append(marked.filter("long").select(
+        own = F.struct(*node, F.col("via"))
+        elements.append(found.select(
             F.lit(at_type).alias("anchor_type"), F.col("anchor").alias("anchor_id"), F.lit(s.name).alias("name"),
-            F.col("target").alias("element_id"), F.to_json(element["e"]).alias("element")))
-        gathered = marked.groupBy("anchor").agg(
-            F.sum("size").alias("size"), F.min("complete").alias("below"), F.max("long").alias("long"),
-            F.sort_array(F.collect_list(F.when(F.col("long").isNull(), element))).alias("sorted"))
-        return gathered.select("anchor", F.transform("sorted", lambda x: x["e"]).alias("items"), "size",
-                               (F.col("below") & F.col("long").isNull()).alias("complete"))
+            F.col("target").alias("element_id"), F.to_json(own).alias("element")))
+        gathered = found.groupBy("anchor").agg(F.sum("size").alias("size"), F.sort_array(F.collect_list(element)).alias("sorted"))
+        return gathered.select("anchor", F.transform("sorted", lambda x: x["e"]).alias("items"), "size")
 
     top = nested(spec.root, spec.follow)
-    documents = top.select(F.col("id").alias(ID), F.col("node").alias("document"), "size", "complete")
-    return Assembled(documents, _union(unresolved, documents, UNRESOLVED), _union(overflow, documents, OVERFLOW))
+    documents = top.select(F.col("id").alias(ID), F.col("node").alias("document"), "size")
+    return Assembled(documents, _union(unresolved, documents, UNRESOLVED), _union(elements, documents, ELEMENTS))
 
 
 UNRESOLVED = "from_type string, from_id string, association string, role string, target_type string, target_id string"
-OVERFLOW = "anchor_type string, anchor_id string, name string, element_id string, element string"
+ELEMENTS = "anchor_type string, anchor_id string, name string, element_id string, element string"
 
 
 def _union(parts: list[DataFrame], like: DataFrame, schema: str) -> DataFrame:
@@ -233,28 +224,21 @@ def _union(parts: list[DataFrame], like: DataFrame, schema: str) -> DataFrame:
 
 def submission_batches(documents: DataFrame, exchange: str, version: str, source_id: str,
                        size: int = 100, synthetic: bool = False) -> DataFrame:
-    """Request bodies of at most ``size`` documents.
+    """Request bodies of ``size`` documents each, the last one of what is left.
 
-    Documents are spread by identity over a fixed number of partitions, sorted there and
-    cut into batches, so the same documents give the same batches and none spans a task.
+    Documents are numbered by identity and cut there, so the same documents give the same batches
+    on any cluster.
     """
     if size < 1:
         raise ValueError("a batch holds at least one document")
-    partitions = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = documents.repartition(partitions, ID).sortWithinPartitions(ID) \
-        .withColumn("_row", F.monotonically_increasing_id())
-    per_partition = F.shiftright("_row", 33)
-    in_partition = F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))
-    numbered = ranged.withColumn("partition", per_partition).withColumn(
-        "batch", F.floor(in_partition / size).cast("bigint"))
-    grouped = numbered.groupBy("partition", "batch").agg(
-        F.sort_array(F.collect_list(F.struct(F.col(ID), F.col("document")))).alias("d"))
+    numbered = with_row_index(documents.select(ID, "document"), [ID]).withColumn(
+        "batch", F.floor(F.col("row_index") / size).cast("bigint"))
+    grouped = numbered.groupBy("batch").agg(F.sort_array(F.collect_list(F.struct(F.col(ID), F.col("document")))).alias("d"))
     body = F.struct(F.lit(exchange).alias("exchange"), F.lit(version).alias("exchangeVersion"),
                     F.lit(source_id).alias("sourceId"), F.lit(synthetic).alias("synthetic"),
                     F.transform("d", lambda x: x["document"]).alias("documents"))
     return grouped.select(
-        F.concat(F.lpad(F.col("partition").cast("string"), 6, "0"), F.lit("-"),
-                 F.lpad(F.col("batch").cast("string"), 9, "0")).alias("batch_id"),
+        F.lpad(F.col("batch").cast("string"), 12, "0").alias("batch_id"),
         F.size("d").alias("documents"), F.transform("d", lambda x: x[ID]).alias("document_ids"),
         F.to_json(body).alias("body"))
 
@@ -263,13 +247,18 @@ def reconcile(batches: DataFrame, answers: DataFrame) -> DataFrame:
     """One receipt per document. ``answers``: batch_id, status, document_id?, outcome?, remote_id?, reason?.
 
     A refused batch rejects every document in it; silence about a document is pending, never accepted.
+    Of several answers about one document a rejection counts before an acceptance, then the first by
+    remote id and reason.
     """
     sent = batches.select("batch_id", F.explode("document_ids").alias("document_id"))
     status = answers.groupBy(F.col("batch_id").alias("b")).agg(
         F.max("status").alias("status"), F.max("reason").alias("batch_reason"))
     per_document = answers.filter(F.col("document_id").isNotNull()).select(
         F.col("batch_id").alias("ab"), F.col("document_id").alias("ad"), F.lower("outcome").alias("answer"),
-        "remote_id", "reason").dropDuplicates(["ab", "ad"])
+        "remote_id", "reason")
+    rank = F.when(F.col("answer") == "rejected", 0).when(F.col("answer") == "accepted", 1).otherwise(2)
+    per_document = per_document.groupBy("ab", "ad").agg(
+        F.min(F.struct(rank.alias("rank"), "answer", "remote_id", "reason")).alias("a")).select("ab", "ad", "a.answer", "a.remote_id", "a.reason")
     joined = sent.join(status, F.col("batch_id") == F.col("b"), "left").join(
         per_document, (F.col("batch_id") == F.col("ab")) & (F.col("document_id") == F.col("ad")), "left")
     refused = F.coalesce(F.col("status") >= 400, F.lit(False))

@@ -1,22 +1,10 @@
-"""Sorted lists per group that never outgrow a task."""
+"""Sorted lists per group."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-LIST_LIMIT = 10_000
 
-
-def bounded_lists(rows: DataFrame, group: str, element: Column, name: str, limit: int = LIST_LIMIT) -> DataFrame:
-    """One row per (group, part): the group's elements, sorted and distinct.
-
-    Nearly every group is one part, number 0. A group with more than ``limit`` elements is
-    split by hash into parts of about that size, so all of it is kept and none of it has
-    to fit in one task. Counting happens map-side; only over-full groups are joined back.
-    """
-    rows = rows.select(group, element.alias("_e")).withColumn("_h", F.xxhash64(F.to_json("_e")))
-    full = rows.groupBy(group).agg(F.count("*").alias("_n")).filter(F.col("_n") > limit) \
-        .select(group, F.ceil(F.col("_n") / limit * 2).cast("bigint").alias("_parts"))
-    split = rows.join(full, group, "left").withColumn(
-        "part", F.when(F.col("_parts").isNull(), F.lit(0)).otherwise(F.pmod("_h", "_parts")).cast("int"))
-    return split.groupBy(group, "part").agg(F.sort_array(F.collect_set("_e")).alias(name))
+def sorted_lists(rows: DataFrame, group: str, element: Column, name: str) -> DataFrame:
+    """One row per group with all of its elements, sorted and distinct."""
+    return rows.select(group, element.alias("_e")).groupBy(group).agg(F.sort_array(F.collect_set("_e")).alias(name))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from caselake.functions.text import iso_instant
 from caselake.model import ID, CanonicalType
-from caselake.operators.lists import LIST_LIMIT, bounded_lists
+from caselake.operators.lists import sorted_lists
 from caselake.operators.merge import merge_rows
 from caselake.operators.graph import ProjectionRefused
 
@@ -40,11 +40,7 @@ def search_text(t: CanonicalType) -> Column:
 
 def documents(rows: DataFrame, t: CanonicalType, run_id: str, source_id: str, mapping: str,
               links: DataFrame | None = None, at: Column | None = None, order: str = "ord") -> DataFrame:
-    """(canonicalId, part, searchText, document). ``links`` comes from ``link_lists``.
-
-    Part 0 is the document; further parts carry only more links of an entity that has more
-    of them than one document should hold.
-    """
+    """(canonicalId, searchText, document). ``links`` comes from ``link_lists``; ``link_rows`` has them flat."""
     check_reserved(t)
     flat = rows.select(ID, order, *[F.col(r.name)["id"].alias(r.name) for r in t.roles], *[f.name for f in t.fields])
     merged = merge_rows(flat, ID, order)
@@ -52,13 +48,11 @@ def documents(rows: DataFrame, t: CanonicalType, run_id: str, source_id: str, ma
                        iso_instant(at if at is not None else F.current_timestamp()).alias("projectedAt"))
     own = [F.col(r.name) for r in t.roles] + [_value(F.col(f.name), f.type, f.repeated).alias(f.name) for f in t.fields]
     base = merged.select(ID, search_text(t).alias(SEARCH_TEXT), F.struct(*own).alias("_own"), lineage.alias(LINEAGE))
+    own_fields = [F.col(ID), F.col("_own.*"), F.col(LINEAGE)]
     if links is None:
-        return base.select(ID, F.lit(0).alias("part"), SEARCH_TEXT, F.to_json(F.struct(
-            F.col(ID), F.col("_own.*"), F.col(LINEAGE))).alias("document"))
-    joined = base.join(links, ID, "left").withColumn("part", F.coalesce("part", F.lit(0)))
-    whole = F.to_json(F.struct(F.col(ID), F.col("_own.*"), F.col(LINEAGE), F.col(LINKS)))
-    more = F.to_json(F.struct(F.col(ID), F.col(LINKS)))
-    return joined.select(ID, "part", SEARCH_TEXT, F.when(F.col("part") == 0, whole).otherwise(more).alias("document"))
+        return base.select(ID, SEARCH_TEXT, F.to_json(F.struct(*own_fields)).alias("document"))
+    joined = base.join(links, ID, "left")
+    return joined.select(ID, SEARCH_TEXT, F.to_json(F.struct(*own_fields, F.col(LINKS))).alias("document"))
 
 
 def link_rows(rows: DataFrame, t: CanonicalType, order: str = "ord") -> DataFrame:
@@ -77,11 +71,11 @@ def link_rows(rows: DataFrame, t: CanonicalType, order: str = "ord") -> DataFram
     return merged.select(F.explode(present).alias("l")).select("l.*")
 
 
-def link_lists(links: DataFrame, entity_type: str, limit: int = LIST_LIMIT) -> DataFrame:
+def link_lists(links: DataFrame, entity_type: str) -> DataFrame:
     """The links of each entity of one type; replacing by (association id, role, other id) is the merge above."""
     element = F.struct("association", "associationId", "role", "otherType", "otherId", "fields")
-    return bounded_lists(links.filter(F.col("entity_type") == entity_type).withColumnRenamed("entity_id", ID),
-                         ID, element, LINKS, limit)
+    return sorted_lists(links.filter(F.col("entity_type") == entity_type).withColumnRenamed("entity_id", ID),
+                        ID, element, LINKS)
 
 
 def tokens(text: Column) -> Column:

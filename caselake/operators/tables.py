@@ -12,7 +12,7 @@ from caselake.operators.store import Tables
 
 KEY = "canonical_id"
 # The lineage columns every relational table carries.
-LINEAGE = ("niem_run_id", "niem_source_id", "niem_mapping", "niem_projected_at")
+LINEAGE = ("run_id", "source_id", "mapping", "projected_at")
 
 
 def role_column(name: str) -> str:

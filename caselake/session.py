@@ -19,11 +19,11 @@ PINNED = {
     "spark.sql.ansi.enabled": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     # The JVM never compiles a method above this size; beyond it, per-operator code is faster.
     "spark.sql.codegen.hugeMethodLimit": "8000",
 }
-SPLIT_BYTES = 4 * 1024 * 1024
 
 
 def build_session(app: str = "caselake", master: str | None = None, conf: dict | None = None) -> SparkSession:
@@ -70,17 +70,6 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return os.path.join(scratch_root(spark), "caselake", app, f"{label}-{uuid.uuid4().hex[:12]}")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use every core on an input too small to be split by the scan.
-
-    Only inputs below ``SPLIT_BYTES`` per core are moved, a few megabytes in all; anything
-    larger is read in enough splits already and is left where it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < cores * SPLIT_BYTES else df
-
-
 def materialise(df: DataFrame, label: str = "step") -> DataFrame:
     """Write once, read back: one computation, columnar, and independent of the lineage."""
     spark = df.sparkSession

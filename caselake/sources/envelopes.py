@@ -90,13 +90,27 @@ def topic_records(df: DataFrame, source_id: str, instance: str = "topic") -> Dat
 
 
 def slice_records(df: DataFrame, after: dict[tuple[str, int], int] | None = None, max_records: int = 100_000) -> DataFrame:
-    """S3: a bounded slice: what lies past the stored positions, at most ``max_records`` of it."""
+    """S3: a bounded slice: what lies past the stored positions, at most ``max_records`` of it.
+
+    Each partition gives its lowest offsets, whatever the producers' times, so a position never moves
+    past a record that has not landed. The ceiling is shared out in turns: the first of every
+    partition, then the second, and so on.
+    """
     if after:
         known = df.sparkSession.createDataFrame(
             [(t, p, o) for (t, p), o in after.items()], "topic string, partition int, last bigint")
         df = df.join(F.broadcast(known), ["topic", "partition"], "left") \
             .filter(F.col("last").isNull() | (F.col("offset") > F.col("last"))).drop("last")
-    return df.orderBy("timestamp", "topic", "partition", "offset").limit(max_records)
+    turn = F.row_number().over(Window.partitionBy("topic", "partition").orderBy("offset"))
+    # no partition gives more than the whole slice, so no more of it is ranked
+    return df.withColumn("_turn", turn).filter(F.col("_turn") <= max_records) \
+        .orderBy("_turn", "topic", "partition").limit(max_records).drop("_turn")
+
+
+def positions_after(taken: DataFrame, after: dict[tuple[str, int], int] | None = None) -> dict[tuple[str, int], int]:
+    """S3: the stored positions once a slice has landed; one number per topic partition."""
+    last = taken.groupBy("topic", "partition").agg(F.max("offset").alias("last")).collect()
+    return {**(after or {}), **{(r["topic"], r["partition"]): r["last"] for r in last}}
 
 
 def stream_options(servers: str, topic: str, max_records: int = 100_000) -> dict[str, str]:

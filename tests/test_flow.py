@@ -232,9 +232,9 @@ def test_silver_projections_and_replay(spark, bronze, folder):
     assert silver.read("Person", as_of=1).count() == 7
     assert silver.read("Arrest").count() == 0
     # a second apply of the same changes changes nothing
-    graph_before = gold.table("Incident").drop("niem_projected_at", "niem_run_id")
+    graph_before = gold.table("Incident").drop("projected_at", "run_id")
     gold.apply({t: silver.read(t) for t in silver.counts()}, "again", "town", MAPPING.qualified)
-    assert same_rows(graph_before, gold.table("Incident").drop("niem_projected_at", "niem_run_id"))
+    assert same_rows(graph_before, gold.table("Incident").drop("projected_at", "run_id"))
 
 
 def test_graph_reads_and_documents(run):
@@ -258,12 +258,12 @@ def test_graph_reads_and_documents(run):
     assert links.count() == 12
     docs = search.documents(t["Person"], MODEL["Person"], "r", "town", "m", search.link_lists(links, "Person"))
     assert docs.count() == 4 and docs.filter("document like '%\"links\":[%'").count() == 3
-    split = search.link_lists(links, "Person", limit=1)
-    assert split.select(F.sum(F.size("links"))).first()[0] == 6
+    assert search.link_lists(links, "Person").select(F.sum(F.size("links"))).first()[0] == 6
     built = assemble(INCIDENT_DOCUMENT, t, MODEL)
     batches = submission_batches(built.documents, "cases", "1.0.0", "town", 4)
     sizes = [r.documents for r in batches.collect()]
-    assert sum(sizes) == built.documents.count() and max(sizes) <= 4
+    n = built.documents.count()
+    assert sorted(sizes, reverse=True) == [4] * (n // 4) + [n % 4] * (n % 4 > 0)
     first = batches.orderBy("batch_id").first()
     answers = batches.sparkSession.createDataFrame(
         [(first.batch_id, 200, first.document_ids[0], "accepted", "R1", None)],

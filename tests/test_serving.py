@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from caselake.model import ID, CanonicalField, CanonicalType, Role
 from caselake.operators import audit, graph, quality, search
 from caselake.operators.assemble import Assembly, AssemblyRefused, Follow, assemble
-from caselake.operators.lists import bounded_lists
+from caselake.operators.lists import sorted_lists
 from caselake.operators.merge import SchemaConflict, merge_into, merge_rows, schema_changes
 from caselake.operators.ordering import with_row_index
 from caselake.operators.store import Tables, digest, same_rows
@@ -63,13 +63,10 @@ def test_documents_do_not_depend_on_row_order(arrest):
     assert same_rows(one, two)
 
 
-def test_long_lists_leave_the_document_whole(arrest):
-    built = assemble(ARREST_DOCUMENT, arrest, MODEL, max_children=1)
-    a1 = built.documents.filter(F.col(ID) == "A1").first()
-    assert a1.size == 7 and not a1.complete and a1.document.elements.charges == []
-    over = built.overflow.orderBy("element_id").collect()
-    assert [(o.anchor_id, o.name, o.element_id) for o in over] == [("A1", "charges", "C1"), ("A1", "charges", "C2")]
-    assert '"disposition":[{' in over[0].element
+def test_links_also_come_as_rows(arrest):
+    built = assemble(ARREST_DOCUMENT, arrest, MODEL)
+    rows = built.elements.filter("anchor_type = 'Arrest' AND name = 'charges'").orderBy("element_id").collect()
+    assert [(r.anchor_id, r.element_id) for r in rows] == [("A1", "C1"), ("A1", "C2")] and '"type":"Charge"' in rows[0].element
 
 
 @pytest.mark.parametrize("spec", [
@@ -104,11 +101,10 @@ def test_row_numbers_without_one_task(spark):
     assert sorted((r.k, r.row_index) for r in rows) == [(i, i) for i in range(5000)]
 
 
-def test_bounded_lists_keep_everything(spark):
-    df = spark.range(1000).select(F.when(F.col("id") < 900, "hot").otherwise(F.col("id").cast("string")).alias("g"), "id")
-    lists = bounded_lists(df, "g", F.struct("id"), "l", limit=100).collect()
-    assert sum(len(r.l) for r in lists) == 1000 and max(len(r.l) for r in lists) < 200
-    assert sum(r.g == "hot" for r in lists) > 9 and all(r.part == 0 for r in lists if r.g != "hot")
+def test_lists_keep_everything(spark):
+    df = spark.range(30_000).select(F.when(F.col("id") % 10 > 0, "hot").otherwise(F.col("id").cast("string")).alias("g"), "id").repartition(5)
+    lists = {r.g: r.l for r in sorted_lists(df.unionByName(df), "g", F.struct("id"), "l").collect()}
+    assert len(lists) == 3001 and [x.id for x in lists["hot"]] == [i for i in range(30_000) if i % 10]
 
 
 def test_projection_refusals(spark, folder):
