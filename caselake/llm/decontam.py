@@ -36,7 +36,7 @@ Q = 10
 WINDOW = 80
 ERRORS = 0.075
 BLOCK_BYTES = 1 << 18
-CHUNK_BYTES = 1 << 22
+CHUNK_BYTES = 1 << 18
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 TO_SPACE = bytes(32 if chr(i) in PUNCTUATION else i for i in range(256))
 WORD = re.compile(r"[^ \t\n\v\f\r" + re.escape(PUNCTUATION) + "]+")
@@ -87,7 +87,7 @@ class Index:
         self.least = int(self.needs.min()) if len(self.needs) else 1
 
     def _slot(self, grams: np.ndarray) -> np.ndarray:
-        return ((grams * M1) >> np.uint64(64 - self.bits)).astype(np.int64)
+        return (grams >> np.uint64(64 - self.bits)).view(np.int64)
 
     def hits(self, grams: np.ndarray) -> np.ndarray:
         """Places whose q-gram is in the block."""
@@ -97,9 +97,14 @@ class Index:
         at = np.minimum(np.searchsorted(self.keys, grams[maybe]), len(self.keys) - 1)
         return maybe[self.keys[at] == grams[maybe]]
 
+    @staticmethod
+    def dense(hits: np.ndarray) -> np.ndarray:
+        """Hits in the longest stretch that a window can take up, from each hit on."""
+        return np.searchsorted(hits, hits + WINDOW + edit_budget(WINDOW), side="right") - np.arange(len(hits))
+
     def find(self, data: bytes, hits: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(item number, start, end, edits) of verified regions of one document, given its hits."""
-        dense = np.searchsorted(hits, hits + WINDOW + edit_budget(WINDOW), side="right") - np.arange(len(hits))
+        dense = self.dense(hits)
         starts = np.flatnonzero(dense >= self.least)
         if not len(starts):
             return []
@@ -224,7 +229,7 @@ def regions(docs: list[bytes], idx: Index) -> dict[int, list[tuple[int, int, int
         sizes = np.array([len(d) + Q for d in docs[begin:end]])
         first = np.concatenate([[0], np.cumsum(sizes)])
         at = np.searchsorted(hits, first)
-        for i in np.flatnonzero(np.diff(at) >= idx.least):
+        for i in np.unique(np.searchsorted(first, hits[idx.dense(hits) >= idx.least], side="right") - 1):
             found = idx.find(docs[begin + i], hits[at[i]:at[i + 1]] - first[i])
             if found:
                 out[begin + int(i)] = [(idx.items[n][0], a, b, e) for n, a, b, e in found]
