@@ -12,9 +12,10 @@ their prefixes share the smaller of their ks.
 
 Documents are brought together by leaders: of all sets with a prefix shingle, the smallest leads, and
 each member goes to its leaders once, whatever the number of shingles they share. Whoever shares a
-prefix shingle meets under its leader. There the prefixes are counted against each other, candidates
-are verified on whole sets, and a star per group of links leaves the task, so neither pairs of a
-family nor copies are ever rows. A family larger than ``BLOCK`` is met block against block.
+prefix shingle meets under its leader. There prefixes are counted against each other, and members
+without a candidate leave. The others meet again with their texts, candidates are verified on whole
+sets, and a star per group of links leaves the task, so neither pairs of a family nor copies are
+ever rows. A family larger than ``BLOCK`` is met block against block.
 
 Equal sets are one class, known by the hash of the set. Defined results: words are split at ASCII
 white space, only A-Z are lowered; with fewer words than a shingle the words are one shingle; without
@@ -25,20 +26,21 @@ table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
 
-from caselake.llm.arrow import texts, unused
+from caselake.llm.arrow import texts, tidy, unused
 from caselake.llm.components import components
 from caselake.session import materialise
 
 WORDS, PERCENT = 5, 80
 FREQUENT, MOST_FREQUENT = 0.001, 500_000
-MATCHES = (1, 2, 4, 8, 16)
+MATCHES = (1, 2, 4, 8, 16, 32)
 VERIFY_COST = 8.0
 BLOCK = 1000
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -83,7 +85,7 @@ class Order:
         shared = -(-self.percent * n // 100)
         held = self.of(shingle)
         order = np.lexsort((shingle, held))
-        met = np.cumsum(held[order])
+        met = np.cumsum(held[order] + 1)
         cost = {k: met[n - shared + k - 1] * VERIFY_COST / k + n - shared + k for k in MATCHES if k <= max(shared, 1)}
         k = min(cost, key=lambda k: (cost[k], k))
         return shingle[order[:n - shared + k]], k
@@ -119,72 +121,119 @@ def _surveyed(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _prefixes(docs: DataFrame, words: int, sent) -> DataFrame:
-    """token, id: every document's prefix."""
+    """id, n, matches and prefix of every document with words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens, ids = [], []
+            rows = []
             for text in texts(batch.column("text")):
                 s = shingles(text, words)
                 if len(s):
-                    prefix, _ = sent.value.prefix(s)
-                    tokens.append(prefix)
-                    ids.append(np.full(len(prefix), set_id(s), np.int64))
-            if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(tokens))), pa.array(np.concatenate(ids))],
-                                                 names=["token", "id"])
-
-    return docs.select("text").mapInArrow(run, "token long, id long")
-
-
-def star_edges(ids: list[int], side: np.ndarray, said: list[str], order: Order, words: int) -> list[tuple[int, int]]:
-    """Links among texts that met, as stars. Texts of one side of two were compared elsewhere."""
+                    prefix, matches = sent.value.prefix(s)
+                    rows.append((set_id(s), len(s), matches, signed(prefix)))
+            if rows:
+                ids, n, matches, prefixes = zip(*rows)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(matches, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))],
+                    names=["id", "n", "matches", "prefix"])
+
+    return docs.select("text").mapInArrow(run, "id long, n long, matches long, prefix array<long>")
+
+
+class Marked:
+    """Arrays of numbers laid end to end, to count what one of them shares with all that follow."""
+
+    def __init__(self, arrays: list[np.ndarray]) -> None:
+        names, self.flat = np.unique(np.concatenate(arrays), return_inverse=True)
+        self.at = np.concatenate([[0], np.cumsum([len(a) for a in arrays])])
+        self.mark = np.zeros(len(names), np.int32)
+
+    def shared(self, i: int, others: np.ndarray | None = None) -> np.ndarray:
+        """With each array after the i-th, or with each of ``others``."""
+        own = self.flat[self.at[i]:self.at[i + 1]]
+        self.mark[own] = 1
+        if others is None:
+            begin = self.at[i + 1]
+            out = np.add.reduceat(self.mark[self.flat[begin:]], self.at[i + 1:-1] - begin)
+        else:
+            out = np.array([self.mark[self.flat[self.at[x]:self.at[x + 1]]].sum() for x in others])
+        self.mark[own] = 0
+        return out
+
+
+def joined(n: int, pairs: Callable[[int, np.ndarray], np.ndarray]) -> np.ndarray:
+    """The smallest place reachable from each of n, where ``pairs(i, label)`` gives places after i linked with it."""
+    label = np.arange(n)
+    for i in range(n - 1):
+        for x in pairs(i, label):
+            low, high = sorted((label[i], label[x]))
+            if low != high:
+                label[label == high] = low
+    return label
+
+
+def candidates(n: np.ndarray, matches: np.ndarray, prefixes: list[np.ndarray], side: np.ndarray, percent: int) -> np.ndarray:
+    """Members of a family by what their prefixes connect; one alone has no candidate."""
+    marked, across = Marked(prefixes), bool(side.any())
+
+    def pairs(i: int, label: np.ndarray) -> np.ndarray:
+        j = np.arange(i + 1, len(n))
+        ok = (marked.shared(i) >= np.minimum(matches[i], matches[j])) & (label[j] != label[i]) & \
+            (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+        return j[ok & (side[j] != side[i])] if across else j[ok]
+
+    return joined(len(n), pairs)
+
+
+def links(said: list[str], side: np.ndarray, order: Order, words: int) -> np.ndarray:
+    """Texts by their verified links: candidates by prefix, then whole sets."""
     sets = [shingles(t, words) for t in said]
     n = np.array([len(s) for s in sets])
     taken = [order.prefix(s) for s in sets]
-    least = np.array([k for _, k in taken])
-
-    def numbered(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, int]:
-        """Numbers of the members of all parts laid end to end, where each part begins, how many there are."""
-        names, flat = np.unique(np.concatenate(parts), return_inverse=True)
-        return flat, np.concatenate([[0], np.cumsum([len(p) for p in parts])]), len(names)
-
-    pre, pre_at, n_pre = numbered([p for p, _ in taken])
-    all_, all_at, n_all = numbered(sets)
-    label, mark_pre, mark_all = np.arange(len(ids)), np.zeros(n_pre, np.int32), np.zeros(n_all, np.int32)
-    for i in range(len(ids) - 1):
-        mine = pre[pre_at[i]:pre_at[i + 1]]
-        mark_pre[mine] = 1
-        rest = slice(pre_at[i + 1], None)
-        shared = np.add.reduceat(mark_pre[pre[rest]], pre_at[i + 1:-1] - pre_at[i + 1])
-        mark_pre[mine] = 0
-        j = np.arange(i + 1, len(ids))
-        ok = (shared >= np.minimum(least[i], least[j])) & (label[j] != label[i]) & \
+    matches, marked, whole, across = np.array([k for _, k in taken]), Marked([p for p, _ in taken]), Marked(sets), bool(side.any())
+
+    def pairs(i: int, label: np.ndarray) -> np.ndarray:
+        j = np.arange(i + 1, len(n))
+        ok = (marked.shared(i) >= np.minimum(matches[i], matches[j])) & (label[j] != label[i]) & \
             (100 * np.minimum(n[i], n[j]) >= order.percent * np.maximum(n[i], n[j]))
-        if side.any():
-            ok &= side[j] != side[i]
-        j = j[ok]
-        if not len(j):
-            continue
-        own = all_[all_at[i]:all_at[i + 1]]
-        mark_all[own] = 1
-        both = np.array([mark_all[all_[all_at[x]:all_at[x + 1]]].sum() for x in j])
-        mark_all[own] = 0
-        for x in j[100 * both >= order.percent * (n[i] + n[j] - both)]:
-            a, b = label[i], label[x]
-            if a != b:
-                label[label == max(a, b)] = min(a, b)
-    return [(ids[r], ids[x]) for x, r in enumerate(label) if r != x]
-
-
-def _linked(met: DataFrame, words: int, sent) -> DataFrame:
-    """a, b: stars of links of each family or pair of blocks."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("id")
-        edges = star_edges(pdf["id"].tolist(), (pdf["block"] != pdf["low"]).to_numpy(), pdf["text"].tolist(), sent.value, words) \
-            if len(pdf) > 1 else []
-        return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
-
-    return met.groupBy("leader", "low", "high").applyInPandas(run, "a long, b long")
+        j = j[ok & (side[j] != side[i])] if across else j[ok]
+        if len(j):
+            both = whole.shared(i, j)
+            j = j[100 * both >= order.percent * (n[i] + n[j] - both)]
+        return j
+
+    return joined(len(n), pairs)
+
+
+def _families(frame: DataFrame, keys: list[str], fn: Callable[[list[tuple]], Iterator[tuple]], schema: str) -> DataFrame:
+    """Rows of each key handed to ``fn``, one family at a time, from sorted partitions."""
+    columns = frame.columns
+    out = StructType.fromDDL(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow = to_arrow_schema(out)
+
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                yield from zip(*([column(batch.column(c)) for c in columns]))
+
+        def column(values: pa.Array) -> list:
+            if not pa.types.is_list(values.type):
+                return values.to_pylist()
+            flat, at = values.values.to_numpy(), values.offsets.to_numpy()
+            return [flat[a:b] for a, b in zip(at, at[1:])]
+
+        made: list[tuple] = []
+        for _, own in groupby(rows(), key=lambda r: r[:len(keys)]):
+            made += fn(list(own))
+            if len(made) >= 5000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made), arrow)], schema=arrow)
+                made = []
+        if made:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made), arrow)], schema=arrow)
+
+    return frame.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, out)
 
 
 def _classes(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -196,30 +245,54 @@ def _classes(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Data
     often = often.where(F.col("held") >= max(8, FREQUENT * sets.count())).orderBy(F.desc("held"), "id").limit(MOST_FREQUENT).toPandas()
     order = Order(often["id"].to_numpy(np.int64).view(np.uint64), often["held"].to_numpy(np.int64), percent)
     sent = spark.sparkContext.broadcast(order)  # at most MOST_FREQUENT shingles; which, changes no result
-    tokens = _prefixes(docs, words, sent)
+    prefixes = materialise(_prefixes(docs, words, sent), "prefixes")
+    tokens = prefixes.select(F.explode("prefix").alias("token"), "id")
     led = tokens.groupBy("token").agg(F.min("id").alias("leader"), F.max("id").alias("last")) \
         .where(F.col("leader") < F.col("last")).select("token", "leader")
     pairs = materialise(tokens.join(led, "token").select("leader", "id").distinct(), "families")
-    blocks = pairs.groupBy("leader").agg(F.ceil(F.count("*") / BLOCK).alias("n"))
-    first = sets.where("n_shingles > 0").groupBy("id").agg(F.min(F.struct("doc_id", "said")).alias("row"))
+    blocks = pairs.groupBy("leader").agg(F.ceil(F.count("*") / BLOCK).alias("n_blocks"))
     # each member goes to the pair of its block with every block, itself included
-    placed = pairs.join(blocks, "leader").withColumn("block", F.pmod(F.xxhash64("id"), F.col("n"))) \
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))) \
-        .select("leader", "id", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    placed = placed.join(first, "id").select("leader", "id", "block", "low", "high", "row.doc_id", "row.said")
-    whole = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("s"), "text")
-    met = placed.join(whole, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("said") == F.col("s"))) \
-        .select("leader", "low", "high", "block", "id", "text")
-    return sets, components(_linked(met, words, sent))
+    placed = pairs.join(blocks, "leader").withColumn("block", F.pmod(F.xxhash64("id"), F.col("n_blocks"))) \
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1))) \
+        .select("leader", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "id", "block")
+    keys = ["leader", "low", "high"]
+
+    def meet(rows: list[tuple]) -> Iterator[tuple]:
+        own = list({r[3]: r for r in rows}.values())
+        if len(own) > 1:
+            leader, low, high, ids, block, n, matches, taken = zip(*own)
+            label = candidates(np.array(n), np.array(matches), list(taken), np.array(block) != low[0], percent)
+            size = np.bincount(label)
+            for i, x in enumerate(label.tolist()):
+                if size[x] > 1:
+                    yield leader[i], low[i], high[i], x, ids[i], block[i]
+
+    met = materialise(_families(placed.join(prefixes, "id").select(*keys, "id", "block", "n", "matches", "prefix"), keys, meet,
+                                "leader long, low long, high long, part long, id long, block long"), "candidates")
+    first = sets.where("n_shingles > 0").groupBy("id").agg(F.min(F.struct("doc_id", "said")).alias("row"))
+    asked = met.join(first, "id").select(*keys, "part", "id", "block", F.col("row.doc_id").alias("d"), F.col("row.said").alias("s"))
+    asked = materialise(asked, "asked")  # with a known size, a small one is sent to the texts
+    told = docs.withColumn("said", F.xxhash64("text")).join(
+        asked, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("said") == F.col("s"))).select(*keys, "part", "id", "block", "text")
+
+    def verify(rows: list[tuple]) -> Iterator[tuple]:
+        own = list({r[4]: r for r in rows}.values())
+        if len(own) > 1:
+            _, low, _, _, ids, block, said = zip(*own)
+            label = links(list(said), np.array(block) != low[0], sent.value, words)
+            yield from ((ids[x], ids[i]) for i, x in enumerate(label.tolist()) if i != x)
+
+    return sets, components(_families(told, [*keys, "part"], verify, "a long, b long"))
 
 
 def groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, said (a hash of the text), n_shingles and component_id of every document."""
-    sets, found = _classes(docs.select("doc_id", "text"), words, percent)
-    # an empty set stands for itself alone
-    named = sets.join(found, sets["id"] == found["node"], "left").select(
-        "doc_id", "said", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "id")).alias("class"))
-    named = materialise(named, "classes")
+    with tidy(docs.sparkSession):
+        sets, found = _classes(docs.select("doc_id", "text"), words, percent)
+        # an empty set stands for itself alone
+        named = sets.join(found, sets["id"] == found["node"], "left").select(
+            "doc_id", "said", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "id")).alias("class"))
+        named = materialise(named, "classes")
     smallest = named.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("component_id"))
     return named.join(smallest, "class", "left").select(
         "doc_id", "said", "n_shingles", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
