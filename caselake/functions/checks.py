@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, functions as F, types as T
@@ -74,6 +75,11 @@ def _java_type(actual: T.DataType) -> str:
     return next((JAVA_NAMES[k] for k, v in SPARK_TYPES.items() if v.simpleString() == name), name)
 
 
+def type_name(declared: str) -> str:
+    """A declared type as failures show it: words in capitals."""
+    return re.sub(r"(?=[A-Z])", "_", declared).upper()
+
+
 Check = tuple[Column, Column]
 """(fails?, the failure to report)"""
 
@@ -81,15 +87,14 @@ Check = tuple[Column, Column]
 def _single(e: Expect, name: str, c: Column, actual: T.DataType) -> list[Check]:
     java = _java_type(actual)
     if not _is(actual, e.type):
-        return [(c.isNotNull(), failure(name, "type", f"{e.type} ({JAVA_NAMES[e.type]})", value_shape(c, java)))]
+        return [(c.isNotNull(), failure(name, "type", f"{type_name(e.type)} ({JAVA_NAMES[e.type]})", value_shape(c, java)))]
     out = []
     if e.type == "code" and e.codes:
         out.append((~c.isin(list(e.codes)),
                     failure(name, "codeList", f"one of [{', '.join(e.codes)}]", value_shape(c))))
     if e.type == "ref" and e.ref_type:
         out.append((~c["typeName"].eqNullSafe(F.lit(e.ref_type)) & c.isNotNull(),
-                    failure(name, "refType", f"a reference to {e.ref_type}",
-                            F.concat(F.lit("CanonicalRef("), c["typeName"], F.lit(")")))))
+                    failure(name, "refType", f"a reference to {e.ref_type}", F.lit("CanonicalRef"))))
     if e.pattern and isinstance(actual, T.StringType):
         out.append((~c.rlike(rf"\A(?:{e.pattern})\z"),
                     failure(name, "pattern", f"text matching {e.pattern}", value_shape(c))))
@@ -127,7 +132,7 @@ def _checks(schema: Schema, cols: dict[str, tuple]) -> tuple[list[Check], list[C
             checks += _single(e, e.name, c, actual)
         elif not isinstance(actual, T.ArrayType):
             checks.append((c.isNotNull(), failure(
-                e.name, "repeated", f"a list of {e.type}", value_shape(c, _java_type(actual)))))
+                e.name, "repeated", f"a list of {type_name(e.type)}", value_shape(c, _java_type(actual)))))
         else:
             nested += _elements(e, c, actual)
     if not schema.tolerant:
