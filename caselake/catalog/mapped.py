@@ -11,6 +11,7 @@ from caselake.functions.text import normalise_date, normalise_identifier, normal
 from caselake.functions.transforms import Step, apply_step
 from caselake.operators import resolve as who
 from caselake.operators.store import Tables
+from caselake.plans.flow import QUARANTINE, keep_rejects
 from caselake.plans.justice import dispatch_mapping
 from caselake.plans.mapping import MappedRun, preview, run_mapping, trace
 from caselake.session import scratch_path
@@ -458,7 +459,11 @@ WITH {DISPATCH_SQL}, {HELD_SQL}
 SELECT sha256('run' || chr(31) || CAST(o_orderkey AS VARCHAR) || chr(31) || hop) AS quarantine_id, hop, 'input' AS direction,
   COUNT(*) AS failures, arg_min(inc, o_orderkey) AS inc FROM held JOIN g USING (o_orderkey) GROUP BY 1, 2""")
 def c11_quarantine(spark, sf):
-    return dispatch_run(spark, sf).quarantine().select(
+    """Read back from the store that a run leaves its rejected rows in; kept twice, they are there once."""
+    store, run = Tables(spark, scratch_path(spark, "rejects")), dispatch_run(spark, sf)
+    keep_rejects(run, store)
+    keep_rejects(run, store)
+    return store.read(QUARANTINE).select(
         "quarantine_id", "hop", "direction", F.size("failures").cast("bigint").alias("failures"),
         F.get_json_object("values", "$.INC_NUM").alias("inc"))
 

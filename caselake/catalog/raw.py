@@ -252,6 +252,19 @@ def s7_envelopes(spark, sf):
     return order_envelopes(spark, sf).select("envelope_id", "content_hash", "offset", F.col("payload").cast("string").alias("payload"))
 
 
+@query("s8_source_order", """
+WITH n AS (SELECT o_orderkey, 'a.csv#' || CASE WHEN k < 1000000 THEN printf('%06d', k) ELSE CAST(k AS VARCHAR) END AS "offset", ROW_NUMBER() OVER (ORDER BY k) - 1 AS i
+  FROM (SELECT o_orderkey, o_orderkey + 995000 AS k FROM orders))
+SELECT "offset", CAST(i // 1000 AS BIGINT) + 1 AS batch_no, CAST(i % 1000 AS BIGINT) AS seq FROM n""")
+def s8_source_order(spark, sf):
+    """Line numbers on both sides of 999 999 keep their order."""
+    number = (F.col("o_orderkey") + 995000).cast("string")
+    lines = order_lines(spark, sf).withColumn("offset", F.concat(F.lit("a.csv#"), F.when(F.length(number) < 6, F.lpad(number, 6, "0")).otherwise(number)))
+    b = Bronze(spark, scratch_path(spark, "raw"), "town")
+    b.land(src.as_envelopes(lines, "orders"), "orders", "first")
+    return b.read("orders").select("offset", "batch_no", "seq")
+
+
 @query("s8_append_batches", f"""
 WITH {ORDER_LINE_SQL} SELECT batch_id, seq, "offset", payload FROM stored""")
 def s8_append_batches(spark, sf):

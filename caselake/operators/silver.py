@@ -35,9 +35,9 @@ class Silver:
         return rows.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
                              for f in schema])
 
-    def append(self, tables: dict[str, DataFrame]) -> list[Commit]:
-        """V2"""
-        done = [self.store.append(n, self._shaped(n, rows)) for n, rows in tables.items()]
+    def append(self, tables: dict[str, DataFrame], tag: str | None = None) -> list[Commit]:
+        """V2: under a tag, types that already have its rows are left as they are."""
+        done = [self.store.append(n, self._shaped(n, rows), tag) for n, rows in tables.items()]
         return [c for c in done if c is not None]
 
     def rewrite(self, tables: dict[str, DataFrame]) -> list[Commit]:

@@ -17,6 +17,9 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types a
 from caselake.sources.files_meta import Markers, claim_tenant
 
 
+SETS = "_sets"
+
+
 @dataclass(frozen=True)
 class Commit:
     name: str
@@ -32,9 +35,13 @@ class Tables:
             claim_tenant(spark, self.root, tenant)
         self.markers = Markers(spark, self.root)
 
-    def _log(self, name: str) -> list[dict]:
+    def _entries(self, name: str) -> list[dict]:
         return sorted(self.markers.read_all_json(f"{name}/_log"), key=lambda e: e["version"])
 
+    def _log(self, name: str) -> list[dict]:
+        """What readers see: entries of a change set count once the set's own marker is there."""
+        return [e for e in self._entries(name) if "set" not in e or self.markers.exists(f"{SETS}/{e['set']}.json")]
+
     def _current(self, name: str) -> list[dict]:
         log = self._log(name)
         return [e for e in log if e["generation"] == log[-1]["generation"]] if log else []
@@ -46,9 +53,12 @@ class Tables:
 
     def _stage(self, name: str, df: DataFrame, fresh: bool) -> dict:
         """Write the rows where nobody looks yet; the entry is what would make them current."""
-        log = self._log(name)
+        log, entries = self._log(name), self._entries(name)
         last = log[-1] if log else {"version": 0, "generation": 0, "dropped": True}
-        version = last["version"] + 1
+        # an unfinished change set keeps its numbers and its generation to itself
+        version = entries[-1]["version"] + 1 if entries else 1
+        if fresh or last.get("dropped"):
+            last = {**last, "generation": max([e["generation"] for e in entries], default=0)}
         generation = last["generation"] + (1 if fresh or last.get("dropped") else 0)
         path = f"{name}/gen={generation}/snapshot={version}-{uuid.uuid4().hex[:8]}"
         df.write.mode("error").parquet(f"{self.root}/{path}")
@@ -61,28 +71,36 @@ class Tables:
                                  {**entry, "at": datetime.now(timezone.utc).isoformat()})
         return Commit(name, entry["version"], entry["records"], entry["generation"])
 
-    def append(self, name: str, df: DataFrame) -> Commit | None:
-        """V2: an empty append adds no snapshot. A second writer of the same version is refused."""
+    def append(self, name: str, df: DataFrame, tag: str | None = None) -> Commit | None:
+        """V2: an empty append adds no snapshot. A second writer of the same version is refused.
+
+        What was appended under a tag is not appended again under it, so a retried slice is stored once.
+        """
+        if tag is not None and any(e.get("tag") == tag for e in self._current(name)):
+            return None
         entry = self._stage(name, df, fresh=False)
         if entry["records"] == 0 and self._current(name):
             return None
-        return self._publish(name, entry)
+        return self._publish(name, entry if tag is None else {**entry, "tag": tag})
 
     def replace(self, name: str, df: DataFrame) -> Commit:
         """Write a new generation, then switch; if the write fails the old one stays."""
         return self._publish(name, self._stage(name, df, fresh=True))
 
     def replace_all(self, tables: dict[str, DataFrame]) -> list[Commit]:
-        """P10: every table is fully written before the first one is switched."""
-        staged = [(name, self._stage(name, df, fresh=True)) for name, df in tables.items()]
-        return [self._publish(name, entry) for name, entry in staged]
+        """P10: all of the tables or none: one marker, written last, makes the whole set current."""
+        change = uuid.uuid4().hex
+        staged = [(name, {**self._stage(name, df, fresh=True), "set": change}) for name, df in tables.items()]
+        commits = [self._publish(name, entry) for name, entry in staged]
+        self.markers.create_json(f"{SETS}/{change}.json", {"tables": sorted(tables)})
+        return commits
 
     def drop(self, name: str) -> None:
-        log = self._log(name)
+        log = self._entries(name)
         if log:
             version = log[-1]["version"] + 1
             self.markers.create_json(f"{name}/_log/{version:012d}.json", {
-                "version": version, "generation": log[-1]["generation"] + 1, "dropped": True, "records": 0})
+                "version": version, "generation": max(e["generation"] for e in log) + 1, "dropped": True, "records": 0})
 
     def read(self, name: str, schema: T.StructType | None = None, as_of: int | None = None) -> DataFrame:
         """V3/V4: current rows, or the generation as it was at a snapshot; never written reads as empty."""

@@ -131,7 +131,7 @@ class Relational:
         return {c.name: c.records for c in commits}
 
     def record_run(self, report: DataFrame, violations: DataFrame) -> None:
-        """Kept apart from the projected tables, so a rebuild leaves them alone."""
+        """The report and a row per violation, kept apart from the projected tables, so a rebuild leaves them alone."""
         self.store.append("_runs", report)
         self.store.append("_violations", violations)
 

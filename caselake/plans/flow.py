@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 
 from caselake.operators.silver import Silver
-from caselake.operators.store import Commit
+from caselake.operators.store import Commit, Tables
 from caselake.plans.mapping import MappedRun, Mapping, MappingRefused, Resolver, run_mapping
 from caselake.sources.bronze import Bronze
 
@@ -36,14 +36,28 @@ class RunResult:
         return self.quarantined == 0
 
 
+QUARANTINE, VIOLATIONS, RUNS = "quarantine", "violations", "runs"
+
+
+def keep_rejects(run: MappedRun, store: Tables) -> None:
+    """What a run held back, with its values (this store is restricted), why, and the run's report.
+
+    Each under the run's id, so a repeated run is kept once.
+    """
+    for name, rows in ((QUARANTINE, run.quarantine()), (VIOLATIONS, run.violation_rows()), (RUNS, run.report())):
+        store.append(name, rows, run.run_id)
+
+
 def execute(bronze: Bronze, silver: Silver, mapping: Mapping, resolvers: dict[str, Resolver], run_id: str,
             first: str | None = None, last: str | None = None, sinks: dict[str, Sink] | None = None,
-            rewrite: bool = False) -> RunResult:
-    """Read a range of the raw store, map it, write silver, feed the projections."""
+            rewrite: bool = False, rejects: Tables | None = None) -> RunResult:
+    """Read a range of the raw store, map it, write silver and what was held back, feed the projections."""
     run = run_mapping(bronze.read(mapping.source_id, first, last), mapping, resolvers, run_id)
     tables = run.by_type()
     commits = silver.rewrite(tables) if rewrite else silver.append(tables)
     written = {c.name: silver.read(c.name) if rewrite else tables[c.name] for c in commits}
+    if rejects is not None:
+        keep_rejects(run, rejects)
     projected = fan_out(written, sinks or {}, run_id)
     account = run.account().first()
     return RunResult(run, commits, projected, account["landed"], account["quarantined"])

@@ -262,6 +262,11 @@ class MappedRun:
         """The same rows as events, shapes only."""
         return self._held(with_values=False)
 
+    def violation_rows(self) -> DataFrame:
+        """One row per violation, shapes only."""
+        return self.violations().select("quarantine_id", "run_id", "source_id", "envelope_id", "ord", "hop", "contract", "direction",
+                                        "record_type", F.explode("failures").alias("f")).select("*", "f.*").drop("f")
+
     def _explained(self) -> DataFrame:
         """The rows with a held hop, and per hop ``in``, ``fail``, ``idfail`` and ``out``: what broke, in that order."""
         any_held = F.lit(False)
@@ -285,14 +290,14 @@ class MappedRun:
             missing = []
             if hop.identity.mode == "resolve":
                 missing.append(F.when(F.col(tag + "id").isNull(), _identity_failure(
-                    "no identity-bearing attribute was produced for entity type " + hop.identity.entity_type)))
+                    f"nothing produced tells one {hop.identity.entity_type} from another")))
             for name in hop.identity.derive_from:
                 part = _identity_part(name, scope.emitted, identity_of)
                 missing.append(F.when(~F.coalesce(is_stated(part), F.lit(False)), _identity_failure(
                     f"identity field '{name}' produced no value")))
             for role, giver in hop.roles.items():
                 missing.append(F.when(identity_of(giver).isNull(), _identity_failure(
-                    f"role '{role}' expects an identity from hop '{giver}', which produced none")))
+                    f"hop '{giver}' gave no identity for role '{role}'")))
             new[tag + "idfail"] = _none(missing)
             new[tag + "out"] = checks.failures(checks.schema_of(hop.contract.emits), _output_columns(hop, tag, d.emitted))
         frame.set(new)

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from caselake.operators.ordering import with_row_index
-from caselake.sources.envelopes import ENVELOPE, content_hash
+from caselake.sources.envelopes import ENVELOPE, content_hash, place
 from caselake.sources.files_meta import Markers, claim_tenant
 
 BATCH_SIZE = 1000
@@ -53,10 +53,10 @@ class Bronze:
 
     # -- writing ------------------------------------------------------------------------
     def land(self, envelopes: DataFrame, source_id: str, landing_id: str, batch_size: int = BATCH_SIZE,
-             posture: str = "RETAINED", order: tuple[str, ...] = ("offset", "envelope_id")) -> Landing:
+             posture: str = "RETAINED") -> Landing:
         """Number, write, receipt, commit, in that order. Repeating a landing id is a no-op.
 
-        ``order`` must be total up to rows that are exact repeats of one another.
+        Records are numbered in the order of their source: line 1000000 comes after line 999999.
         """
         if posture == "TRANSIENT":
             raise LandingRefused(f"source '{source_id}' is transient and is never landed")
@@ -65,7 +65,9 @@ class Bronze:
             c = done[landing_id]
             return Landing(landing_id, c["first_batch"], c["last_batch"], c["records"], True)
         first = max([c["last_batch"] for c in done.values()], default=0) + 1
-        numbered = with_row_index(envelopes, list(order))
+        stem, number = place(F.col("offset"))
+        numbered = with_row_index(envelopes.withColumns({"_stem": stem, "_number": number}),
+                                  ["_stem", "_number", "offset", "envelope_id"]).drop("_stem", "_number")
         if not numbered.filter(~F.col("source_id").eqNullSafe(F.lit(source_id))).isEmpty():
             raise LandingRefused(f"a landing holds one source; some envelopes are not from '{source_id}'")
         batch_no = F.floor(F.col("row_index") / batch_size).cast("bigint") + first
@@ -78,7 +80,7 @@ class Bronze:
         written = self.spark.read.parquet(path)
         receipts = written.groupBy("batch_no", "batch_id").agg(
             F.lit(source_id).alias("source_id"), F.count("*").alias("record_count"),
-            F.min("offset").alias("first_offset"), F.max("offset").alias("last_offset"),
+            F.min_by("offset", "ord").alias("first_offset"), F.max_by("offset", "ord").alias("last_offset"),
             F.max("source_asserted_timestamp").alias("latest_asserted"), F.current_timestamp().alias("landed_at"))
         receipt_path = f"{self.root}/receipts/source_id={source_id}/landing={landing_id}"
         receipts.drop("source_id").write.mode("overwrite").parquet(receipt_path)

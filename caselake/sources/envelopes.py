@@ -14,6 +14,11 @@ KAFKA = ("key binary, value binary, topic string, partition int, offset bigint,
 CREATE_TIME = 0
 
 
+def place(offset: Column) -> list[Column]:
+    """Source order of an offset: what stands before its last number, then that number as a number."""
+    return [F.regexp_extract(offset, r"^(.*?)(\d*)$", 1), F.regexp_extract(offset, r"(\d{1,38})$", 1).try_cast("decimal(38,0)")]
+
+
 def content_hash(payload: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(payload, 256))
 
@@ -47,16 +52,17 @@ def numbered_lines(spark: SparkSession, directory: str, glob: str = "*", encodin
     """
     reader = spark.read.option("pathGlobFilter", glob).option("encoding", encoding)
     lines = reader.text(directory).select(
-        "value", F.col("_metadata.file_name").alias("file_name"),
+        "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file_name"),
         F.col("_metadata.file_block_start").alias("block"),
         F.col("_metadata.file_modification_time").alias("modified")).withColumn(
         "row", F.monotonically_increasing_id())
-    blocks = lines.groupBy("file_name", "block").agg(F.min("row").alias("first_row"), F.count("*").alias("n"))
+    blocks = lines.groupBy("path", "block").agg(F.min("row").alias("first_row"), F.count("*").alias("n"))
     # One row per split: the running count is over splits of a file, not over its lines.
-    earlier = Window.partitionBy("file_name").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    before = blocks.select("file_name", "block", "first_row",
+    earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    before = blocks.select("path", "block", "first_row",
                            F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    return lines.join(before, ["file_name", "block"]).select(
+    # One row per split goes to every task, so that no line moves.
+    return lines.join(F.broadcast(before), ["path", "block"]).select(
         "file_name", "modified", "value", (F.col("row") - F.col("first_row") + F.col("before") + 1).alias("line_number"))
 
 
@@ -67,8 +73,8 @@ def file_lines(spark: SparkSession, directory: str, source_id: str, glob: str =
         (F.col("line_number") > skip_header_lines) & is_stated(F.col("value")))
     padded = F.when(F.length(F.col("line_number").cast("string")) < 6,
                     F.lpad(F.col("line_number").cast("string"), 6, "0")).otherwise(F.col("line_number").cast("string"))
-    body = F.encode("value", encoding) if encoding.upper() not in ("UTF-8", "UTF8") else F.col("value").cast("binary")
-    return as_envelopes(kept.select(body.alias("payload"), F.concat("file_name", F.lit("#"), padded).alias("offset"),
+    # The text source hands a line's bytes on as they are, whatever they mean in ``encoding``.
+    return as_envelopes(kept.select(F.col("value").cast("binary").alias("payload"), F.concat("file_name", F.lit("#"), padded).alias("offset"),
                                     "modified"), source_id, instance, asserted="modified")
 
 

@@ -8,6 +8,7 @@ atomic step that makes a finished write visible.
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -51,7 +52,8 @@ class Markers:
         if self._fs.exists(target):
             raise FileExistsError(f"{name} is already committed")
         folder, _, base = name.rpartition("/")
-        side = self._path(f"{folder}/._{base}.tmp" if folder else f"._{base}.tmp")
+        own = f"._{base}.{uuid.uuid4().hex}.tmp"     # two writers never share a side file
+        side = self._path(f"{folder}/{own}" if folder else own)
         self._fs.mkdirs(target.getParent())
         out = self._fs.create(side, True)
         try:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from caselake.operators.resolve import resolve
 from caselake.operators.silver import Silver
@@ -18,7 +18,7 @@ from caselake.plans.mapping import Mapping, Resolver, run_mapping
 from caselake.sources.bronze import BATCH_SIZE, Bronze
 
 KEY_INDEX = "cluster_keys"
-INDEX_SCHEMA = "tenant string, entity_type string, key string, cluster_id string"
+INDEX_SCHEMA = "tenant string, entity_type string, key string, cluster_id string, epoch bigint"
 
 
 def land_stream(envelopes: DataFrame, bronze: Bronze, source_id: str, checkpoint: str,
@@ -38,7 +38,8 @@ def map_stream(bronze: Bronze, silver: Silver, mapping: Mapping,
                resolver_for: Callable[[int], dict[str, Resolver]]) -> Callable[[DataFrame, int], None]:
     """The batch function, run per landed slice; the rows it writes are the batch run's rows."""
     def then(landed: DataFrame, epoch: int) -> None:
-        silver.append(run_mapping(landed, mapping, resolver_for(epoch), f"epoch-{epoch}").by_type())
+        # A slice that comes again, after a stop between its rows and the checkpoint, finds its tag.
+        silver.append(run_mapping(landed, mapping, resolver_for(epoch), f"epoch-{epoch}").by_type(), f"epoch-{epoch:012d}")
 
     return then
 
@@ -49,16 +50,20 @@ class KeyIndex:
     def __init__(self, store: Tables, tenant: str):
         self.store, self.tenant = store, tenant
 
-    def read(self) -> DataFrame:
+    def read(self, before: int | None = None) -> DataFrame:
+        """The keys, or those that earlier slices than ``before`` brought."""
         spark: SparkSession = self.store.spark
         if KEY_INDEX not in self.store.names():
             return spark.createDataFrame([], INDEX_SCHEMA)
-        return self.store.read(KEY_INDEX)
+        keys = self.store.read(KEY_INDEX)
+        return keys if before is None else keys.filter(F.col("epoch").isNull() | (F.col("epoch") < before))
 
-    def resolver(self, supported: tuple[str, ...] = ("Person",)) -> Resolver:
+    def resolver(self, supported: tuple[str, ...] = ("Person",), epoch: int | None = None) -> Resolver:
+        """For a slice, name its ``epoch``: run again, it sees what it saw the first time and adds nothing twice."""
         def run(asked: DataFrame, entity_type: str) -> DataFrame:
-            result = resolve(asked, self.tenant, entity_type, index=self.read(), supported=supported)
-            self.store.append(KEY_INDEX, result.new_keys)
+            result = resolve(asked, self.tenant, entity_type, index=self.read(epoch), supported=supported)
+            keys = result.new_keys.withColumn("epoch", F.lit(epoch).cast("bigint"))
+            self.store.append(KEY_INDEX, keys, None if epoch is None else f"epoch-{epoch:012d}-{entity_type}")
             return result.assignments
         return run
 

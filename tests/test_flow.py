@@ -1,8 +1,9 @@
 """End to end: lines in files to raw store, mapping, silver, projections, replay, stream."""
 
-
+import os
 
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from caselake.model import ID
@@ -16,7 +17,7 @@ from caselake.plans.flow import ReplayRequest, dry_run, execute, replay
 from caselake.plans.justice import INCIDENT_DOCUMENT, MODEL, dispatch_mapping
 from caselake.plans.mapping import MappingRefused, preview, run_mapping, trace
 from caselake.sources.bronze import Bronze, IntegrityError, LandingRefused, Positions
-from caselake.sources.envelopes import as_envelopes, file_lines
+from caselake.sources.envelopes import as_envelopes, file_lines, positions_after, slice_records
 from caselake.sources.files_meta import TenantRefused
 from caselake.streaming.flows import KeyIndex, land_stream, map_stream
 
@@ -275,6 +276,61 @@ def test_graph_reads_and_documents(run):
     assert {r.outcome for r in got} == {"REJECTED"}
 
 
+def test_bytes_come_as_they_are(spark, folder):
+    os.makedirs(folder + "/in")
+    with open(folder + "/in/a.csv", "wb") as f:
+        f.write("Müller,é\n\nx\n".encode("iso-8859-1"))
+    lines = file_lines(spark, folder + "/in", "town", encoding="ISO-8859-1").orderBy("offset").collect()
+    assert [(bytes(r.payload), r.offset) for r in lines] == [(b"M\xfcller,\xe9", "a.csv#000001"), (b"x", "a.csv#000003")]
+
+
+def test_a_run_leaves_what_it_rejected(spark, drop, folder):
+    bronze = Bronze(spark, folder + "/raw", "town")
+    bronze.land(file_lines(spark, drop, "town", "*.csv", skip_header_lines=1), "town", "first")
+    rejects = Tables(spark, folder + "/rejects", "town")
+    for n in (1, 2):  # a repeated run is kept once
+        silver = Silver(Tables(spark, folder + f"/silver{n}", "town"), MODEL)
+        done = execute(bronze, silver, MAPPING, {"deterministic": deterministic("town")}, "run-1", rejects=rejects)
+        assert rejects.count("quarantine") == done.quarantined > 0 and rejects.count("runs") == 1
+    assert rejects.count("violations") >= done.quarantined
+    assert {r.envelope_id for r in rejects.read("quarantine").collect()} == {r.envelope_id for r in rejects.read("violations").collect()}
+
+
+def test_a_slice_never_skips_a_record(spark):
+    rows = spark.createDataFrame([("t", p, o, 100 - o) for p in (0, 1) for o in range(5 if p else 2)], "topic string, partition int, offset bigint, timestamp bigint")
+    after, seen = {}, []
+    while True:
+        taken = slice_records(rows, after, 2)
+        got = [(r.partition, r.offset) for r in taken.collect()]
+        if not got:
+            break
+        seen += got
+        after = positions_after(taken, after)
+    assert sorted(seen) == sorted((r.partition, r.offset) for r in rows.collect()) and len(seen) == len(set(seen))
+
+
+def test_a_change_set_is_seen_whole_or_not_at_all(spark, folder):
+    store = Tables(spark, folder + "/set")
+    store.replace_all({"a": spark.range(1), "b": spark.range(2)})
+    publish, done = store._publish, []
+
+    def stops(name, entry):
+        if done:
+            raise RuntimeError("stopped between two tables")
+        done.append(name)
+        return publish(name, entry)
+
+    store._publish = stops
+    with pytest.raises(RuntimeError):
+        store.replace_all({"a": spark.range(10), "b": spark.range(20)})
+    store._publish = publish
+    assert (store.count("a"), store.count("b"), store.read("a").count()) == (1, 2, 1)
+    store.append("a", spark.range(5))
+    assert store.read("a").count() == 6
+    store.replace_all({"a": spark.range(7), "b": spark.range(8)})
+    assert (store.read("a").count(), store.read("b").count()) == (7, 8)
+
+
 def test_stream_gives_the_rows_of_the_batch_run(spark, drop, run, folder):
     bronze = Bronze(spark, folder + "/raw", "town")
     silver = Silver(Tables(spark, folder + "/silver", "town"), MODEL)
@@ -282,9 +338,18 @@ def test_stream_gives_the_rows_of_the_batch_run(spark, drop, run, folder):
     lines = spark.readStream.format("text").option("pathGlobFilter", "*.csv").option("maxFilesPerTrigger", 1).load(drop) \
         .filter(~F.col("value").startswith("INC_NUM") & (F.col("value") != ""))
     stream = as_envelopes(lines.select(F.col("value").alias("payload"), F.sha2("value", 256).alias("offset")), "town")
-    then = map_stream(bronze, silver, MAPPING, lambda epoch: {"deterministic": index.resolver()})
-    query = land_stream(stream, bronze, "town", folder + "/ckpt", then=then)
-    query.awaitTermination()
+    store = map_stream(bronze, silver, MAPPING, lambda epoch: {"deterministic": index.resolver(epoch=epoch)})
+    stops = [0]
+
+    def then(landed, epoch):
+        store(landed, epoch)
+        if epoch in stops:
+            stops.remove(epoch)
+            raise RuntimeError("stopped")
+
+    with pytest.raises(StreamingQueryException):
+        land_stream(stream, bronze, "town", folder + "/ckpt", then=then).awaitTermination()
+    land_stream(stream, bronze, "town", folder + "/ckpt", then=then).awaitTermination()
     for name, rows in run.by_type().items():
         drop_cols = [c for c in rows.columns if c not in ("envelope_id", "ord", ID, "person")]
         assert same_rows(rows.select(*drop_cols), silver.read(name).select(*drop_cols)), name
