@@ -110,16 +110,13 @@ def s1_line_numbers(spark, sf):
 
 
 @query("s2_whole_files", """
-SELECT page_id, 'sha256:' || sha256(html || chr(10)) AS content_hash, CAST(octet_length(encode(html)) + 1 AS BIGINT) AS bytes
+SELECT 'sha256:' || sha256(html || chr(10)) AS content_hash, CAST(octet_length(encode(html)) + 1 AS BIGINT) AS bytes, 'pages' AS source_id
 FROM pages""")
 def s2_whole_files(spark, sf):
     folder = scratch_path(spark, "pages")
     table(spark, sf, "pages").select("page_id", "html").write.partitionBy("page_id").text(folder)
-    files = spark.read.format("binaryFile").load(folder)
-    landed = src.as_envelopes(files.select("page_id", F.col("content").alias("payload"), F.element_at(
-        F.split("path", "/"), -1).alias("offset")), "pages", keep=("page_id",))
-    return landed.select(F.col("page_id").cast("bigint").alias("page_id"), "content_hash",
-                         F.octet_length("payload").cast("bigint").alias("bytes"))
+    return src.whole_files(spark, folder, "pages", "part-*").select(
+        "content_hash", F.octet_length("payload").cast("bigint").alias("bytes"), "source_id")
 
 
 # -- S3, S4: topics ----------------------------------------------------------------------------------------

@@ -80,9 +80,13 @@ def by_status(spark: SparkSession, sf: str) -> Silver:
 SELECT * FROM (VALUES ('canonicalId', 'string'), ('person', 'struct<typeName:string,id:string>'), ('incident', 'struct<typeName:string,id:string>'),
   ('involvementCode', 'string')) t(name, type), (SELECT COUNT(*) AS records FROM orders)""")
 def v1_schema(spark, sf):
-    rows = changes(spark, sf)[LINK.name].select(*LINK.schema().names)
-    fields = F.array(*[F.struct(F.lit(f.name).alias("name"), F.lit(f.dataType.simpleString()).alias("type")) for f in rows.schema])
-    return rows.agg(F.count("*").alias("records")).select(F.explode(fields).alias("f"), "records").select("f.*", "records")
+    """The types the stored files have, row by row."""
+    root = scratch_path(spark, "silver")
+    Silver(Tables(spark, root, "town"), MODEL).append({LINK.name: changes(spark, sf)[LINK.name]})
+    stored = spark.read.parquet(f"{root}/{LINK.name}/gen=*/snapshot=*")
+    fields = F.array(*[F.struct(F.lit(n).alias("name"), F.typeof(n).alias("type")) for n in LINK.schema().names])
+    return stored.select(F.explode(fields).alias("f")).groupBy(F.col("f.name").alias("name"), F.col("f.type").alias("type")) \
+        .agg(F.count("*").alias("records"))
 
 
 @query("v2_append_read", "SELECT 'I/' || CAST(o_orderkey AS VARCHAR) AS id, printf('N%012d', o_orderkey) AS number FROM orders")
@@ -109,10 +113,19 @@ def v5_history_by_column(spark, sf):
     return versions.history_of(table(spark, sf, "orders").select(F.date_format("o_orderdate", "yyyy").alias("year")), "year")
 
 
+def stored_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    out = None
+    for name, rows in tables.items():
+        one = rows.agg(F.count("*").alias("records")).select(F.lit(name).alias("type"), "records")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("v6_counts", "SELECT 'Incident' AS type, COUNT(*) AS records FROM orders")
 def v6_counts(spark, sf):
+    """The types the log names, counted in what is stored."""
     silver = by_status(spark, sf)
-    return spark.createDataFrame(list(silver.counts().items()), "type string, records bigint")
+    return stored_counts({t: silver.read(t) for t in silver.counts()})
 
 
 @query("v7_drop_and_recreate", "SELECT COUNT(*) AS now, (SELECT COUNT(*) FROM orders) AS before FROM orders WHERE o_orderstatus = 'P'")
@@ -459,7 +472,9 @@ def p20_fan_out(spark, sf):
     sinks = {"graph": lambda c, run: {k.name: k.records for k in nodes.replace_all(graph.project(c, MODEL))},
              "tables": lambda c, run: {names[k]: n for k, n in rel.apply(c, run, "town", "m@1").items()}}
     done = fan_out({t: materialise(rows, "changes") for t, rows in changes(spark, sf).items()}, sinks, "run")
-    return spark.createDataFrame([(s, t, n) for s, per in done.items() for t, n in per.items()], "sink string, type string, n bigint")
+    stored = {"graph": {t: nodes.read(t) for t in done["graph"]}, "tables": {t: rel.table(t) for t in done["tables"]}}
+    counted = [stored_counts(tables).select(F.lit(sink).alias("sink"), "type", F.col("records").alias("n")) for sink, tables in stored.items()]
+    return counted[0].unionByName(counted[1])
 
 
 # -- G: reads ----------------------------------------------------------------------------------------------------
