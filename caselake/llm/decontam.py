@@ -238,8 +238,9 @@ def regions(docs: list[bytes], idx: Index) -> dict[int, list[tuple[int, int, int
 
 def in_text(text: str, found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
     """One row per item: first start, last end (code points of the text, whole words), fewest edits."""
-    words = [(m.start(), m.end()) for m in WORD.finditer(text.lower())]
-    sizes = np.array([len(text.lower()[a:b].encode()) + 1 for a, b in words])
+    matched = list(WORD.finditer(text.lower()))
+    words = [m.span() for m in matched]
+    sizes = np.array([len(m[0].encode()) + 1 for m in matched])
     ends = np.cumsum(sizes)
     by: dict[int, tuple[int, int, int]] = {}
     for item, a, b, edits in found:
