@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def texts(column: pa.Array | pa.ChunkedArray) -> list[str]:
@@ -14,6 +14,13 @@ def texts(column: pa.Array | pa.ChunkedArray) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The same rows, fewer at a time, so that a worker holds few texts as Python strings."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def map_rows(df: DataFrame, fn: Callable[[list[str]], list[list]], column: str, schema: str) -> DataFrame:
     """Keep every column of ``df`` but ``column``, add what ``fn`` gives for the texts of a batch.
 
@@ -30,7 +37,7 @@ def map_rows(df: DataFrame, fn: Callable[[list[str]], list[list]], column: str,
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(out)
-        for batch in batches:
+        for batch in slices(batches):
             new = fn(texts(batch.column(column)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in kept] + [pa.array(v, arrow.field(n).type) for n, v in zip(added.names, new)],
@@ -57,3 +64,12 @@ def tidy(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def drawn(rows: DataFrame, n: int, draw: Column) -> DataFrame:
+    """Some ``n`` rows, or all if there are no more: those whose hash ``draw`` falls into the wanted share.
+
+    Every task filters its own rows, so what reaches the driver is the sample and nothing else.
+    """
+    share = n / max(1, rows.count())
+    return rows if share >= 1 else rows.where(F.pmod(draw, F.lit(1 << 30)) < int(share * (1 << 30)))

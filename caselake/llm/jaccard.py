@@ -10,10 +10,10 @@ share at least k of the first ``n - o + k``. Each document takes the k that cost
 prefix would meet, by the counts, falls with k and its length grows. Two documents are candidates if
 their prefixes share the smaller of their ks.
 
-Documents are brought together by leaders: of all sets with a prefix shingle, the smallest leads, and
-each member goes to its leaders once, whatever the number of shingles they share. Whoever shares a
-prefix shingle meets under its leader. There prefixes are counted against each other, and members
-without a candidate leave. The others meet again with their texts, candidates are verified on whole
+Documents are brought together by leaders: of all sets with a shingle in their shortest prefix (k = 1,
+of which similar sets share one), the smallest leads, and each member goes to its leaders once,
+whatever the number of shingles they share. There the adapted prefixes are counted against each
+other, and members without a candidate leave. The others meet again with their texts, candidates are verified on whole
 sets, and a star per group of links leaves the task, so neither pairs of a family nor copies are
 ever rows. A family larger than ``BLOCK`` is met block against block.
 
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-from caselake.llm.arrow import texts, tidy, unused
+from caselake.llm.arrow import slices, texts, tidy, unused
 from caselake.llm.components import components
 from caselake.session import materialise
 
@@ -105,15 +105,20 @@ def _surveyed(docs: DataFrame, words: int) -> DataFrame:
     """A row per document (its set's id and size) and, with ``held``, a row per shingle frequent in a batch."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t, words) for t in texts(batch.column("text"))]
-            token, count = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint64), return_counts=True)
-            often = count >= max(3, FREQUENT / 2 * len(sets))
-            none = pa.nulls(int(often.sum()), pa.int64())
+            sets = [shingles(t, words) for part in slices([batch]) for t in texts(part.column("text"))]
+            own = [(len(s), set_id(s)) for s in sets]
+            least = max(3, int(FREQUENT / 2 * len(sets)))
+            every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+            del sets
+            every.sort()
+            token, count = np.unique(every[np.flatnonzero(every[least - 1:] == every[:max(0, len(every) - least + 1)])], return_counts=True)
+            count += least - 1
+            none = pa.nulls(len(token), pa.int64())
             keys = [pa.concat_arrays([batch.column(c).cast(pa.int64()), none]) for c in ("doc_id", "said")]
             yield pa.RecordBatch.from_arrays([
-                *keys, pa.concat_arrays([pa.array([len(s) for s in sets], pa.int64()), none]),
-                pa.array(np.concatenate([np.array([set_id(s) for s in sets], np.int64), signed(token[often])])),
-                pa.concat_arrays([pa.nulls(len(sets), pa.int64()), pa.array(count[often].astype(np.int64))])],
+                *keys, pa.concat_arrays([pa.array([n for n, _ in own], pa.int64()), none]),
+                pa.array(np.concatenate([np.array([i for _, i in own], np.int64), signed(token)])),
+                pa.concat_arrays([pa.nulls(len(own), pa.int64()), pa.array(count.astype(np.int64))])],
                 names=["doc_id", "said", "n_shingles", "id", "held"])
 
     return docs.select("doc_id", F.xxhash64("text").alias("said"), "text").mapInArrow(
@@ -123,7 +128,7 @@ def _surveyed(docs: DataFrame, words: int) -> DataFrame:
 def _prefixes(docs: DataFrame, words: int, sent) -> DataFrame:
     """id, n, matches and prefix of every document with words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for text in texts(batch.column("text")):
                 s = shingles(text, words)
@@ -215,13 +220,13 @@ def _families(frame: DataFrame, keys: list[str], fn: Callable[[list[tuple]], Ite
         arrow = to_arrow_schema(out)
 
         def rows() -> Iterator[tuple]:
-            for batch in batches:
+            for batch in slices(batches):
                 yield from zip(*([column(batch.column(c)) for c in columns]))
 
         def column(values: pa.Array) -> list:
             if not pa.types.is_list(values.type):
                 return values.to_pylist()
-            flat, at = values.values.to_numpy(), values.offsets.to_numpy()
+            flat, at = values.values.to_numpy(), values.offsets.to_numpy()  # offsets of a slice count in all values
             return [flat[a:b] for a, b in zip(at, at[1:])]
 
         made: list[tuple] = []
@@ -246,7 +251,9 @@ def _classes(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Data
     order = Order(often["id"].to_numpy(np.int64).view(np.uint64), often["held"].to_numpy(np.int64), percent)
     sent = spark.sparkContext.broadcast(order)  # at most MOST_FREQUENT shingles; which, changes no result
     prefixes = materialise(_prefixes(docs, words, sent), "prefixes")
-    tokens = prefixes.select(F.explode("prefix").alias("token"), "id")
+    # whoever is similar shares a shingle of the shortest prefixes, so these alone bring documents together
+    shortest = F.slice("prefix", F.lit(1), (F.size("prefix") - F.col("matches") + 1).cast("int"))
+    tokens = prefixes.select(F.explode(shortest).alias("token"), "id")
     led = tokens.groupBy("token").agg(F.min("id").alias("leader"), F.max("id").alias("last")) \
         .where(F.col("leader") < F.col("last")).select("token", "leader")
     pairs = materialise(tokens.join(led, "token").select("leader", "id").distinct(), "families")
