@@ -6,7 +6,7 @@ its siblings. Boosted trees give each node log-odds of holding main text. Decodi
 over all nodes under one rule, that nothing below a rejected node is kept: bottom-up, a node is
 worth the better of "rejected, with all below it" and "kept, with each child at its best".
 
-The trees are fitted here, on pages written by a small layout grammar whose words come from at most
+The trees are fitted here, on pages written by a small layout grammar whose words come from some
 ``TRAIN_PAGES`` of the pages at hand: the layouts carry the labels (article parts against menus,
 headers, footers, sidebars, notices, adverts, forms, comments).
 
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from caselake.llm import boosting
-from caselake.llm.arrow import texts
+from caselake.llm.arrow import drawn, texts
 from caselake.llm.dom import Node, attributes, parse
 
 TRAIN_PAGES, TRAIN_CHARS, LAYOUTS = 200, 4000, 600
@@ -198,9 +198,9 @@ class _Layout:
 
 
 def fit(pages: DataFrame) -> boosting.Trees:
-    """Trees fitted on LAYOUTS labelled pages; at most TRAIN_PAGES rows of ``pages`` lend their words."""
-    rows = pages.where("html IS NOT NULL").select(F.substring("html", 1, TRAIN_CHARS).alias("html"), F.xxhash64("html").alias("draw")) \
-        .orderBy("draw").limit(TRAIN_PAGES).collect()
+    """Trees fitted on LAYOUTS labelled pages; some TRAIN_PAGES rows of ``pages`` lend their words."""
+    rows = sorted(drawn(pages.where("html IS NOT NULL"), TRAIN_PAGES, F.xxhash64("page_id", "html"))
+                  .select(F.substring("html", 1, TRAIN_CHARS).alias("html")).collect())
     words = [w for r in rows for x in parse(r.html) if x.text for w in x.text.split() if "<" not in w and "&" not in w]
     layouts = _Layout(random.Random(7), words or ["word"] * 400)
     x, y = [], []

@@ -2,7 +2,7 @@
 
 The posterior of a row's language multiplies
 
-* the likelihood of its text under byte-trigram models, one per language, fitted on at most
+* the likelihood of its text under byte-trigram models, one per language, fitted on some
   ``TRAIN_ROWS`` labelled texts (``TRAIN_CHARS`` characters of each); the log-likelihood is tempered,
   since neighbouring trigrams repeat each other;
 * the likelihood of the language its markup declares (a confusion table over all rows);
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
-from caselake.llm.arrow import texts, unused
+from caselake.llm.arrow import drawn, slices, texts, unused
 from caselake.session import materialise
 
 TRAIN_ROWS, TRAIN_CHARS = 4000, 2000
@@ -58,11 +58,11 @@ def folded(text: str) -> bytes:
 def fit(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages and the log-probability of each trigram slot in them.
 
-    Rows are chosen by a hash of their text, so the sample doesn't follow the order of files.
+    Rows are drawn by a hash, so the sample doesn't follow the order of files.
     """
-    rows = docs.where("lang IS NOT NULL AND length(trim(text)) > 0") \
-        .select("lang", F.substring("text", 1, TRAIN_CHARS).alias("said"), F.xxhash64("text").alias("draw")) \
-        .orderBy("draw", "lang").limit(TRAIN_ROWS).collect()
+    labelled = docs.where("lang IS NOT NULL")
+    rows = drawn(labelled, TRAIN_ROWS, F.xxhash64("doc_id", "text")).where("length(trim(text)) > 0") \
+        .select("lang", F.substring("text", 1, TRAIN_CHARS).alias("said")).collect()
     langs = sorted({r.lang for r in rows}) or ["und"]
     counts = np.full((SLOTS, len(langs)), 0.05, np.float64)
     for i, lang in enumerate(langs):
@@ -79,7 +79,7 @@ def text_posteriors(rows: DataFrame, model: tuple[list[str], np.ndarray], keys:
     out = StructType([rows.schema[k] for k in keys] + [StructField("loglik", numbers), StructField("votes", numbers)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             logs = []
             lettered = []
             for text in texts(batch.column("text")):
@@ -194,10 +194,7 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], keys: list[st
 
 
 def document_rows(docs: DataFrame) -> DataFrame:
-    """Documents with their evidence: the declared language, and the source as host.
-
-    ``prior`` is only a label for the fit; a document's own lang column is what its markup declared.
-    """
+    """Documents with their evidence: their lang column is what was declared, and the source is the host."""
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
     source = F.col("source") if "source" in docs.columns else F.lit(None).cast("string")
     return docs.select("doc_id", "text", lang.alias("declared"), source.alias("host"), domain_of(source).alias("domain"),

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from caselake.llm.arrow import texts
+from caselake.llm.arrow import slices, texts
 from caselake.llm.bpe import encoder
 
 MAX_LENGTH = 1024
@@ -40,7 +40,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, longest: int = MAX_LENGTH
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
-        for batch in batches:
+        for batch in slices(batches):
             rows: list[tuple] = []
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode.ids(texts(batch.column("text")))):
                 data = ids + end_id.to_bytes(4, "little")

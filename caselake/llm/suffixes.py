@@ -35,7 +35,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from caselake.llm.arrow import texts, tidy
+from caselake.llm.arrow import slices, texts, tidy
 from caselake.session import materialise
 
 LENGTH = 50
@@ -113,7 +113,7 @@ def lay_out(docs: DataFrame) -> DataFrame:
                 [pa.array([v], t) for v, t in zip(row, (pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary()))],
                 names=["batch", "doc_ids", "ends", "data"])
 
-        for batch in batches:
+        for batch in slices(batches):
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts(batch.column("text"))):
                 if size >= BATCH and (doc_id is None or doc_id != ids[-1]):
                     yield close()

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from caselake.llm.arrow import texts
+from caselake.llm.arrow import slices, texts
 from caselake.llm.bpe import encoder
 
 SHARD_IDS = 1 << 20
@@ -129,7 +129,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
         encode = encoder(tokenizer)
         vocabulary = max(encode.tokenizer.get_vocab_size(), end_id + 1)
         shards = _Shards(TaskContext.get().partitionId(), 2 if vocabulary <= 1 << 16 else 4)
-        for batch in batches:
+        for batch in slices(batches):
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode.ids(texts(batch.column("text")))):
                 shards.add(doc_id, np.append(np.frombuffer(ids, "<u4"), np.uint32(end_id)))
                 if shards.n >= SHARD_IDS:

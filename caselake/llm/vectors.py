@@ -1,7 +1,7 @@
 """Embedding near-duplicates by a robust-pruned flat graph.
 
 1. Equal vectors are one class, known by its smallest id and its size.
-2. Centroids come from at most ``SAMPLE`` classes; every class joins its two nearest clusters, so
+2. Centroids come from some ``SAMPLE`` classes; every class joins its two nearest clusters, so
    shards overlap. A cluster beyond ``SHARD`` members is dealt into several shards.
 3. In each shard a class keeps up to ``DEGREE`` neighbours: of its nearest ones, those not nearer to a
    neighbour already taken by the factor ``ALPHA`` (robust pruning), and the way back. The lists of
@@ -26,6 +26,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from caselake.llm.arrow import drawn
 from caselake.llm.components import components
 from caselake.session import materialise
 
@@ -44,10 +45,10 @@ def unit(rows: np.ndarray) -> np.ndarray:
 
 def centroids(classes: DataFrame) -> np.ndarray:
     """Spherical k-means over a bounded sample drawn by hash; one centre for some PER_CLUSTER classes."""
-    rows = classes.select("rep", "vector").orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).collect()
+    rows = sorted(drawn(classes.select("rep", "vector"), SAMPLE, F.xxhash64("rep")).collect(), key=lambda r: r.rep)
     if not rows:
         return np.zeros((0, 0))
-    x = unit(np.array([r.vector for r in rows], float))
+    x = unit(np.array([r.vector for r in rows], float))[np.random.default_rng(1).permutation(len(rows))]
     k = max(1, min(MOST_CLUSTERS, -(-classes.count() // PER_CLUSTER), len(x)))
     centre = x[np.linspace(0, len(x) - 1, k).astype(int)].copy()
     for _ in range(ROUNDS):
