@@ -17,7 +17,8 @@ other, and members without a candidate leave. The others meet again with their t
 sets, and a star per group of links leaves the task, so neither pairs of a family nor copies are
 ever rows. A family larger than ``BLOCK`` is met block against block.
 
-Equal sets are one class, known by the hash of the set. Defined results: words are split at ASCII
+Equal sets are one class, known by the hash of the set; of each, one prefix goes on, so a group of copies
+weighs no more than one document from there to the end. Defined results: words are split at ASCII
 white space, only A-Z are lowered; with fewer words than a shingle the words are one shingle; without
 words, or with null text, the set is empty and links with nothing. Rows with equal ids are documents
 of their own; a null doc_id is never anybody's component_id unless the group has no other. An empty
@@ -126,22 +127,24 @@ def _surveyed(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _prefixes(docs: DataFrame, words: int, sent) -> DataFrame:
-    """id, n, matches and prefix of every document with words."""
+    """id, n, matches and prefix of every distinct set with words; copies go in the tasks, before anything is shuffled."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            rows = []
+            rows, known = [], set()
             for text in texts(batch.column("text")):
                 s = shingles(text, words)
-                if len(s):
+                own = set_id(s)
+                if len(s) and own not in known:
+                    known.add(own)
                     prefix, matches = sent.value.prefix(s)
-                    rows.append((set_id(s), len(s), matches, signed(prefix)))
+                    rows.append((own, len(s), matches, signed(prefix)))
             if rows:
                 ids, n, matches, prefixes = zip(*rows)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(matches, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))],
                     names=["id", "n", "matches", "prefix"])
 
-    return docs.select("text").mapInArrow(run, "id long, n long, matches long, prefix array<long>")
+    return docs.select("text").mapInArrow(run, "id long, n long, matches long, prefix array<long>").dropDuplicates(["id"])
 
 
 class Marked:
@@ -210,8 +213,9 @@ def links(said: list[str], side: np.ndarray, order: Order, words: int) -> np.nda
 
 
 def _families(frame: DataFrame, keys: list[str], fn: Callable[[list[tuple]], Iterator[tuple]], schema: str) -> DataFrame:
-    """Rows of each key handed to ``fn``, one family at a time, from sorted partitions."""
+    """Rows of each key handed to ``fn``, one per id, one family at a time, from sorted partitions."""
     columns = frame.columns
+    at = columns.index("id")
     out = StructType.fromDDL(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,7 +235,7 @@ def _families(frame: DataFrame, keys: list[str], fn: Callable[[list[tuple]], Ite
 
         made: list[tuple] = []
         for _, own in groupby(rows(), key=lambda r: r[:len(keys)]):
-            made += fn(list(own))
+            made += fn(list({r[at]: r for r in own}.values()))
             if len(made) >= 5000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made), arrow)], schema=arrow)
                 made = []
@@ -264,8 +268,7 @@ def _classes(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Data
         .select("leader", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "id", "block")
     keys = ["leader", "low", "high"]
 
-    def meet(rows: list[tuple]) -> Iterator[tuple]:
-        own = list({r[3]: r for r in rows}.values())
+    def meet(own: list[tuple]) -> Iterator[tuple]:
         if len(own) > 1:
             leader, low, high, ids, block, n, matches, taken = zip(*own)
             label = candidates(np.array(n), np.array(matches), list(taken), np.array(block) != low[0], percent)
@@ -282,8 +285,7 @@ def _classes(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Data
     told = docs.withColumn("said", F.xxhash64("text")).join(
         asked, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("said") == F.col("s"))).select(*keys, "part", "id", "block", "text")
 
-    def verify(rows: list[tuple]) -> Iterator[tuple]:
-        own = list({r[4]: r for r in rows}.values())
+    def verify(own: list[tuple]) -> Iterator[tuple]:
         if len(own) > 1:
             _, low, _, _, ids, block, said = zip(*own)
             label = links(list(said), np.array(block) != low[0], sent.value, words)

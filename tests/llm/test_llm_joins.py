@@ -94,6 +94,22 @@ def test_longer_prefixes_ask_for_more_matches():
     assert rare.prefix(token[:1]) == (token[:1], 1)
 
 
+def test_copies_enter_a_family_once(spark, monkeypatch):
+    seen, families = [], jaccard._families
+
+    def counted(frame, keys, fn, schema):
+        if "prefix" in frame.columns:
+            seen.append((frame.count(), frame.select(*keys, "id").distinct().count()))
+        return families(frame, keys, fn, schema)
+
+    monkeypatch.setattr(jaccard, "_families", counted)
+    texts = family(random.Random(3), 5, 2)
+    rows = [(i, t, "x", "y") for i, t in enumerate(texts + texts[:1] * 400)]
+    got = jaccard.groups(spark.createDataFrame(rows, DOCS).repartition(6), 4, 85).collect()
+    assert len(got) == len(rows) and {r.component_id for r in got if r.doc_id >= 5} == {next(r.component_id for r in got if r.doc_id == 0)}
+    assert seen and all(rows == distinct for rows, distinct in seen)
+
+
 def test_rows_with_odd_ids_in_groups(spark):
     t = "one two three four five six seven"
     docs = spark.createDataFrame([(None, t, "a", None), (3, t, "b", None), (3, t, "b", None), (2, None, "c", None), (2, "", "c", None), (None, "alone in here with nobody", None, None)], DOCS)
