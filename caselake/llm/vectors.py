@@ -6,11 +6,13 @@
 3. In each shard a class keeps up to ``DEGREE`` neighbours: of its nearest ones, those not nearer to a
    neighbour already taken by the factor ``ALPHA`` (robust pruning), and the way back. The lists of
    all shards are united per class.
-4. Every class searches the shards of its three nearest clusters: greedily, by a beam from the shard's
-   medoid, then outward from whatever lies in range, until no neighbour of such a node is.
+4. Every class searches the shards of its three nearest clusters: greedily, by a beam from the medoid of
+   each part of the shard's graph that no other start leads to (tight groups have no edges outward), then
+   outward from whatever lies in range, until no neighbour of such a node is.
 5. Cosines of found pairs are worked out again in double precision from the vectors as given.
 
-Indexing covers every row; ``recall`` holds the links against brute force for a stated set of ids.
+Indexing covers every row; ``recall`` holds the links against brute force for a stated set of ids, in a job
+of its own: its cost is that set times all rows.
 A task sees at most ``SHARD`` members and ``SHARD`` searchers at a time, however large a cluster is:
 larger ones are blocks against blocks. Links are pairs of classes; a class's copies are counted.
 
@@ -91,13 +93,52 @@ def pruned(x: np.ndarray) -> list[np.ndarray]:
     return [np.array(list(dict.fromkeys(a + b)), np.int64) for a, b in zip(kept, back)]
 
 
+def parts(x: np.ndarray, links: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """A start for each part of the graph and the part: what can be reached from it and from no start before it.
+
+    Together they hold every member. A start is the medoid of all members not reached so far.
+    """
+    out, reached = [], np.zeros(len(x), bool)
+    while not reached.all():
+        rest = np.flatnonzero(~reached)
+        start = int(rest[(x[rest] @ x[rest].mean(axis=0)).argmax()])
+        own, front = [], np.array([start])
+        reached[start] = True
+        while len(front):
+            own.append(front)
+            near = np.unique(links[front])
+            front = near[(near >= 0) & ~reached[near]]
+            reached[front] = True
+        out.append((start, np.concatenate(own)))
+    return out
+
+
 def in_range(x: np.ndarray, links: np.ndarray, q: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """(searcher, member) pairs with a cosine of ``least`` or more that the search comes upon.
+    """(searcher, member) pairs with a cosine of ``least`` or more that the search of every part comes upon."""
+    hit_q, hit_m, small = [], [], []
+    for start, own in parts(x, links):
+        if len(own) <= BEAM:  # a beam would see all of them
+            small.append(own)
+            continue
+        place = np.full(len(x) + 1, -1)  # the last stands for no neighbour
+        place[own] = np.arange(len(own))
+        r, m = _in_part(x[own], place[links[own]], q, least, int(place[start]))
+        hit_q.append(r)
+        hit_m.append(own[m])
+    if small:
+        own = np.concatenate(small)
+        r, m = np.nonzero(q @ x[own].T >= least)
+        hit_q.append(r)
+        hit_m.append(own[m])
+    return np.concatenate(hit_q), np.concatenate(hit_m)
+
+
+def _in_part(x: np.ndarray, links: np.ndarray, q: np.ndarray, least: float, medoid: int) -> tuple[np.ndarray, np.ndarray]:
+    """(searcher, member) pairs with a cosine of ``least`` or more that the search from one start comes upon.
 
     ``links`` has the neighbours of each member, padded with -1. All searchers advance together.
     """
     n, m, width = len(q), len(x), BEAM + links.shape[1]
-    medoid = int((x @ x.mean(axis=0)).argmax())
     seen = np.zeros((n, m), bool)
     seen[:, medoid] = True
     beam = np.full((n, BEAM), -1)
@@ -253,3 +294,38 @@ def near_duplicates(rows: DataFrame) -> DataFrame:
     odd = named.join(fine.select("vec_id"), "vec_id", "left_anti").select("vec_id", none, F.col("vec_id").alias("component_id"))
     nameless = rows.where("vec_id IS NULL").select("vec_id", none, F.col("vec_id").alias("component_id"))
     return out.unionByName(odd).unionByName(nameless).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+
+
+def recall(rows: DataFrame, found: DataFrame, every: int = 20) -> DataFrame:
+    """vec_id, n_links (of ``found``) and n_true (by brute force) of the vectors whose id ``every`` divides.
+
+    Found links are all verified, so the sums' ratio is the recall. The ids are held against all rows, blocks
+    against blocks; counts are summed in the tasks.
+    """
+    named = rows.where("vec_id IS NOT NULL").groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    fine = materialise(usable(named).select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("vector"),
+                                            F.size("embedding").alias("n")), "audited")
+    asked = fine.where(F.col("vec_id") % every == 0)
+    sizes = {r["n"]: r for r in fine.groupBy("n").agg(F.count("*").alias("held"), F.count_if(F.col("vec_id") % every == 0).alias("asked")).collect()}
+    if not sizes:
+        return found.select("vec_id", "n_links", F.lit(0).cast("long").alias("n_true")).where("false")
+    counts = fine.sparkSession.createDataFrame([(n, -(-r["held"] // SHARD), max(1, -(-r["asked"] // SHARD))) for n, r in sizes.items()],
+                                               "n int, holding int, asking int")
+    draw = F.xxhash64("vec_id")
+    deal = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    held = fine.join(F.broadcast(counts), "n").select(
+        "n", F.pmod(draw, F.col("holding")).cast("int").alias("block"), deal("asking").alias("turn"), "vec_id", "vector", F.lit(True).alias("member"))
+    asks = asked.join(F.broadcast(counts), "n").select(
+        "n", deal("holding").alias("block"), F.pmod(draw, F.col("asking")).cast("int").alias("turn"), "vec_id", "vector", F.lit(False).alias("member"))
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        own, ask = pdf[pdf["member"]], pdf[~pdf["member"]]
+        if own.empty or ask.empty:
+            return pd.DataFrame({"vec_id": [], "n_true": []}).astype("int64")
+        x, q = (unit(np.array(part["vector"].tolist(), float)) for part in (own, ask))
+        near = (q @ x.T >= COSINE) & (ask["vec_id"].to_numpy()[:, None] != own["vec_id"].to_numpy())
+        return pd.DataFrame({"vec_id": ask["vec_id"].to_numpy(), "n_true": near.sum(axis=1)})
+
+    true = held.unionByName(asks).groupBy("n", "block", "turn").applyInPandas(count, "vec_id long, n_true long")
+    return true.groupBy("vec_id").agg(F.sum("n_true").alias("n_true")).join(found.select("vec_id", "n_links"), "vec_id") \
+        .select("vec_id", "n_links", "n_true")

@@ -211,6 +211,33 @@ def test_vector_links_against_brute_force(spark, monkeypatch, per, shard):
     assert vectors.near_duplicates(frame.where("false")).count() == 0
 
 
+def tight_groups(groups, size, length=16, first=0):
+    rng = np.random.default_rng(9)
+    rows = []
+    for centre in rng.normal(size=(groups, length)):
+        rows += [(first + len(rows) + i, (centre + rng.normal(size=length) * 0.02).tolist()) for i in range(size)]
+    return rows
+
+
+def test_tight_groups_without_background_are_all_reached(spark):
+    rows = tight_groups(5, 100)  # one shard; nobody's 64 nearest lie outside its own group
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = vectors.near_duplicates(frame)
+    want = plain_links(rows)
+    assert {r.vec_id: (r.n_links, r.component_id) for r in found.collect()} == want
+    audit = {r.vec_id: (r.n_links, r.n_true) for r in vectors.recall(frame, found).collect()}
+    assert audit == {i: (n, n) for i, (n, _) in want.items() if i % 20 == 0}
+
+
+def test_the_audit_counts_what_is_missing(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "SHARD", 60)  # blocks against blocks
+    rows = vector_rows()
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    none = frame.select("vec_id").selectExpr("vec_id", "0L AS n_links")
+    assert {r.vec_id: (r.n_links, r.n_true) for r in vectors.recall(frame, none).collect()} == {
+        i: (0, n) for i, (n, _) in plain_links(rows).items() if i % 20 == 0}
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
