@@ -12,7 +12,9 @@ A surrogate is drawn from a keyed hash of type, canonical form and attempt:
 
 A surrogate is taken only if no entity of its type really has it and no other entity has drawn it;
 of several that draw the same one the smallest canonical form keeps it, the others draw again until
-none is left. So distinct entities stay distinct over the whole table.
+none is left. So distinct entities stay distinct over the whole table. No format runs out: names, mails
+and hosts grow every fourth attempt, numbers, network addresses and secrets by a digit or a group every
+``GROW`` attempts, beyond their layout once its values are taken.
 
 Entities are grouped before they are shuffled. Texts that cannot hold an entity, by a plain filter
 inside the scan, never move; the others meet their replacements once.
@@ -35,7 +37,7 @@ from caselake.llm.arrow import map_rows, unused
 from caselake.session import materialise
 
 KEY = b"surrogates"
-ROUNDS = 60
+GROW = 16
 # Titles before a name and the gender they tell (f, m, or n for either).
 TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Dr": "n", "Prof": "n", "Herr": "m", "Frau": "f", "Señor": "m",
           "Señora": "f", "Sr": "m", "Sra": "f", "Monsieur": "m", "Madame": "f", "Mme": "f", "Mlle": "f",
@@ -49,9 +51,9 @@ CARD = re.compile(r"(?<![\w-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3})(?![\w-])", re.
 IBAN = re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?\b", re.ASCII)
 SECRET = re.compile(r"(?i)\b(?:api[_-]?key|key|token|secret|password|passwd|pwd)\s*[=:]\s*[\"']?([A-Za-z0-9+/_-]{12,})")
 HEX = re.compile(r"(?<![0-9A-Za-z])(?=[a-f]*\d)(?=\d*[a-f])[0-9a-f]{32,}(?![0-9A-Za-z])")
-# Whatever any of the patterns above can match has one of these; read by the scan.
-MAYBE = (r"@|\d[\d ().-]{5}|\d\.\d{1,3}\.\d|[A-Z]{2}\d{2}|(?i:key|token|secret|passw|pwd)|[0-9a-f]{32}|(?:"
-         + "|".join(TITLES) + r")[.\s]")
+# Whatever any of the patterns above can match has one of these; read by the scan, whose \s is ASCII alone.
+MAYBE = (r"@|\d[\d ().-]{5}|\d\.\d{1,3}\.\d|[A-Z]{2}\d{2}|(?iu:key|token|secret|passw|pwd)|[0-9a-f]{32}|(?:"
+         + "|".join(TITLES) + r")[.\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 ENTITY = ArrayType(StructType([StructField("start", LongType()), StructField("end", LongType()),
                                StructField("kind", StringType()), StructField("canonical", StringType())]))
 # Consonants and vowels that names are made of, by script.
@@ -136,23 +138,24 @@ def alike(text: str, draw: Iterator[int]) -> str:
 def surrogate(key: bytes, kind: str, canonical: str, attempt: int) -> str:
     """The canonical form of the entity that stands for this one."""
     draw = draws(key, kind, canonical, attempt)
+    more = attempt // GROW
     if kind == "phone":
         country, number = canonical.split("/")
-        return f"{country}/{alike(number, draw)}"
+        return f"{country}/{alike(number + '0' * more, draw)}"
     if kind == "card":
-        body = canonical[0] + alike(canonical[1:-1], draw)
+        body = canonical[0] + alike(canonical[1:-1] + "0" * more, draw)
         last = next(d for d in range(10) if luhn(f"{body}{d}"))
         return f"{body}{last if luhn(canonical) else (last + 1 + next(draw) % 9) % 10}"
     if kind == "ip":
         parts = canonical.split(".")
         kept = 1 if parts[0] in ("10", "127") else 2 if parts[:2] == ["192", "168"] else 0
-        new = [str(1 + next(draw) % 223) if i == 0 else str(next(draw) % 256) for i in range(kept, 4)]
+        new = [str(1 + next(draw) % 223) if i == 0 else str(next(draw) % 256) for i in range(kept, 4 + more)]
         return ".".join(parts[:kept] + new)
     if kind == "iban":
-        return canonical[:2] + alike(canonical[2:], draw)
+        return canonical[:2] + alike(canonical[2:] + "0" * more, draw)
     if kind == "host":
         name, _, ending = canonical.rpartition(".")
-        return f"{alike(name, draw)}.{ending}"
+        return f"{alike(name + 'x' * (attempt // 4), draw)}.{ending}"
     if kind == "mail":
         local, _, host = canonical.rpartition("@")
         # at its first attempts as long as the original, then longer: short names run out
@@ -164,20 +167,20 @@ def surrogate(key: bytes, kind: str, canonical: str, attempt: int) -> str:
         if kind.startswith("given-f"):
             return word[:-1] + {"latin": "a", "cyrillic": "а", "greek": "α"}[kind.rsplit("-", 1)[1]]
         return word + consonants[next(draw) % len(consonants)]
-    return alike(canonical, draw)
+    return alike(canonical + "0" * more, draw)
 
 
 def written(surface: str, kind: str, new: str) -> str:
-    """A surrogate in the layout of the text it stands in for."""
+    """A surrogate in the layout of the text it stands in for; what it is longer by comes last."""
     if kind == "mail":
         return new.rpartition("@")[0]
     if kind == "phone":
         country, number = new.split("/")
         fill = iter(number)
-        return country + "".join(next(fill) if c.isdigit() else c for c in surface[len(country):])
+        return country + "".join(next(fill) if c.isdigit() else c for c in surface[len(country):]) + "".join(fill)
     if kind in ("card", "ssn", "iban"):
         fill = iter(new)
-        return "".join(next(fill) if c.isalnum() else c for c in surface)
+        return "".join(next(fill) if c.isalnum() else c for c in surface) + "".join(fill)
     if kind.startswith(("given", "surname")):
         return new.upper() if surface.isupper() and len(surface) > 1 else new.capitalize()
     return new
@@ -199,7 +202,7 @@ def surrogates(entities: DataFrame, key: bytes = KEY) -> DataFrame:
     real = entities.select("kind", F.col("canonical").alias("surrogate"), F.lit(True).alias("real"))
     waiting = entities.select("kind", "canonical", F.lit(0).alias("attempt"))
     settled = None
-    for _ in range(ROUNDS):
+    while True:
         drawn = draw(waiting).withColumn("open", F.lit(1))
         pool = drawn if settled is None else drawn.unionByName(settled.withColumn("open", F.lit(0)))
         # settled before waiting, then the smallest canonical form: one row per surrogate, summed in the tasks
@@ -211,7 +214,6 @@ def surrogates(entities: DataFrame, key: bytes = KEY) -> DataFrame:
         waiting = judged.where("NOT held").select("kind", "canonical", (F.col("attempt") + 1).alias("attempt"))
         if waiting.isEmpty():
             return settled.select("kind", "canonical", "surrogate")
-    raise ValueError(f"no free surrogates after {ROUNDS} rounds: a format has too few values")
 
 
 def _keyed(docs: DataFrame, names: list[str]) -> DataFrame:

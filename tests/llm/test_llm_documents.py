@@ -147,6 +147,27 @@ def test_surrogates_never_collide(spark):
     assert pii.surrogates(entities.where("false")).count() == 0
 
 
+def test_formats_with_few_values_go_on(spark):
+    entities = [("host", f"{c}.com") for c in "abcdefghijklmnopqrstuvwxyz"] + [("secret", f"-----------{i}") for i in range(10)]
+    got = pii.surrogates(spark.createDataFrame(entities, "kind string, canonical string")).collect()
+    assert {(r.kind, r.canonical) for r in got} == set(entities) and len({(r.kind, r.surrogate) for r in got}) == 36
+    assert not {(r.kind, r.surrogate) for r in got} & set(entities) and all(r.surrogate.endswith(".com") for r in got if r.kind == "host")
+    for kind, canonical, surface in [("phone", "+1/2345678", "+1 (23) 45-678"), ("ssn", "123456789", "123-45-6789"), ("card", "4111111111111111", "4111 1111 1111 1111")]:
+        for attempt in (0, pii.GROW, 2 * pii.GROW):
+            new = pii.surrogate(b"k", kind, canonical, attempt)
+            said = pii.written(surface, kind, new)
+            assert pii.digits(said) == pii.digits(new) and len(said) == len(surface) + attempt // pii.GROW
+    assert len(pii.surrogate(b"k", "ip", "192.168.0.1", pii.GROW).split(".")) == 5
+
+
+def test_names_after_any_white_space_are_replaced(spark):
+    spaces = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2003\u2009\u2028\u2029\u202f\u205f\u3000"
+    rows = [(i, f"Mme{c}Curie", "fr", "s", "k") for i, c in enumerate(spaces)] + [(99, "\u212aey=abcdef123456", "en", "s", "k")]
+    got = {r.doc_id: r for r in pii.with_surrogates(spark.createDataFrame(rows, DOCS), counted="n").collect()}
+    assert all(got[i].n == 1 and "Curie" not in got[i].text and got[i].text[3] == c for i, c in enumerate(spaces))
+    assert got[99].n == 1 and "abcdef123456" not in got[99].text
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="ab@.cd 0123456789+()-MrsFauA:=\"'", max_size=60))
 def test_the_filter_of_the_scan_misses_nothing(text):
