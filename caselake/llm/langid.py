@@ -2,9 +2,10 @@
 
 The posterior of a row's language multiplies
 
-* the likelihood of its text under byte-trigram models, one per language, fitted on some
-  ``TRAIN_ROWS`` labelled texts (``TRAIN_CHARS`` characters of each); the log-likelihood is tempered,
-  since neighbouring trigrams repeat each other;
+* the likelihood of its text under byte-trigram models, one for every language that any row is labelled
+  with, fitted on some ``TRAIN_ROWS`` texts dealt evenly over the languages, ``LEAST_ROWS`` of each at least
+  or all it has (``TRAIN_CHARS`` characters of each text); the log-likelihood is tempered, since
+  neighbouring trigrams repeat each other;
 * the likelihood of the language its markup declares (a confusion table over all rows);
 * the likelihood of its address suffix (per suffix, smoothed towards all suffixes);
 * a prior of its host, smoothed towards its domain and that towards all rows. A row's own vote is
@@ -29,10 +30,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
-from caselake.llm.arrow import drawn, slices, texts, unused
+from caselake.llm.arrow import slices, texts, unused
 from caselake.session import materialise
 
-TRAIN_ROWS, TRAIN_CHARS = 4000, 2000
+TRAIN_ROWS, LEAST_ROWS, TRAIN_CHARS = 4000, 250, 2000
 SLOTS = 1 << 18
 TEMPER = 0.25
 SMOOTHING = 5.0
@@ -58,12 +59,20 @@ def folded(text: str) -> bytes:
 def fit(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages and the log-probability of each trigram slot in them.
 
-    Rows are drawn by a hash, so the sample doesn't follow the order of files.
+    Which languages there are is counted over all rows. Texts are drawn by a hash, so the sample doesn't
+    follow the order of files, in a share of each language; a language's equal rows are drawn once.
     """
-    labelled = docs.where("lang IS NOT NULL")
-    rows = drawn(labelled, TRAIN_ROWS, F.xxhash64("doc_id", "text")).where("length(trim(text)) > 0") \
-        .select("lang", F.substring("text", 1, TRAIN_CHARS).alias("said")).collect()
-    langs = sorted({r.lang for r in rows}) or ["und"]
+    labelled = docs.where("lang IS NOT NULL AND length(trim(text)) > 0").select(
+        "lang", F.substring("text", 1, TRAIN_CHARS).alias("said"), F.xxhash64("doc_id", "text").alias("draw"))
+    held = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    langs = sorted(held) or ["und"]
+    most = max(LEAST_ROWS, TRAIN_ROWS // len(langs))
+    share = docs.sparkSession.createDataFrame([(g, int(min(1.0, most / n) * (1 << 30))) for g, n in held.items()], "lang string, share long")
+    rows = labelled.join(F.broadcast(share), "lang").where(F.pmod("draw", F.lit(1 << 30)) < F.col("share")) \
+        .dropDuplicates(["lang", "draw"]).select("lang", "said").collect()
+    missed = set(held) - {r.lang for r in rows}
+    if missed:  # many rows, all of them equal, with a hash beyond the share: one text of each
+        rows += labelled.where(F.col("lang").isin(*missed)).groupBy("lang").agg(F.min("said").alias("said")).collect()
     counts = np.full((SLOTS, len(langs)), 0.05, np.float64)
     for i, lang in enumerate(langs):
         data = b"".join(folded(r.said) for r in rows if r.lang == lang)

@@ -101,6 +101,18 @@ def test_only_texts_without_a_language_are_rejected(spark):
     assert kept.count() == docs.count() + 2 and kept.where("doc_id > 7000").count() == 2
 
 
+def test_rare_languages_are_known(spark, monkeypatch):
+    monkeypatch.setattr(langid, "TRAIN_ROWS", 40)
+    rows = [(i, f"aaa bbb aab {i}", "x", "s", "k") for i in range(3000)] + [(9000 + i, "zyz yzy zzy " * 3, "z", "s", "k") for i in range(4)]
+    rows += [(None, "mmm nnn mnm", "m", "s", "k")] * 2000 + [(9900, " ", "blank", "s", "k")]
+    docs = spark.createDataFrame(rows, DOCS)
+    model = langid.fit(docs)
+    assert model[0] == ["m", "x", "z"]
+    got = langid.identify(langid.document_rows(docs.where("doc_id >= 9000 AND lang = 'z' OR doc_id IS NULL")), model, ["doc_id", "declared"])
+    assert got.where("detected = declared AND text_lang = declared").count() == 2004
+    assert langid.fit(docs.where("false"))[0] == ["und"]
+
+
 def test_addresses_and_markup_are_read(spark):
     frame = spark.createDataFrame([("https://u@News.Site.DE:80/x", '<!doctype html><HTML class="a" lang=\'de-AT\'>'), ("nothing", None), (None, "<p>")], "url string, html string")
     host = langid.host_of(frame["url"])
