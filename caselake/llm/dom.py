@@ -12,7 +12,10 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 # Fixed values of the HTML standard, as far as they matter for blocks of text.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "select", "button"}
+RAW = {"script", "style", "textarea", "title", "iframe"}
+# Not text of a page either, but they hold ordinary tags, and only what their own end tag closes is theirs.
+ASIDE = {"noscript", "template", "svg", "select", "button"}
+ASIDE_TAG = re.compile(rf"<(?:{'|'.join(sorted(ASIDE))})\b", re.IGNORECASE)
 RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.IGNORECASE) for t in RAW}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins",
           "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
@@ -39,6 +42,60 @@ class Node:
     children: list[int] = field(default_factory=list)
 
 
+def tag_of(m: re.Match) -> tuple[str, bool, str]:
+    """Name (empty for what isn't an element's tag), whether it closes, and attributes of a token."""
+    return (m[2] or m[5] or "").lower(), (m[1] or m[4]) == "/", m[3] or m[6] or ""
+
+
+def aside_ends(page: str) -> dict[int, int]:
+    """Where each element of ASIDE that its own end tag closes begins and ends.
+
+    One ends without it when an element around it ends, or a second button or select begins.
+    """
+    if not ASIDE_TAG.search(page):
+        return {}
+    ends: dict[int, int] = {}
+    stack: list[tuple[str, int]] = []
+    open_: dict[str, int] = {}
+
+    def cut(to: int) -> None:
+        for name, _ in stack[to:]:
+            open_[name] -= 1
+        del stack[to:]
+
+    def nearest(name: str) -> int:
+        return next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name)
+
+    at, n = 0, len(page)
+    while (begin := page.find("<", at)) >= 0:
+        m = TOKEN.match(page, begin)
+        if not m:
+            at = begin + 1
+            continue
+        at = m.end()
+        name, closing, attrs = tag_of(m)
+        if not name or name in INLINE or name in VOID:
+            continue
+        if closing:
+            if open_.get(name):
+                i = nearest(name)
+                if name in ASIDE:
+                    ends[stack[i][1]] = at
+                cut(i)
+            continue
+        if attrs.endswith("/") and (name == "svg" or open_.get("svg")):
+            continue  # in a drawing, and for its own tag, this is the whole element
+        if name in RAW:
+            stop = RAW_END[name].search(page, at)
+            at = stop.end() if stop else n
+            continue
+        if name in ("button", "select") and open_.get(name):
+            cut(nearest(name))
+        stack.append((name, begin))
+        open_[name] = open_.get(name, 0) + 1
+    return ends
+
+
 def parse(page: str) -> list[Node]:
     """Nodes in page order; the first is the root. Inline elements leave no node, only their text."""
     nodes = [Node("#root", -1, 0)]
@@ -71,6 +128,7 @@ def parse(page: str) -> list[Node]:
         if in_link:
             links += len(part)
 
+    ends = aside_ends(page)
     at, n = 0, len(page)
     while at < n:
         begin = page.find("<", at)
@@ -85,10 +143,9 @@ def parse(page: str) -> list[Node]:
             at = begin + 1
             continue
         at = m.end()
-        name = m[2] or m[5]
+        name, closing, attrs = tag_of(m)
         if not name:
             continue
-        name, closing, attrs = name.lower(), (m[1] or m[4]) == "/", m[3] or m[6] or ""
         if at == n and page[-1] != ">":
             break  # the page ends inside a tag
         if name in INLINE:
@@ -97,6 +154,11 @@ def parse(page: str) -> list[Node]:
             elif name == "br":
                 run.append(" ")
             continue
+        if name in ASIDE:  # one that nothing closes leaves no node, only what follows it
+            at = ends.get(begin, at)
+            if name in ("button", "select"):
+                flush()
+            continue
         if closing:
             in_link = 0
             close({name}, set())
@@ -104,7 +166,7 @@ def parse(page: str) -> list[Node]:
         if name in RAW:
             stop = RAW_END[name].search(page, at)
             at = stop.end() if stop else n
-            if name in ("textarea", "button", "select"):
+            if name == "textarea":
                 flush()
             continue
         flush()

@@ -202,6 +202,18 @@ def test_blocks_of_a_page():
     assert blocks("") == []
 
 
+def test_only_what_an_end_tag_closes_is_dropped():
+    assert blocks("<p>a <svg class=x/>b</p><p>c") == ["a b", "c"]
+    assert blocks("<p>a <svg><style/><title>no</title><path/></svg>b</p><p>c<svg><g></svg>d") == ["a b", "cd"]
+    for tag in ("button", "select", "noscript", "template", "svg"):
+        assert blocks(f"<{tag}><article><p>one<p>two</article>") == ["one", "two"], tag
+        assert blocks(f"<div><{tag}></div><p>one</p><div><{tag}>no<p>no</{tag}>two</div>") == ["one", "two"], tag
+        assert blocks(f"<p>one</p><{tag}>no<!-- </{tag}> -->no</{tag}><p>two<{tag}/><p>three") == ["one", "two", "three"], tag
+    assert blocks("<button><p>one<p>two<button>no</button>") == ["one", "two"]
+    assert blocks("<p>one<button>no</button>two</p>") == ["one", "two"]
+    assert blocks("<noscript>no<noscript>no</noscript>no</noscript><p>one") == ["one"]
+
+
 def test_decoding_is_the_best_consistent_labelling():
     rng = np.random.default_rng(2)
     for _ in range(40):
