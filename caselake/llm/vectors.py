@@ -1,8 +1,8 @@
 """Embedding near-duplicates by a robust-pruned flat graph.
 
 1. Equal vectors are one class, known by its smallest id and its size.
-2. Centroids come from some ``SAMPLE`` classes; every class joins its two nearest clusters, so
-   shards overlap. A cluster beyond ``SHARD`` members is dealt into several shards.
+2. Vectors of each length are clustered for themselves. Centroids come from some ``SAMPLE`` classes of
+   a length; every class joins its two nearest clusters, so shards overlap. A cluster beyond ``SHARD`` members is dealt into several shards.
 3. In each shard a class keeps up to ``DEGREE`` neighbours: of its nearest ones, those not nearer to a
    neighbour already taken by the factor ``ALPHA`` (robust pruning), and the way back. The lists of
    all shards are united per class.
@@ -17,8 +17,8 @@ A task sees at most ``SHARD`` members and ``SHARD`` searchers at a time, however
 larger ones are blocks against blocks. Links are pairs of classes; a class's copies are counted.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components link with
-nothing, nor do rows without vec_id (their component is null) or vectors of another length; of rows
-with one vec_id the smallest vector counts, and one row is returned; an empty table gives an empty
+nothing, nor do rows without vec_id (their component is null); vectors link with those of their own
+length; of rows with one vec_id the smallest vector counts, and one row is returned; an empty table gives an empty
 result; other columns are ignored.
 """
 
@@ -46,7 +46,7 @@ def unit(rows: np.ndarray) -> np.ndarray:
 
 
 def centroids(classes: DataFrame) -> np.ndarray:
-    """Spherical k-means over a bounded sample drawn by hash; one centre for some PER_CLUSTER classes."""
+    """Spherical k-means over a bounded sample, drawn by hash, of classes of one length; one centre for some PER_CLUSTER."""
     rows = sorted(drawn(classes.select("rep", "vector"), SAMPLE, F.xxhash64("rep")).collect(), key=lambda r: r.rep)
     if not rows:
         return np.zeros((0, 0))
@@ -237,18 +237,29 @@ def usable(rows: DataFrame) -> DataFrame:
 
 def link_pairs(classes: DataFrame) -> DataFrame:
     """a < b (classes by their smallest ids); link: a found pair, else an edge that carries connections."""
-    centre = centroids(classes)
-    if not len(centre):
+    size = F.size("vector")
+    centres: dict[int, tuple[int, np.ndarray | None]] = {}  # by length: the number of the first cluster, and the centres
+    clusters = 0
+    for r in classes.groupBy(size.alias("n")).agg(F.count("*").alias("c")).orderBy("n").collect():
+        # what fits into one cluster needs no centre
+        centre = centroids(classes.where(size == r["n"])) if r["c"] > PER_CLUSTER else None
+        centres[r["n"]] = clusters, centre
+        clusters += 1 if centre is None else len(centre)
+    if not centres:
         return classes.sparkSession.createDataFrame([], PAIRS)
-    sent = classes.sparkSession.sparkContext.broadcast(centre)  # at most MOST_CLUSTERS rows
+    sent = classes.sparkSession.sparkContext.broadcast(centres)  # at most MOST_CLUSTERS rows for a length
 
     def assign(batches):
         for pdf in batches:
             if pdf.empty:
                 continue
-            x = unit(np.array(pdf["vector"].tolist(), float))
-            order = np.argsort(-(x @ sent.value.T), axis=1, kind="stable")[:, :PROBES].astype("int32")
-            yield pd.DataFrame({"rep": pdf["rep"], "vector": pdf["vector"], "clusters": order.tolist()})
+            for n, own in pdf.groupby(pdf["vector"].map(len)):
+                first, centre = sent.value[n]
+                near = np.zeros((len(own), 1), int)
+                if centre is not None:
+                    x = unit(np.array(own["vector"].tolist(), float))
+                    near = np.argsort(-(x @ centre.T), axis=1, kind="stable")[:, :PROBES]
+                yield pd.DataFrame({"rep": own["rep"], "vector": own["vector"], "clusters": (near + first).astype("int32").tolist()})
 
     homes = materialise(classes.select("rep", "vector").mapInPandas(
         assign, "rep long, vector array<double>, clusters array<int>"), "homes")
@@ -278,9 +289,7 @@ def near_duplicates(rows: DataFrame) -> DataFrame:
     named = rows.where("vec_id IS NOT NULL").groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     fine = usable(named).select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
     classes = materialise(fine.groupBy("vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "classes")
-    lengths = classes.groupBy(F.size("vector").alias("n")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), "n").first()
-    alike = classes.where(F.size("vector") == lengths["n"]) if lengths else classes
-    found = materialise(link_pairs(alike), "pairs")
+    found = materialise(link_pairs(classes), "pairs")
     pairs = found.where("link").select("a", "b").distinct()
     ends = pairs.select(F.col("a").alias("rep"), F.col("b").alias("other")).unionByName(
         pairs.select(F.col("b").alias("rep"), F.col("a").alias("other")))

@@ -229,6 +229,16 @@ def test_tight_groups_without_background_are_all_reached(spark):
     assert audit == {i: (n, n) for i, (n, _) in want.items() if i % 20 == 0}
 
 
+def test_every_length_is_linked_within_itself(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "PER_CLUSTER", 50)  # the first length has several clusters, the others one
+    parts = [tight_groups(3, 30), tight_groups(2, 20, 12, 1000), tight_groups(1, 3, 7, 2000)]
+    want = {k: v for rows in parts for k, v in plain_links(rows).items()}
+    frame = spark.createDataFrame([r for rows in parts for r in rows], "vec_id long, embedding array<double>")
+    found = vectors.near_duplicates(frame)
+    assert {r.vec_id: (r.n_links, r.component_id) for r in found.collect()} == want
+    assert all(r.n_links == r.n_true for r in vectors.recall(frame, found).collect())
+
+
 def test_the_audit_counts_what_is_missing(spark, monkeypatch):
     monkeypatch.setattr(vectors, "SHARD", 60)  # blocks against blocks
     rows = vector_rows()
