@@ -107,6 +107,16 @@ def test_lists_keep_everything(spark):
     assert len(lists) == 3001 and [x.id for x in lists["hot"]] == [i for i in range(30_000) if i % 10]
 
 
+@pytest.mark.parametrize("name", ["p17_long_list", "e1_long_list"])
+def test_long_lists_are_counted_without_one_value(spark, name):
+    from caselake import catalog
+
+    catalog.load()
+    out = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_" not in plan and out.count() == 1
+
+
 def test_projection_refusals(spark, folder):
     rel = Relational(Tables(spark, folder + "/rel", "town"), MODEL)
     with_ord = lambda df: df.withColumn("ord", F.lit(1).cast("bigint"))
