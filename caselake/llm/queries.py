@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from caselake.llm import chat, decontam, html_extract, jaccard, langid, packing, pii, suffixes, tokens, vectors
+from caselake.llm import (chat, decontam, html_extract, jaccard, langid, line_dedup, packing, pii, resampling, suffixes, tokens, vectors,
+                          whitening)
 from caselake.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -112,3 +113,64 @@ def language_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same evidence where markup, addresses and hosts are at hand."""
     pages = langid.page_rows(table(spark, sf_dir, "pages"))
     return langid.identify(pages, langid.fit(table(spark, sf_dir, "documents")), ["page_id", "host", "suffix", "declared"])
+
+
+@query("op11_jacobi_davidson")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.whitened(whitening.fit(table(spark, sf_dir, "embeddings"), wanted=8))
+    return rows.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+OP12 = r"""
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                  generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
+k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                          'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+r AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+d AS (SELECT k.*, r.key IS NOT NULL AND doc_id <> last AS gone FROM k LEFT JOIN r USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM d GROUP BY doc_id"""
+
+
+@query("op12_two_filters", OP12)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.drop_repeated_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+# The CRC table is worked out from its polynomial; words are hashed once each.
+OP13 = r"""
+WITH t AS (SELECT list(c ORDER BY i) AS t FROM (
+         SELECT i, list_reduce(list_prepend(i::BIGINT, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+                               lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+         FROM range(256) r(i))),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+b AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
+dw AS (SELECT doc_id, unnest(words) AS word FROM d),
+bw AS (SELECT unnest(words) AS word FROM b),
+hashed AS (SELECT word, xor(list_reduce(list_prepend(4294967295::BIGINT,
+                     list_transform(range(length(hex(encode(word))) // 2), lambda k: ('0x' || substr(hex(encode(word)), (2 * k + 1)::BIGINT, 2))::BIGINT)),
+                     lambda c, v: xor(c >> 8, t.t[xor(c & 255, v) + 1])), 4294967295) % 10000 AS bucket
+           FROM (SELECT word FROM dw UNION SELECT word FROM bw), t),
+s AS (SELECT bucket, count(*) AS s FROM dw JOIN hashed USING (word) GROUP BY bucket),
+q AS (SELECT bucket, count(*) AS t FROM bw JOIN hashed USING (word) GROUP BY bucket),
+g AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM dw) + 10000)::DOUBLE
+                       / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT count(*) FROM bw) + 10000)::DOUBLE)))::BIGINT AS gain
+      FROM s FULL JOIN q USING (bucket)),
+w AS (SELECT doc_id, count(*) AS n, sum(gain)::BIGINT AS weight FROM dw JOIN hashed USING (word) JOIN g USING (bucket) GROUP BY doc_id),
+scored AS (SELECT doc_id, coalesce(n, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+                  coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5)::DOUBLE
+                                                            / 4294967296::DOUBLE)))::BIGINT AS score
+           FROM d LEFT JOIN w USING (doc_id)),
+placed AS (SELECT *, row_number() OVER (ORDER BY n_features < 20, score DESC, doc_id) AS place FROM scored)
+SELECT doc_id, n_features, weight, score,
+       CASE WHEN place <= 10 * (SELECT count(*) FROM scored WHERE n_features >= 20) // 100 THEN place END AS rank
+FROM placed"""
+
+
+@query("op13_head_tail_resampling", OP13)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_words")
