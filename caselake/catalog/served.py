@@ -23,6 +23,7 @@ from caselake.session import materialise, scratch_path
 from caselake.sources.bronze import Bronze
 from caselake.streaming.flows import KeyIndex, land_stream, map_stream
 
+FEW = 8     # buckets of a stored table; the driver tables are small
 PERSON, INCIDENT, LINK = MODEL["Person"], MODEL["Incident"], MODEL["PersonIncidentAssociation"]
 
 
@@ -271,23 +272,25 @@ def p4_dangling(spark, sf):
 
 @query("p5_incremental_apply", f"WITH {LATEST_SQL} SELECT id, sur, given, middle FROM latest")
 def p5_incremental_apply(spark, sf):
-    """Applied in two change sets, the second one twice: the same nodes as in one go."""
+    """A stored graph, applied in two change sets, the second one twice: the same nodes as in one go."""
     rows = changes(spark, sf)["Person"]
     half = rows.agg((F.max("ord") / 2).cast("bigint").alias("m")).first()["m"]
-    stored = graph.nodes(rows.filter(F.col("ord") <= half), PERSON)
-    late = graph.nodes(rows.filter(F.col("ord") > half), PERSON)
-    merged = graph.apply(graph.apply(materialise(stored), late), late)
-    return merged.select(F.col(ID).alias("id"), F.col("surName").alias("sur"), F.col("givenName").alias("given"), F.col("middleName").alias("middle"))
+    stored = graph.GraphStore(Tables(spark, scratch_path(spark, "graph"), "town"), MODEL, FEW)
+    stored.apply({"Person": rows.filter(F.col("ord") <= half)})
+    late = rows.filter(F.col("ord") > half)
+    stored.apply({"Person": late})
+    stored.apply({"Person": late})
+    return stored.read("Person").select(F.col(ID).alias("id"), F.col("surName").alias("sur"), F.col("givenName").alias("given"),
+                                        F.col("middleName").alias("middle"))
 
 
 @query("p6_rebuild", "SELECT 'Person' AS type, COUNT(DISTINCT o_custkey) AS n FROM orders WHERE o_orderstatus = 'P' UNION ALL SELECT 'Incident', COUNT(*) FROM orders")
 def p6_rebuild(spark, sf):
     """Only the snapshot's type is replaced."""
-    store = Tables(spark, scratch_path(spark, "graph"))
-    all_ = changes(spark, sf)
-    store.replace_all({t: graph.nodes(all_[t], MODEL[t]) for t in ("Person", "Incident")})
-    store.replace_all({"Person": graph.nodes(all_["Person"].filter("middleName IS NOT NULL"), PERSON)})
-    return graph.counts({t: store.read(t) for t in ("Person", "Incident")})
+    stored, all_ = graph.GraphStore(Tables(spark, scratch_path(spark, "graph"), "town"), MODEL, FEW), changes(spark, sf)
+    stored.rebuild({t: all_[t] for t in ("Person", "Incident")})
+    stored.rebuild({"Person": all_["Person"].filter("middleName IS NOT NULL")})
+    return graph.counts({t: stored.read(t) for t in stored.counts()})
 
 
 @query("p7_counts", """
@@ -308,20 +311,22 @@ def p8_relational(spark, sf):
 SELECT c_custkey AS id, c_name AS name, CASE WHEN c_acctbal < 0 THEN 'low' ELSE c_mktsegment END AS segment,
   CASE WHEN c_acctbal < 1000 THEN 'second' ELSE 'first' END AS run FROM customer""")
 def p9_upsert(spark, sf):
-    """The second write has no name and a segment only for negative balances; lineage is always its own."""
-    c = table(spark, sf, "customer")
-    first = c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"), F.lit("first").alias("run"))
-    second = c.filter("c_acctbal < 1000").select(
-        F.col("c_custkey").alias("id"), F.lit(None).cast("string").alias("name"),
-        F.when(F.col("c_acctbal") < 0, "low").alias("segment"), F.lit("second").alias("run"))
-    return merge_into(first, second, "id", always=("run",))
+    """Stored tables: the second run has no name and a segment only for negative balances; lineage is always its own."""
+    c = table(spark, sf, "customer").withColumnsRenamed({"c_custkey": "ord", "c_name": "surName", "c_mktsegment": "givenName"}) \
+        .withColumn(ID, F.concat(F.lit("P/"), F.col("ord").cast("string")))
+    rel = Relational(Tables(spark, scratch_path(spark, "rel"), "town"), MODEL, FEW)
+    rel.apply({"Person": fill(c, PERSON)}, "first", "town", "m@1")
+    poor = c.filter("c_acctbal < 1000").withColumn("surName", F.lit(None)).withColumn("givenName", F.when(F.col("c_acctbal") < 0, "low"))
+    rel.apply({"Person": fill(poor, PERSON)}, "second", "town", "m@1")
+    return rel.table("Person").select(F.substring(KEY, 3, 20).cast("bigint").alias("id"), F.col("sur_name").alias("name"),
+                                      F.col("given_name").alias("segment"), F.col("run_id").alias("run"))
 
 
 @query("p10_all_or_nothing", """
 SELECT 'refused' AS second, COUNT(DISTINCT o_custkey) AS people, COUNT(*) AS incidents, COUNT(*) AS links FROM orders""")
 def p10_all_or_nothing(spark, sf):
     """A change set whose links miss their people leaves every table as it was."""
-    rel = Relational(Tables(spark, scratch_path(spark, "rel"), "town"), MODEL)
+    rel = Relational(Tables(spark, scratch_path(spark, "rel"), "town"), MODEL, FEW)
     all_ = changes(spark, sf)
     rel.apply(all_, "one", "town", "m@1")
     astray = all_[LINK.name].withColumn("person", ref("Person", F.concat(F.lit("X"), F.col("person.id"))))
@@ -350,7 +355,7 @@ SELECT op AS operation, t AS type, CASE t WHEN 'person' THEN p ELSE o END AS rec
 FROM (VALUES ('apply'), ('rebuild')) a(op), (VALUES ('person'), ('incident'), ('person_incident_association')) b(t),
   (SELECT COUNT(DISTINCT o_custkey) AS p, COUNT(*) AS o FROM orders)""")
 def p11_ledger(spark, sf):
-    rel = Relational(Tables(spark, scratch_path(spark, "rel"), "town"), MODEL)
+    rel = Relational(Tables(spark, scratch_path(spark, "rel"), "town"), MODEL, FEW)
     all_ = changes(spark, sf)
     rel.apply(all_, "one", "town", "m@1")
     rel.rebuild(all_, "two", "town", "m@1")
@@ -359,7 +364,7 @@ def p11_ledger(spark, sf):
 
 @query("p12_run_tables", f"WITH {mapped.DISPATCH_SQL}, {mapped.HELD_SQL} SELECT 'run' AS run_id, COUNT(*) AS violations FROM held")
 def p12_run_tables(spark, sf):
-    rel = Relational(Tables(spark, scratch_path(spark, "rel"), "town"), MODEL)
+    rel = Relational(Tables(spark, scratch_path(spark, "rel"), "town"), MODEL, FEW)
     run = mapped.dispatch_run(spark, sf)
     rel.record_run(run.report(), run.violation_rows())
     total = rel.store.read("_violations").agg(F.count("*").alias("violations"))
@@ -413,11 +418,12 @@ SELECT 'Person' AS entity_type, 'P/' || CAST(o_custkey AS VARCHAR) AS id, 'L/' |
 UNION ALL SELECT 'Incident', 'I/' || CAST(o_orderkey AS VARCHAR), 'L/' || CAST(o_orderkey AS VARCHAR), 'incident', 'P/' || CAST(o_custkey AS VARCHAR),
   '{{"involvementCode":"' || {CODE} || '"}}' FROM orders""")
 def p17_links(spark, sf):
-    """Gathered per entity in sorted lists, then unfolded again for the comparison."""
-    links = search.link_rows(changes(spark, sf)[LINK.name], LINK)
+    """Stored, gathered per entity in sorted lists, then unfolded again for the comparison."""
+    stored = search.SearchStore(Tables(spark, scratch_path(spark, "search"), "town"), MODEL, FEW)
+    stored.apply({LINK.name: changes(spark, sf)[LINK.name]}, "run", "town", "m@1")
     out = None
     for t in ("Person", "Incident"):
-        lists = search.link_lists(links, t).select(F.lit(t).alias("entity_type"), F.col(ID).alias("id"), F.explode("links").alias("l"))
+        lists = search.link_lists(stored.links(t), t).select(F.lit(t).alias("entity_type"), F.col(ID).alias("id"), F.explode("links").alias("l"))
         one = lists.select("entity_type", "id", F.col("l.associationId").alias("link"), F.col("l.role").alias("role"),
                            F.col("l.otherId").alias("other"), F.col("l.fields").alias("fields"))
         out = one if out is None else out.unionByName(one)
@@ -434,13 +440,21 @@ def p17_long_list(spark, sf):
         F.count("*").alias("links"), F.min("associationId").alias("first"), F.max("associationId").alias("last"))
 
 
+TEXT = CanonicalType("Text", "entity", (CanonicalField("text", "string"),))
+
+
 @query("p18_find_by_text", r"""
 SELECT doc_id, COUNT(DISTINCT token) AS hits FROM (
   SELECT doc_id, UNNEST(regexp_split_to_array(lower(text), '[^\p{L}\p{M}\p{N}]+')) AS token FROM documents)
 WHERE token IN ('the', 'and', 'of') GROUP BY 1""")
 def p18_find_by_text(spark, sf):
-    index = search.token_index(table(spark, sf, "documents"), "doc_id", "text")
-    return search.find(index, ["The", "and", "of"], "doc_id")
+    """A stored index: texts of one source come late, in a change set that takes the place of what stood there before."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("ord"), F.col("doc_id").cast("string").alias(ID), "text", "lang", "source")
+    late = F.col("source") == d.agg(F.min("source")).first()[0]
+    stored = search.SearchStore(Tables(spark, scratch_path(spark, "search"), "town"), Model.of(TEXT), FEW)
+    stored.apply({"Text": d.withColumn("text", F.when(late, F.concat(F.lit("the and "), "lang")).otherwise(F.col("text")))}, "one", "town", "m@1")
+    stored.apply({"Text": d.filter(late)}, "two", "town", "m@1")
+    return stored.find("Text", ["The", "and", "of"]).select(F.col(ID).cast("bigint").alias("doc_id"), "hits")
 
 
 @query("p19_swap_on_rebuild", "SELECT COUNT(*) AS old_reader, (SELECT COUNT(*) FROM orders WHERE o_orderstatus = 'P') AS new_reader, 'kept' AS after_failure FROM orders")
@@ -467,9 +481,9 @@ SELECT sink, type, n FROM (VALUES ('graph'), ('tables')) s(sink), (
   UNION ALL SELECT 'PersonIncidentAssociation', COUNT(*) FROM orders)""")
 def p20_fan_out(spark, sf):
     names = {"person": "Person", "incident": "Incident", "person_incident_association": LINK.name}
-    rel = Relational(Tables(spark, scratch_path(spark, "rel"), "town"), MODEL)
-    nodes = Tables(spark, scratch_path(spark, "graph"))
-    sinks = {"graph": lambda c, run: {k.name: k.records for k in nodes.replace_all(graph.project(c, MODEL))},
+    rel = Relational(Tables(spark, scratch_path(spark, "rel"), "town"), MODEL, FEW)
+    nodes = graph.GraphStore(Tables(spark, scratch_path(spark, "graph"), "town"), MODEL, FEW)
+    sinks = {"graph": lambda c, run: nodes.apply(c),
              "tables": lambda c, run: {names[k]: n for k, n in rel.apply(c, run, "town", "m@1").items()}}
     done = fan_out({t: materialise(rows, "changes") for t, rows in changes(spark, sf).items()}, sinks, "run")
     stored = {"graph": {t: nodes.read(t) for t in done["graph"]}, "tables": {t: rel.table(t) for t in done["tables"]}}

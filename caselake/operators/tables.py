@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from caselake.functions.text import snake
 from caselake.model import ID, CanonicalType, Model
+from caselake.operators.buckets import COUNT, Buckets
 from caselake.operators.graph import ProjectionRefused, require_identity
 from caselake.operators.merge import merge_into, merge_rows, schema_changes
 from caselake.operators.store import Tables
+from caselake.session import materialise
 
 KEY = "canonical_id"
 # The lineage columns every relational table carries.
@@ -62,14 +64,18 @@ def would_orphan(operational: DataFrame, column: str, current: DataFrame, rebuil
     return operational.join(gone.select(F.col(KEY).alias(column)), column, "left_semi")
 
 
-LEDGER = "run_id string, operation string, type string, records bigint, at timestamp"
+LEDGER = "run_id string, operation string, type string, records bigint, source_id string, mapping string"
 
 
 class Relational:
-    """The tables of one deployment: ``<type>`` per model type, ``_ledger``, ``_runs``, ``_violations``."""
+    """The tables of one deployment: ``<type>`` per model type, ``_ledger``, ``_runs``, ``_violations``.
 
-    def __init__(self, store: Tables, model: Model):
-        self.store, self.model = store, model
+    Types lie in buckets of their identity: a change set reads and writes the buckets its identities and references
+    fall into, and what it costs follows from that.
+    """
+
+    def __init__(self, store: Tables, model: Model, buckets: int = COUNT):
+        self.store, self.model, self.buckets = store, model, Buckets(store, buckets)
 
     def _current(self, t: CanonicalType) -> DataFrame | None:
         return self.store.read(snake(t.name)) if snake(t.name) in self.store.names() else None
@@ -85,50 +91,61 @@ class Relational:
                 half = changes[t.name].filter(" OR ".join(f"{r.name}.id IS NULL" for r in t.roles))
                 if not half.isEmpty():
                     raise ProjectionRefused(f"a {t.name} record is missing a role")
-            out[t.name] = relational(changes[t.name], t, run_id, source_id, mapping)
+            out[t.name] = materialise(relational(changes[t.name], t, run_id, source_id, mapping), "changes")
         return out
 
-    def _check(self, after: dict[str, DataFrame]) -> None:
-        known = dict(after)
-        for name in after:
+    def _check(self, fresh: dict[str, DataFrame], replaced: bool) -> None:
+        """P10: every role id of the new rows is among the new rows of its target or, unless those replace all, the stored ones.
+
+        Rows stored before were checked when they came, and an apply takes no identity away.
+        """
+        found = []
+        for name, rows in fresh.items():
             for r in self.model[name].roles:
-                if r.target not in known:
-                    current = self._current(self.model[r.target])
-                    if current is not None:
-                        known[r.target] = current
-        lost = missing_references(known, self.model)
-        found = lost.limit(5).collect() if lost is not None else []
+                column = role_column(r.name)
+                lost = rows.filter(F.col(column).isNotNull()).select(F.col(column).alias(KEY)).distinct()
+                if r.target in fresh and replaced:
+                    lost = lost.join(fresh[r.target].select(KEY), KEY, "left_anti")
+                else:
+                    lost = self.buckets.missing(lost, snake(r.target), KEY, fresh.get(r.target))
+                found += [f"{snake(name)}.{column} -> {row[KEY]}" for row in lost.limit(5).collect()]
         if found:
-            raise ProjectionRefused("nothing was changed; missing: " + ", ".join(
-                f"{r['table']}.{r['column']} -> {r[KEY]}" for r in found))
+            raise ProjectionRefused("nothing was changed; missing: " + ", ".join(found))
 
     def apply(self, changes: dict[str, DataFrame], run_id: str, source_id: str, mapping: str) -> dict[str, int]:
         """All of the change set or none of it."""
         if not changes:
             return {}
         fresh = self._fresh(changes, run_id, source_id, mapping)
-        after = {n: upsert(self._current(self.model[n]), rows) for n, rows in fresh.items()}
-        return self._publish("apply", run_id, after)
+        for n, rows in fresh.items():
+            current = self._current(self.model[n])
+            if current is not None:
+                schema_changes(current, rows)
+        self._check(fresh, replaced=False)
+        staged = [self.buckets.change(snake(n), rows, KEY, upsert) for n, rows in fresh.items()]
+        return self._publish("apply", run_id, source_id, mapping, fresh, staged)
 
     def rebuild(self, snapshot: dict[str, DataFrame], run_id: str, source_id: str, mapping: str,
                 operational: dict[tuple[str, str], DataFrame] | None = None) -> dict[str, int]:
         """Only the snapshot's types are replaced. ``operational``: (type, column) -> rows that refer to it."""
-        after = self._fresh(snapshot, run_id, source_id, mapping)
+        fresh = self._fresh(snapshot, run_id, source_id, mapping)
         for (type_name, column), rows in (operational or {}).items():
             current = self._current(self.model[type_name])
-            if current is not None and type_name in after and \
-                    not would_orphan(rows, column, current, after[type_name]).isEmpty():
+            if current is not None and type_name in fresh and \
+                    not would_orphan(rows, column, current, fresh[type_name]).isEmpty():
                 raise ProjectionRefused(f"operational rows refer to {type_name} rows the rebuild would remove")
-        return self._publish("rebuild", run_id, after)
-
-    def _publish(self, operation: str, run_id: str, after: dict[str, DataFrame]) -> dict[str, int]:
-        self._check(after)
-        commits = self.store.replace_all({snake(n): rows for n, rows in after.items()})
-        spark = self.store.spark
-        ledger = spark.createDataFrame([(run_id, operation, c.name, c.records) for c in commits],
-                                       "run_id string, operation string, type string, records bigint")
+        self._check(fresh, replaced=True)
+        staged = [self.buckets.replace(snake(n), rows, KEY) for n, rows in fresh.items()]
+        return self._publish("rebuild", run_id, source_id, mapping, fresh, staged)
+
+    def _publish(self, operation: str, run_id: str, source_id: str, mapping: str, fresh: dict[str, DataFrame],
+                 staged: list[tuple[str, dict]]) -> dict[str, int]:
+        """The ledger says how many records came, whatever the buckets they share hold."""
+        came = {snake(n): rows.count() for n, rows in fresh.items()}
+        self.buckets.publish(staged)
+        ledger = self.store.spark.createDataFrame([(run_id, operation, n, count, source_id, mapping) for n, count in came.items()], LEDGER)
         self.store.append("_ledger", ledger.withColumn("at", F.current_timestamp()))
-        return {c.name: c.records for c in commits}
+        return came
 
     def record_run(self, report: DataFrame, violations: DataFrame) -> None:
         """The report and a row per violation, kept apart from the projected tables, so a rebuild leaves them alone."""
