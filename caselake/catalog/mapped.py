@@ -624,7 +624,7 @@ def i12_incremental(spark, sf):
     """Two runs, the earlier and the later half of the orders; the second finds the first one's clusters."""
     p = people(spark, sf)
     half = p.agg((F.max("ord") / 2).cast("bigint").alias("m")).first()["m"]
-    index = KeyIndex(Tables(spark, scratch_path(spark, "keys")), "town")
+    index = KeyIndex(Tables(spark, scratch_path(spark, "keys")), "town", buckets=8)
     first = index.resolver()(p.filter(F.col("ord") <= half), "Person")
     second = index.resolver()(p.filter(F.col("ord") > half), "Person")
     return first.unionByName(second).select(F.col("ord").alias("o_orderkey"), "cluster_id")

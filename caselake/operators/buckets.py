@@ -50,9 +50,10 @@ class Buckets:
         stored = self.store.read(name, buckets=touched) if self.has(name) else None
         return name, self.store.stage(name, self._laid(merge(stored, fresh), key), False, touched)
 
-    def extend(self, name: str, fresh: DataFrame, key: str) -> tuple[str, dict]:
+    def extend(self, name: str, fresh: DataFrame, key: str, tag: str | None = None) -> tuple[str, dict]:
         """Add rows to the buckets of their keys; what is there is neither read nor written."""
-        return name, self.store.stage(name, self._laid(fresh, key), False, [], extend=True)
+        entry = self.store.stage(name, self._laid(fresh, key), False, [], extend=True)
+        return name, entry if tag is None else {**entry, "tag": tag}
 
     def compact(self, name: str, key: str, fold: Callable[[DataFrame], DataFrame], parts: int = MANY_PARTS) -> list[int]:
         """Write buckets that lie in too many parts anew, folded; gives their numbers."""

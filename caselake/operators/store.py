@@ -99,13 +99,16 @@ class Tables:
 
         What was appended under a tag is not appended again under it, so a retried slice is stored once.
         """
-        if tag is not None and any(e.get("tag") == tag for e in self._current(name)):
+        if tag is not None and self.tagged(name, tag):
             return None
         entry = self.stage(name, df, fresh=False)
         if entry["records"] == 0 and self._current(name):
             return None
         return self._publish(name, entry if tag is None else {**entry, "tag": tag})
 
+    def tagged(self, name: str, tag: str) -> bool:
+        return any(e.get("tag") == tag for e in self._current(name))
+
     def replace(self, name: str, df: DataFrame) -> Commit:
         """Write a new generation, then switch; if the write fails the old one stays."""
         return self._publish(name, self.stage(name, df, fresh=True))

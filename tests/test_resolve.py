@@ -90,11 +90,50 @@ def test_a_long_chain_is_followed_to_its_start(spark):
     assert got == replay(rows)
 
 
-def test_a_key_shared_by_most_rows_takes_the_broadcast_path(spark, monkeypatch):
-    monkeypatch.setattr(who, "HEAVY_MIN_ROWS", 50)
+def final_plans(spark):
+    """Plans of the queries so far, as they ran."""
+    runs = spark._jsparkSession.sharedState().statusStore().executionsList()
+    return {runs.apply(i).executionId(): runs.apply(i).physicalPlanDescription() for i in range(runs.size())}
+
+
+def test_the_rows_of_a_key_that_most_have_are_split(spark):
     rng = random.Random(5)
-    rows = [sighting(i, dl=f"L{rng.randrange(300)}" if rng.random() < .5 else None, sur="JUNK", dob="1900-01-01") for i in range(900)]
-    assert answers(resolved(spark, rows)) == replay(rows)
+    rows = [sighting(i, dl=f"L{rng.randrange(300)}" if rng.random() < .5 else None, sur="JUNK" if rng.random() < .9 else f"S{i}", dob="1900-01-01")
+            for i in range(4000)]
+    low = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.1",
+           "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k", "spark.sql.autoBroadcastJoinThreshold": "-1",
+           "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in low}
+    seen = set(final_plans(spark))
+    try:
+        for k, v in low.items():
+            spark.conf.set(k, v)
+        got = answers(who.resolve(spark.createDataFrame(rows, ATTRS).repartition(8), "town"))
+        ran = [p for i, p in final_plans(spark).items() if i not in seen]
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert got == replay(rows)
+    assert any("skew=true" in p for p in ran)
+
+
+def test_keys_are_asked_only_in_buckets_that_may_hold_them(spark, folder):
+    index = KeyIndex(Tables(spark, folder + "/keys"), "town", buckets=32)
+    key = lambda names: spark.createDataFrame([(k,) for k in names], "key string")
+    added = key([f"DL {i}" for i in range(3000)]).select(F.lit("town").alias("tenant"), F.lit("Person").alias("entity_type"), "key",
+                                                         F.concat(F.lit("c"), "key").alias("cluster_id"))
+    index.add(added, "Person", epoch=0)
+    index.add(added.limit(1), "Person", epoch=0)                        # the same slice again
+    assert index.read().count() == 3000
+    asked = key([f"DL {i}" for i in range(0, 3000, 300)] + [f"NEW {i}" for i in range(2000)])
+    assert {(r.key, r.cluster_id) for r in index.known(asked, "Person").collect()} == {(f"DL {i}", f"cDL {i}") for i in range(0, 3000, 300)}
+    assert index.maybe(asked, "Person").count() < 10 + 2000 * 0.05
+    assert index.known(asked, "Vehicle").count() == 0 and index.known(asked, "Person", before=0).count() == 0
+    few = index.known(key(["DL 5", "NEW 1"]), "Person")
+    names = {f.split("key_bucket=")[1].split("/")[0] for f in few.inputFiles() if "cluster_keys/" in f}
+    assert few.count() == 1 and len(names) <= 2
+    assert set(index.store.parts("cluster_keys").values()) == {1}
+    assert index.known(key([f"NEW {i}" for i in range(50)]), "Person").count() == 0
 
 
 def test_a_second_run_finds_the_clusters_of_the_first(spark, folder):
