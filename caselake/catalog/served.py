@@ -184,7 +184,7 @@ def m10_stream_parity(spark, sf):
         part.drop("ord").coalesce(1).write.mode("append").parquet(feed)
     bronze = Bronze(spark, scratch_path(spark, "raw"), "town")
     silver = Silver(Tables(spark, scratch_path(spark, "silver"), "town"), MODEL)
-    keys = KeyIndex(Tables(spark, scratch_path(spark, "keys"), "town"), "town")
+    keys = KeyIndex(Tables(spark, scratch_path(spark, "keys"), "town"), "town", FEW)
     stream = raw.src.as_envelopes(spark.readStream.schema("payload binary, offset string").option("maxFilesPerTrigger", 1).parquet(feed), "dispatch")
     store = map_stream(bronze, silver, mapped.DISPATCH, lambda epoch: {"deterministic": keys.resolver(epoch=epoch)})
     stops = [1]

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from caselake.operators.store import BUCKET, Commit, Tables
 from caselake.session import materialise
 
-COUNT = 64
+COUNT = 16
 MANY_PARTS = 16
 
 Merge = Callable[[DataFrame | None, DataFrame], DataFrame]

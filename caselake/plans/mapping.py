@@ -101,7 +101,8 @@ class Mapping:
 
 
 Resolver = Callable[[DataFrame, str], DataFrame]
-"""(rows of ord, record_key and attributes; entity type) -> rows of ord and cluster_id, one per input row."""
+"""(rows of ord, record_key and attributes; entity type) -> rows of ord and cluster_id, one per input row. A row without
+an answer fails the reading of the records."""
 
 
 class _Frame:
@@ -141,12 +142,12 @@ class _Frame:
 
 @dataclass
 class _Done:
-    """One finished hop: where its columns are, and the first table that holds them all."""
+    """One finished hop and where its columns are."""
 
     hop: Hop
     tag: str
     emitted: dict[str, str]     # field -> step value type
-    df: DataFrame | None = None
+    late: bool = False          # its identity, or one of its roles, rests on a resolved identity
 
 
 def _source_columns(mapping: Mapping) -> dict[str, Column]:
@@ -198,12 +199,47 @@ def _none(failed: list[Column]) -> Column:
     return F.coalesce(*failed, F.lit(None).cast(FAILURE_TYPE)) if failed else F.lit(None).cast(FAILURE_TYPE)
 
 
+STAND_IN = "?"
+
+
 @dataclass
 class MappedRun:
+    """A run's rows, written once. They hold every state, since a state only asks whether an identity was asked for, not
+    which one it is. Resolvers run when somebody wants records of a late hop; their narrow answers are written once
+    and joined by ``ord``. Accounts, outcomes, reports and violations need none of it.
+    """
+
     mapping: Mapping
     run_id: str
     wide: DataFrame
     done: list[_Done]
+    asks: dict[str, tuple[Resolver, str]]       # tag of a resolving hop -> who answers, for which type
+    late: list[dict[str, Column]]               # columns that rest on answers, in the order of the hops
+    answered: dict[str, DataFrame] = field(default_factory=dict)
+
+    # -- identities ---------------------------------------------------------------------
+    def identities(self, tag: str) -> DataFrame:
+        """(ord, id) for every row that asked."""
+        if tag not in self.answered:
+            resolver, entity_type = self.asks[tag]
+            rows = self.wide.filter(F.col(tag + "ask").isNotNull()).select("ord", F.col("envelope_id").alias("record_key"), tag + "ask.*")
+            self.answered[tag] = materialise(resolver(rows, entity_type).select("ord", F.col("cluster_id").alias("id")), "identities")
+        return self.answered[tag]
+
+    def _completed(self, rows: DataFrame, real: bool) -> DataFrame:
+        """Rows with their late columns: from the answers, or, where only presence counts, from a stand-in."""
+        for tag in self.asks:
+            asked = F.col(tag + "ask").isNotNull()
+            if not real:
+                rows = rows.withColumn(tag + "id", F.when(asked, F.lit(STAND_IN)))
+                continue
+            answer = self.identities(tag).select(F.col("ord").alias("_ord"), F.col("id").alias("_id"))
+            silent = F.raise_error(F.concat(F.lit("the resolver gave no answer for record "), F.col("ord").cast("string"))).cast("string")
+            rows = rows.join(answer, F.col("ord") == F.col("_ord"), "left") \
+                .withColumn(tag + "id", F.when(asked, F.coalesce("_id", silent))).drop("_ord", "_id")
+        for columns in self.late:
+            rows = rows.withColumns(columns)
+        return rows
 
     # -- records ------------------------------------------------------------------------
     def records(self, hop_id: str) -> DataFrame:
@@ -219,7 +255,8 @@ class MappedRun:
                 out.append(F.col(d.tag + "v_" + f.name).alias(f.name))
             else:
                 out.append(F.lit(None).cast(f.spark_type).alias(f.name))
-        return d.df.filter(F.col(d.tag + "state") == PRODUCED).select(*out)
+        made = self.wide.filter(F.col(d.tag + "state") == PRODUCED)
+        return (self._completed(made, True) if d.late else made).select(*out)
 
     def by_type(self) -> dict[str, DataFrame]:
         out: dict[str, DataFrame] = {}
@@ -267,12 +304,12 @@ class MappedRun:
         return self.violations().select("quarantine_id", "run_id", "source_id", "envelope_id", "ord", "hop", "contract", "direction",
                                         "record_type", F.explode("failures").alias("f")).select("*", "f.*").drop("f")
 
-    def _explained(self) -> DataFrame:
+    def _explained(self, with_values: bool) -> DataFrame:
         """The rows with a held hop, and per hop ``in``, ``fail``, ``idfail`` and ``out``: what broke, in that order."""
         any_held = F.lit(False)
         for d in self.done:
             any_held = any_held | (F.col(d.tag + "state") == QUARANTINED)
-        frame = _Frame(self.wide.filter(any_held))
+        frame = _Frame(self._completed(self.wide.filter(any_held), with_values))
         steps = {d.hop.id: _run_steps(frame, self.mapping, d.hop) for d in self.done}
         frame.flush()
         new = {}
@@ -324,7 +361,7 @@ class MappedRun:
                 at_output = ~at_input & step.isNull() & identity.isNull()
                 cols.append(F.when(at_output, output).otherwise(source_json).alias("values"))
             entries.append(F.when(F.col(tag + "state") == QUARANTINED, F.struct(*cols)))
-        held = self._explained().select("envelope_id", "ord", F.explode(F.array_compact(F.array(*entries))).alias("e"))
+        held = self._explained(with_values).select("envelope_id", "ord", F.explode(F.array_compact(F.array(*entries))).alias("e"))
         out = [F.sha2(F.concat_ws("\u001f", F.lit(self.run_id), "envelope_id", "e.hop"), 256).alias("quarantine_id"),
                F.lit(self.run_id).alias("run_id"), F.lit(self.mapping.source_id).alias("source_id"),
                "envelope_id", "ord", "e.*"]
@@ -389,11 +426,9 @@ def run_mapping(envelopes: DataFrame, mapping: Mapping, resolvers: dict[str, Res
     frame = _Frame(decode(kept, mapping.decoder, prefix="s_").drop("payload"))
     hops = [(f"h{i}_", hop) for i, hop in enumerate(mapping.ordered())]
     done: dict[str, _Done] = {}
-
-    def write() -> None:
-        frame.df = materialise(frame.df, "mapped")
-        for d in done.values():
-            d.df = d.df if d.df is not None else frame.df
+    asks: dict[str, tuple[Resolver, str]] = {}
+    late: list[dict[str, Column]] = []
+    waits: set[str] = set()         # hops whose own identity is late
 
     # Gates on the source row and every hop's steps depend on nothing but the row.
     steps = {hop.id: _run_steps(frame, mapping, hop) for _, hop in hops}
@@ -426,7 +461,7 @@ def run_mapping(envelopes: DataFrame, mapping: Mapping, resolvers: dict[str, Res
             skip = skip | (state_of[dep] != PRODUCED)
         reached = ~skip & F.col(tag + "ok")
 
-        new = {}
+        new, again = {}, {}
         if hop.identity.mode == "resolve":
             asked = {a: given[f].as_text() for f, a in hop.identity.attributes.items() if f in given}
             if not asked:
@@ -435,13 +470,10 @@ def run_mapping(envelopes: DataFrame, mapping: Mapping, resolvers: dict[str, Res
                 raise MappingRefused(f"hop '{hop.id}' needs resolver '{hop.identity.provider}'")
             frame.set({tag + "ask": F.when(reached & F.coalesce(*asked.values()).isNotNull(), F.struct(
                 *[c.alias(a) for a, c in asked.items()]))})
-            write()
-            rows = frame.df.filter(F.col(tag + "ask").isNotNull()).select(
-                "ord", F.col("envelope_id").alias("record_key"), tag + "ask.*")
-            answer = resolvers[hop.identity.provider](rows, hop.identity.entity_type)
-            frame.df = frame.df.drop(tag + "ask").join(
-                answer.select("ord", F.col("cluster_id").alias(tag + "id")), "ord", "left")
-            identified = F.col(tag + "id").isNotNull()
+            identified = F.col(tag + "ask").isNotNull()
+            new[tag + "id"] = F.when(identified, F.lit(STAND_IN))
+            asks[tag] = (resolvers[hop.identity.provider], hop.identity.entity_type)
+            waits.add(hop.id)
         else:
             parts, identified = [], F.lit(True)
             for name in hop.identity.derive_from:
@@ -449,22 +481,28 @@ def run_mapping(envelopes: DataFrame, mapping: Mapping, resolvers: dict[str, Res
                 parts.append(part)
                 identified = identified & F.coalesce(is_stated(part), F.lit(False))
             new[tag + "id"] = F.when(identified, F.concat(F.lit(hop.identity.prefix), F.concat_ws("/", *parts)))
+            if any(name == f"{giver}.{ID}" for name in hop.identity.derive_from for giver in waits):
+                waits.add(hop.id)
+                again[tag + "id"] = new[tag + "id"]
 
         for role, giver in hop.roles.items():
             target = identity_of(giver)
             identified = identified & target.isNotNull()
             new[tag + "r_" + role] = F.when(target.isNotNull(), F.struct(
                 F.lit(mapping.hop(giver).identity.entity_type).alias("typeName"), target.alias("id")))
+            if giver in waits:
+                again[tag + "r_" + role] = new[tag + "r_" + role]
         new[tag + "ready"] = reached & identified
         frame.set(new)
 
         emitted = {f: v.type for f, v in given.items() if f not in hop.scratch}
         good = F.col(tag + "ready") & checks.passes(checks.schema_of(t), _output_columns(hop, tag, emitted))
         frame.set({tag + "state": F.when(skip, SKIPPED).when(good, PRODUCED).otherwise(QUARANTINED)})
-        frame.df = frame.df.drop(tag + "ok", *[tag + "v_" + f for f in given if f in hop.scratch])
-        done[hop.id] = _Done(hop, tag, emitted)
-    write()
-    return MappedRun(mapping, run_id, frame.df, list(done.values()))
+        late.append(again)
+        frame.df = frame.df.drop(tag + "ok", *[tag + "v_" + f for f in given if f in hop.scratch and tag + "id" not in again])
+        done[hop.id] = _Done(hop, tag, emitted, hop.id in waits or bool(again))
+    narrow = frame.df.drop(*[tag + "id" for tag in asks], *[c for columns in late for c in columns])
+    return MappedRun(mapping, run_id, materialise(narrow, "mapped"), list(done.values()), asks, late)
 
 
 def trace(envelopes: DataFrame, mapping: Mapping, hop_id: str) -> DataFrame:
