@@ -340,7 +340,9 @@ def dispatch_lines(spark: SparkSession, sf: str) -> DataFrame:
     line = F.concat(F.concat_ws(",", *fields), F.when(pending("MACHINERY"), ",GANG").otherwise(""))
     e = as_envelopes(j.select(line.alias("payload"), F.format_string("%012d", "o_orderkey").alias("offset"),
                               F.col("o_orderkey").alias("ord"), "o_orderkey"), "dispatch", keep=("ord", "o_orderkey"))
-    return e.select(F.col("o_orderkey").cast("string").alias("envelope_id"), "ord", "payload")
+    # The given tables are one row group each; a drop of lines comes in several files.
+    return e.select(F.col("o_orderkey").cast("string").alias("envelope_id"), "ord", "payload") \
+        .repartition(spark.sparkContext.defaultParallelism, "ord")
 
 
 def dispatch_run(spark: SparkSession, sf: str, keep: list | None = None) -> MappedRun:
