@@ -208,8 +208,10 @@ def repeated_keys(docs: DataFrame, doc: str, text: str, least: int, copies: int,
     n = keys.agg(F.coalesce(F.sum(F.octet_length("keys")), F.lit(0)).cast("long")).first()[0] // DIGEST
     shape, table = twice_seen(keys, n, most)
     held = materialise(suspects(keys, shape, table).distinct(), "line-suspects")
-    confirmed = held.groupBy("key").agg(F.count("*").alias("n"), F.max("doc").alias("last")).where(F.col("n") >= copies)
-    return held.join(confirmed.select("key", "last"), "key").where(~F.col("doc").eqNullSafe(F.col("last"))) \
+    counted = held.groupBy("key").agg(F.count("*").alias("n"), F.max("doc").alias("last")).where(F.col("n") >= copies)
+    # Written apart, so that the join below deals a hot key's suspects out anew instead of where they were counted.
+    confirmed = materialise(counted.select("key", "last"), "line-confirmed")
+    return held.join(confirmed, "key").where(~F.col("doc").eqNullSafe(F.col("last"))) \
         .groupBy("doc").agg(F.collect_list("key").alias("keys"))
 
 
