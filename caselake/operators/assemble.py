@@ -34,13 +34,25 @@ class Assembly:
     root: str
     follow: tuple[Follow, ...] = ()
 
+    def steps(self, model: Model) -> list["Step"]:
+        """The tree as rows, parents before their children; what a step reaches is looked up as far as the model knows it."""
+        rows: list[Step] = []
+        waiting = [(None, f"follow[{i}]", f) for i, f in enumerate(self.follow)]
+        while waiting:
+            parent, path, follow = waiting.pop(0)
+            link = model.get(follow.association)
+            role = link.role(follow.role) if link else None
+            row = Step(path, parent, follow, parent.reached if parent else self.root, link, role.target if role else None)
+            rows.append(row)
+            waiting[:0] = [(row, f"{path}.follow[{i}]", f) for i, f in enumerate(follow.follow)]
+        return rows
+
     def problems(self, model: Model) -> list[str]:
-        root = model.get(self.root)
-        if root is None:
-            return [f"root: '{self.root}' is not a type of this model"]
-        if root.is_association:
-            return [f"root: '{self.root}' is an association; documents are rooted on entities"]
-        return list(_problems(model, self.root, self.follow, "follow", (self.root,)))
+        """Every rule against every step; none of them waits for another."""
+        if not any(t.name == self.root and not t.is_association for t in model.types.values()):
+            return [f"root: no entity is called '{self.root}'"]
+        rows = self.steps(model)
+        return [f"{row.path}: {says(row)}" for broken, says in RULES for row in rows if broken(row, rows)]
 
     def check(self, model: Model) -> "Assembly":
         found = self.problems(model)
@@ -50,41 +62,39 @@ class Assembly:
 
     def types_touched(self, model: Model) -> list[str]:
         """The only tables an assembly reads."""
-        out = [self.root]
-
-        def visit(steps: tuple[Follow, ...]) -> None:
-            for s in steps:
-                out.append(s.association)
-                role = model.get(s.association) and model[s.association].role(s.role)
-                if role:
-                    out.append(role.target)
-                visit(s.follow)
-
-        visit(self.follow)
-        return list(dict.fromkeys(out))
-
-
-def _problems(model: Model, at_type: str, steps: tuple[Follow, ...], where: str, branch: tuple[str, ...]):
-    names: set[str] = set()
-    for i, s in enumerate(steps):
-        at = f"{where}[{i}]"
-        if s.name in names:
-            yield f"{at}: the name '{s.name}' is used twice at this level"
-        names.add(s.name)
-        t = model.get(s.association)
-        if t is None:
-            yield f"{at}: '{s.association}' is not a type of this model"
-        elif not t.is_association:
-            yield f"{at}: '{s.association}' is an entity and cannot be followed"
-        elif t.role(s.role) is None:
-            yield f"{at}: '{s.association}' has no role '{s.role}'"
-        elif anchor_role(t, s.role, at_type) is None:
-            yield f"{at}: '{s.association}' does not connect to '{at_type}'"
-        elif t.role(s.role).target in branch:
-            yield f"{at}: '{t.role(s.role).target}' is already in this branch"
-        else:
-            reached = t.role(s.role).target
-            yield from _problems(model, reached, s.follow, at + ".follow", (*branch, reached))
+        reached = [(row.follow.association, row.reached) for row in self.steps(model)]
+        return list(dict.fromkeys([self.root, *[name for pair in reached for name in pair if name]]))
+
+
+@dataclass(frozen=True)
+class Step:
+    """A row of a flattened assembly: the followed association, from which type, to which."""
+
+    path: str
+    parent: "Step | None"
+    follow: Follow
+    stands_on: str | None
+    link: CanonicalType | None
+    reached: str | None
+
+    @property
+    def above(self) -> list[str | None]:
+        """The types of its branch, from the root to where it stands."""
+        return [*(self.parent.above if self.parent else []), self.stands_on]
+
+
+# (is the rule broken by a row among all rows, what to say); in the order in which they are reported.
+RULES = (
+    (lambda s, _: s.link is None or not s.link.is_association,
+     lambda s: f"no association is called '{s.follow.association}'"),
+    (lambda s, _: s.link is not None and s.link.is_association and s.reached is None,
+     lambda s: f"of the roles of {s.follow.association} none is '{s.follow.role}'"),
+    (lambda s, _: None not in (s.reached, s.stands_on) and anchor_role(s.link, s.follow.role, s.stands_on) is None,
+     lambda s: f"{s.follow.association} has no other role for the {s.stands_on} it is followed from"),
+    (lambda s, _: s.reached is not None and s.reached in s.above,
+     lambda s: f"leads back to {s.reached}, from which it came"),
+    (lambda s, rows: any(o.follow.name == s.follow.name for o in rows if o.parent is s.parent and o is not s),
+     lambda s: f"shares its name '{s.follow.name}' with a step beside it"))
 
 
 def anchor_role(t: CanonicalType, followed: str, at_type: str) -> str | None:
