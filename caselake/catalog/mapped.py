@@ -632,6 +632,21 @@ def i12_incremental(spark, sf):
     return first.unionByName(second).select(F.col("ord").alias("o_orderkey"), "cluster_id")
 
 
+@query("i13_unsupported_type", "SELECT t AS asked, CASE t WHEN 'Person' THEN n ELSE 0 END AS answered, t <> 'Person' AS refused FROM (VALUES ('Person'), ('Vehicle')) v(t), (SELECT COUNT(*) AS n FROM orders)")
+def i13_unsupported_type(spark, sf):
+    """The same sightings asked about as people and as vehicles, which the resolver's capabilities don't name."""
+    p, out = people(spark, sf), None
+    for asked in ("Person", "Vehicle"):
+        supported = tuple(who.capabilities()["entityTypes"])
+        try:
+            rows, refused = who.resolve(p, "town", asked, supported=supported).assignments, False
+        except who.UnsupportedEntityType:
+            rows, refused = p.limit(0), True
+        one = rows.agg(F.count("*").alias("answered")).select(F.lit(asked).alias("asked"), "answered", F.lit(refused).alias("refused"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("i14_pluggable", """
 SELECT o_orderkey, 'nation:' || CAST(c_nationkey AS VARCHAR) AS cluster_id FROM orders JOIN customer ON o_custkey = c_custkey""")
 def i14_pluggable(spark, sf):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from caselake.catalog import money, query, table
+from caselake.catalog import money, query, side_by_side, table
 from caselake.functions.decode import Delimited, decode, split_values
 from caselake.functions.text import empty_to_null, java_trim
 from caselake.session import scratch_path
@@ -13,6 +13,7 @@ from caselake.sources import envelopes as src
 from caselake.sources.bronze import Bronze
 from caselake.sources.files_meta import TenantRefused
 from caselake.streaming.flows import land_stream
+from caselake.streaming.pull import Pull
 
 # -- lines of customers: quotes inside quotes, blanks, short rows (no balance) and one column too many ---------
 CUSTOMER_LINE_SQL = '''
@@ -210,6 +211,31 @@ def s5_due_files(spark, sf):
     return src.due_files(listed, "0000001700002000000#", 1000).select("name", "watermark")
 
 
+@query("s5_pull_by_watermark", """
+SELECT * FROM (SELECT CAST(1 AS BIGINT) AS pull, COUNT(*) FILTER (WHERE c_acctbal < 0) AS records FROM customer
+  UNION ALL SELECT 2, COUNT(*) FILTER (WHERE c_acctbal >= 0) FROM customer UNION ALL SELECT 3, 0)""")
+def s5_pull_by_watermark(spark, sf):
+    """Two drops into one folder and three pulls, a few files a round; each pull lands what came since the mark."""
+    folder, c = scratch_path(spark, "drop"), table(spark, sf, "customer")
+    b = Bronze(spark, scratch_path(spark, "raw"), "town")
+    pull = Pull(b, "customers", folder, "watermark", max_files=3)
+    landed = []
+    for part in (c.filter("c_acctbal < 0"), c.filter("c_acctbal >= 0"), None):
+        if part is not None:
+            part.select(F.col("c_custkey").cast("string")).repartition(4).write.mode("append").text(folder)
+        landed.append([x.landing_id for x in pull.drain()])
+    rows = b.read("customers").groupBy("batch_no").agg(F.count("*").alias("n"))
+    of = lambda ids: [b.committed("customers", i) for i in ids]
+    out = None
+    for n, ids in enumerate(landed, 1):
+        inside = F.lit(False)
+        for x in of(ids):
+            inside = inside | F.col("batch_no").between(x.first_batch, x.last_batch)
+        one = rows.filter(inside).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("records")).select(F.lit(n).cast("bigint").alias("pull"), "records")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 # -- S7 to S17: the raw store ------------------------------------------------------------------------------
 ORDER_LINE_SQL = """
 order_lines AS (
@@ -376,3 +402,27 @@ def s6_after_download(spark, sf):
     b = Bronze(spark, root, "town")
     land_stream(feed, b, "documents", ckpt).awaitTermination()
     return b.read("documents").agg(F.count("*").alias("records"), F.countDistinct("offset").alias("documents"))
+
+
+@query("s6_pull_and_archive", """
+SELECT COUNT(*) AS landed, COUNT(DISTINCT c_custkey) AS archived, CAST(0 AS BIGINT) AS twice, CAST(0 AS BIGINT) AS left_over, 'once' AS stopped FROM customer""")
+def s6_pull_and_archive(spark, sf):
+    """Three files a round; the first round stops after its landing, and is run again: all lines once, all files in the archive."""
+    folder, archive = scratch_path(spark, "drop"), scratch_path(spark, "archive")
+    table(spark, sf, "customer").select(F.col("c_custkey").cast("string")).repartition(7).write.text(folder)
+    b = Bronze(spark, scratch_path(spark, "raw"), "town")
+    pull = Pull(b, "customers", folder, "archive", archive, glob="part-*", max_files=3)
+
+    def stop(landed):
+        raise RuntimeError("stopped between the landing and the archive")
+
+    try:
+        pull.drain(stop)
+        stopped = "never"
+    except RuntimeError:
+        stopped = "once"
+    pull.drain()
+    landed = b.read("customers").agg(F.count("*").alias("landed"), (F.count("*") - F.countDistinct("payload")).alias("twice"))
+    there = spark.read.text(archive).agg(F.countDistinct("value").alias("archived"))
+    left = spark.read.schema("value string").text(folder).agg(F.count("*").alias("left_over"))
+    return side_by_side(landed, there, left).withColumn("stopped", F.lit(stopped))

@@ -95,6 +95,16 @@ def v2_append_read(spark, sf):
     return by_status(spark, sf).read("Incident").select(F.col(ID).alias("id"), F.col("incidentNumber").alias("number"))
 
 
+@query("v3_never_written", "SELECT CAST(0 AS BIGINT) AS before, COUNT(*) AS after, CAST(0 AS BIGINT) AS other FROM orders")
+def v3_never_written(spark, sf):
+    """A type that nobody wrote reads as empty, in its declared shape."""
+    silver = Silver(Tables(spark, scratch_path(spark, "silver"), "town"), MODEL)
+    before = silver.read("Incident")
+    silver.append({"Incident": changes(spark, sf)["Incident"]})
+    n = lambda rows, name: rows.agg(F.count(ID).alias(name))
+    return side_by_side(n(before, "before"), n(silver.read("Incident"), "after"), n(silver.read("Person"), "other"))
+
+
 @query("v4_read_as_of", "SELECT 'I/' || CAST(o_orderkey AS VARCHAR) AS id FROM orders WHERE o_orderstatus IN ('F', 'O')")
 def v4_read_as_of(spark, sf):
     return by_status(spark, sf).read("Incident", as_of=2).select(F.col(ID).alias("id"))
@@ -207,9 +217,24 @@ def m10_stream_parity(spark, sf):
     return out
 
 
+@query("r4_replay_result", f"""
+WITH {mapped.DISPATCH_SQL}, a AS ({mapped.ACCOUNT_SQL})
+SELECT landed, quarantined, quarantined = 0 AS clean, 'Incident' AS type, (SELECT COUNT(*) FROM g WHERE inc_ok) AS records FROM a
+UNION ALL SELECT landed, quarantined, quarantined = 0, 'Person', (SELECT COUNT(*) FROM g WHERE per_ok) FROM a
+UNION ALL SELECT landed, quarantined, quarantined = 0, 'PersonIncidentAssociation', (SELECT COUNT(*) FROM g WHERE inc_ok AND per_ok) FROM a""")
+def r4_replay_result(spark, sf):
+    """What a replay answers: landed and held records, and per type what it rewrote; the types' rows are counted where they are stored."""
+    bronze, silver = landed_dispatch(spark, sf), Silver(Tables(spark, scratch_path(spark, "silver"), "town"), MODEL)
+    result = replay(ReplayRequest("dispatch", mapped.DISPATCH.qualified), bronze, silver, mapped.DISPATCH, {"deterministic": deterministic("town")})
+    rows = stored_counts({c.name: silver.read(c.name) for c in result.commits})
+    return rows.select(F.lit(result.landed).cast("bigint").alias("landed"), F.lit(result.quarantined).cast("bigint").alias("quarantined"),
+                       F.lit(result.clean).alias("clean"), "type", "records")
+
+
 @query("r3_dry_run", "SELECT 'Incident' AS type, COUNT(*) AS records FROM orders UNION ALL SELECT 'Person', 0 UNION ALL SELECT 'PersonIncidentAssociation', 0")
 def r3_dry_run(spark, sf):
-    return spark.createDataFrame(list(dry_run(by_status(spark, sf), mapped.DISPATCH).items()), "type string, records bigint")
+    silver = by_status(spark, sf)
+    return stored_counts({t: silver.read(t) for t in dry_run(silver, mapped.DISPATCH)})
 
 
 @query("r5_equality_check", "SELECT COUNT(*) AS rows, TRUE AS reordered_same, FALSE AS shortened_same FROM lineitem")
@@ -824,12 +849,19 @@ def l4_involving(spark, sf):
 @query("l5_tamper_check", """
 SELECT printf('D%012d', o_orderkey) AS disclosure_id, CAST(CASE o_orderstatus WHEN 'P' THEN 14 ELSE 12 END AS INTEGER) AS fields FROM orders WHERE o_orderstatus <> 'O'""")
 def l5_tamper_check(spark, sf):
-    """Stored lines of pending orders gained a separator, those of filled ones lost one."""
-    lines = disclosures(spark, sf).select("disclosure_id", "outcome", audit.encode().alias("value"))
-    bent = lines.withColumn("value", F.when(F.col("outcome") == "PARTIAL", F.concat("value", F.lit(audit.SEPARATOR)))
-                            .when(F.col("outcome") == "REFUSED", F.regexp_replace("value", audit.SEPARATOR + "policy$", " policy"))
-                            .otherwise(F.col("value")))
-    return audit.tampered(bent).select("disclosure_id", "fields")
+    """Lines that reached the stored log on another way: pending orders' gained a separator, filled ones' lost one. Reading is refused."""
+    store = Tables(spark, scratch_path(spark, "audit"), "town")
+    log, d = audit.DisclosureLog(store, "town"), disclosures(spark, sf).withColumns(
+        {"requesting_principal": F.lit("somebody"), "requested_by": F.lit("town")})
+    log.append(d.filter("outcome = 'GRANTED'"))
+    lines = d.filter("outcome <> 'GRANTED'").select("outcome", audit.encode().alias("value"))
+    store.append("disclosures", lines.select(F.when(F.col("outcome") == "PARTIAL", F.concat("value", F.lit(audit.SEPARATOR)))
+                                             .otherwise(F.regexp_replace("value", audit.SEPARATOR + "policy$", " policy")).alias("value")))
+    try:
+        log.all()
+    except audit.LogTampered:
+        return audit.tampered(log.lines()).select(F.split_part("value", F.lit(audit.SEPARATOR), F.lit(1)).alias("disclosure_id"), "fields")
+    raise AssertionError("a bent log was read")
 
 
 @query("l6_totals", """

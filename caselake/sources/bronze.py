@@ -60,10 +60,10 @@ class Bronze:
         """
         if posture == "TRANSIENT":
             raise LandingRefused(f"source '{source_id}' is transient and is never landed")
+        before = self.committed(source_id, landing_id)
+        if before is not None:
+            return before
         done = self._commits(source_id)
-        if landing_id in done:
-            c = done[landing_id]
-            return Landing(landing_id, c["first_batch"], c["last_batch"], c["records"], True)
         first = max([c["last_batch"] for c in done.values()], default=0) + 1
         stem, number = place(F.col("offset"))
         numbered = with_row_index(envelopes.withColumns({"_stem": stem, "_number": number}),
@@ -91,6 +91,11 @@ class Bronze:
             "landing": landing_id, "first_batch": first, "last_batch": last, "records": total["n"]})
         return Landing(landing_id, first, last, total["n"])
 
+    def committed(self, source_id: str, landing_id: str) -> Landing | None:
+        """A landing that was committed before."""
+        c = self._commits(source_id).get(landing_id)
+        return None if c is None else Landing(landing_id, c["first_batch"], c["last_batch"], c["records"], True)
+
     def _commits(self, source_id: str) -> dict[str, dict]:
         return {c["landing"]: c for c in self.markers.read_all_json(f"commits/{source_id}")}
 

@@ -44,7 +44,7 @@ def as_envelopes(df: DataFrame, source_id: str, instance: str = "default", paylo
         "content_hash", "offset", *keep)
 
 
-def numbered_lines(spark: SparkSession, directory: str, glob: str = "*", encoding: str = "UTF-8") -> DataFrame:
+def numbered_lines(spark: SparkSession, directory: str | list[str], glob: str = "*", encoding: str = "UTF-8") -> DataFrame:
     """Every line with its 1-based number inside its file; no payload is shuffled for it.
 
     Splits keep their lines in order, so a line's number is the count of lines in the
@@ -61,12 +61,12 @@ def numbered_lines(spark: SparkSession, directory: str, glob: str = "*", encodin
     earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     before = blocks.select("path", "block", "first_row",
                            F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    # One row per split goes to every task, so that no line moves.
-    return lines.join(F.broadcast(before), ["path", "block"]).select(
+    # One row per split: below the broadcast threshold it goes to every task and no line moves.
+    return lines.join(before, ["path", "block"]).select(
         "file_name", "modified", "value", (F.col("row") - F.col("first_row") + F.col("before") + 1).alias("line_number"))
 
 
-def file_lines(spark: SparkSession, directory: str, source_id: str, glob: str = "*", skip_header_lines: int = 0,
+def file_lines(spark: SparkSession, directory: str | list[str], source_id: str, glob: str = "*", skip_header_lines: int = 0,
                encoding: str = "UTF-8", instance: str = "file") -> DataFrame:
     """One envelope per non-blank line after the header; blank and header lines keep their numbers."""
     kept = numbered_lines(spark, directory, glob, encoding).filter(

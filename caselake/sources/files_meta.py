@@ -63,6 +63,24 @@ class Markers:
         if not self._fs.rename(side, target):
             raise FileExistsError(f"{name} is already committed")
 
+    def move(self, name: str, folder: str) -> None:
+        """Into a folder, under its own name or, where that is taken, with its time; a file that is away already stays there."""
+        source = self._path(name)
+        if not self._fs.exists(source):
+            return
+        there = self._Path(folder)
+        self._fs.mkdirs(there)
+        target = self._Path(there, name)
+        if self._fs.exists(target):
+            target = self._Path(there, f"{name}.{self._fs.getFileStatus(source).getModificationTime()}")
+        if not self._fs.rename(source, target):
+            raise OSError(f"{name} could not be moved to {folder}")
+
+    def remove(self, name: str) -> None:
+        source = self._path(name)
+        if self._fs.exists(source) and not self._fs.delete(source, False):
+            raise OSError(f"{name} could not be deleted")
+
     def create_json(self, name: str, value: dict) -> None:
         self.create(name, json.dumps(value, sort_keys=True) + "\n")
 
