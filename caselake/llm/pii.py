@@ -229,14 +229,16 @@ def with_surrogates(docs: DataFrame, key: bytes = KEY, counted: str | None = Non
     """``docs`` with every entity of the text replaced; ``counted`` names a column for their number."""
     names = [unused(docs, "key_id"), unused(docs, "key_text")]
     changes, text = unused(docs, "changes"), "text"
-    held = _keyed(docs.where(maybe()), names)
+    entities = unused(docs, "entities")
 
     def detect(batch: list[str]) -> list[list]:
-        return [[[dict(zip(ENTITY.elementType.names, e)) for e in find(t)] for t in batch]]
+        return [batch, [[dict(zip(ENTITY.elementType.names, e)) for e in find(t)] for t in batch]]
 
-    found = map_rows(held.select(*names, text), detect, text, f"entities {ENTITY.simpleString()}")
-    found = found.where(F.size("entities") > 0).dropDuplicates(names)
-    each = materialise(found.select(*names, F.inline("entities")), "entities")
+    # Texts that can hold one are picked once and written with what they hold; everything below reads that table.
+    held = materialise(map_rows(_keyed(docs.where(maybe()), names), detect, text, f"{text} string, {entities} {ENTITY.simpleString()}"), "held")
+    found = held.select(*names, entities).where(F.size(entities) > 0).dropDuplicates(names)
+    each = materialise(found.select(*names, F.inline(entities)), "entities")
+    held = held.drop(entities).select(*docs.columns, *names)
     mapping = surrogates(each.groupBy("kind", "canonical").agg(F.count("*").alias("n")), key)
     lists = each.join(mapping, ["kind", "canonical"]).groupBy(*names).agg(
         F.sort_array(F.collect_list(F.struct("start", "end", "kind", "surrogate"))).alias(changes))
