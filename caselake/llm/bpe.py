@@ -22,7 +22,7 @@ FIRST = "\x1c"
 PLAIN = re.compile("[\x00-ɏ]*").fullmatch
 # The pattern that byte-level files use when they name none (a fixed value of the format).
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-KNOWN_PIECES = 1_000_000
+KNOWN_PIECES = 1 << 17      # in each of two generations, some 25 MB each
 KNOWN_LENGTH = 48
 
 
@@ -67,6 +67,7 @@ class Encoder:
         special = [t["content"] for t in says["added_tokens"]]
         self.special = re.compile("|".join(map(re.escape, special)), re.IGNORECASE) if special else None
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.known_parts: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
@@ -112,13 +113,18 @@ class Encoder:
         return out
 
     def _mixed(self, pieces: list[str]) -> bytes:
+        """Pieces in use move on to the younger generation; when that is full, what was not used since is forgotten."""
         if len(self.known) > KNOWN_PIECES:
-            self.known, self.known_parts = {}, {}
-        known, out = self.known, []
+            self.older, self.known = self.known, {}
+        if len(self.known_parts) > KNOWN_PIECES:
+            self.known_parts = {}
+        known, older, out = self.known, self.older, []
         for p in pieces:
             ids = known.get(p)
             if ids is None:
-                ids = self._piece(p)
+                ids = older.get(p)
+                if ids is None:
+                    ids = self._piece(p)
                 if len(p) <= KNOWN_LENGTH:
                     known[p] = ids
             out.append(ids)
