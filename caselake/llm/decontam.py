@@ -7,14 +7,15 @@ at least ``m - Q + 1 - k * Q`` q-grams, on diagonals that differ by at most k. S
 
 1. a document's windows with fewer hits in the q-gram index of all items are out (one pass, numpy);
 2. in what is left, hits are counted per item in diagonal bands of width 2k that overlap by half;
-3. each item window that reaches the bound is verified by an alignment along that band alone.
+3. item windows that reach the bound, wherever in them the shared q-grams lie, are verified together
+   by one alignment along that band alone. No passage within the budget is missed.
 
 The benchmark is a stated query set held against all rows: it goes to the executors in blocks of a
 bounded number of bytes, and documents never move. There is no shuffle, group or join; one item that
 stands in a third of all documents costs as much as any other.
 
-Defined results: null and empty texts and items match nothing, nor do items shorter than Q bytes;
-equal rows are judged alike, each for itself; equal items are reported under each item_id; an empty
+Defined results: null and empty texts and items match nothing, nor do items shorter than Q bytes
+or without an item_id; equal rows are judged alike, each for itself; equal items are reported under each item_id; an empty
 benchmark leaves every document clean; other columns stay untouched.
 """
 
@@ -37,6 +38,7 @@ WINDOW = 80
 ERRORS = 0.075
 BLOCK_BYTES = 1 << 18
 CHUNK_BYTES = 1 << 18
+RUN = 2048
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 TO_SPACE = bytes(32 if chr(i) in PUNCTUATION else i for i in range(256))
 WORD = re.compile(r"[^ \t\n\v\f\r" + re.escape(PUNCTUATION) + "]+")
@@ -132,65 +134,104 @@ class Index:
         return found
 
     def _regions(self, data: bytes, number: int, item: bytes, m: int, place: np.ndarray, at: np.ndarray) -> list:
-        k, out, done = edit_budget(m), [], -1
-        distinct, first = np.unique(place, return_index=True)
-        upto = np.searchsorted(distinct, distinct + m - Q + 1)
-        for i in np.flatnonzero(upto - np.arange(len(distinct)) >= needed(m)):
-            w = min(int(distinct[i]), len(item) - m)
-            if w < done:  # stands inside a region that was verified
-                continue
-            lo, hi = int(distinct[i]), int(distinct[upto[i] - 1])
-            near = (place >= lo) & (place <= hi)
-            shift = at[near] - place[near]
-            begin, end = max(0, w + int(shift.min()) - k), min(len(data), w + m + int(shift.max()) + k)
-            edits, a, b = aligned(item[w:w + m], data[begin:end], k)
-            if edits <= k:
+        k, out = edit_budget(m), []
+        for lo, hi in candidates(np.unique(place), len(item), m):
+            near = (place >= lo) & (place <= hi + m - Q)
+            hits = at[near]
+            shift = hits - place[near]
+            low, high = int(shift.min()) - k, int(shift.max()) + k
+            begin, end = max(0, lo + low), min(len(data), hi + m + high)
+            for edits, a, b in aligned(item[lo:hi + m], data[begin:end], m, k, low + lo - begin, high + lo - begin):
+                inside = hits[(hits >= begin + a) & (hits <= begin + b - Q)]
+                if len(inside):  # what lies before the first and behind the last shared q-gram is edits
+                    a, b = int(inside.min()) - begin, int(inside.max()) + Q - begin
                 out.append((number, begin + a, begin + b, edits))
-                done = w + m // 2
         return out
 
 
-def aligned(pattern: bytes, text: bytes, k: int) -> tuple[int, int, int]:
-    """Fewest edits (k + 1 if more than k) to find ``pattern`` in ``text``, and where.
+def candidates(places: np.ndarray, size: int, m: int) -> list[tuple[int, int]]:
+    """Runs (first, last) of the places of an item's windows that hold enough of its shared q-grams.
 
-    Semi-global alignment in one band: a row holds, for each place in the text, the cheapest
-    alignment of the pattern so far that ends there; the free end gaps are the text's own.
+    A window may begin before its first shared q-gram and end behind its last: edits lie there.
+    Runs are cut at ``RUN`` windows, to bound the alignment's tables.
     """
-    if (at := text.find(pattern)) >= 0:
-        return 0, at, at + len(pattern)
-    t = np.frombuffer(text, np.uint8)
-    n = len(t)
-    cost, start = np.zeros(n + 1, np.int64), np.arange(n + 1)
-    steps = np.arange(n + 1)
-    for i, c in enumerate(pattern):
-        sub, dele = cost[:-1] + (t != c), cost[1:] + 1
-        new = np.empty(n + 1, np.int64)
-        new[0] = i + 1
-        new[1:] = np.minimum(sub, dele)
-        origin = np.concatenate([start[:1], np.where(sub <= dele, start[:-1], start[1:])])
-        # insertions: the cheapest earlier cell plus the distance from it
-        run = np.minimum.accumulate((new - steps) * (n + 2) + (n + 1 - steps))
-        source = n + 1 - (run % (n + 2))
-        cost, start = run // (n + 2) + steps, origin[source]
-        if cost.min() > k:
-            return k + 1, 0, 0
-    end = int(np.argmin(cost))
-    return int(cost[end]), int(start[end]), end
+    n = needed(m)
+    first, last = places[:len(places) - n + 1], places[n - 1:]
+    together = last - first <= m - Q
+    lows = np.maximum(0, last[together] - (m - Q)).tolist()
+    highs = np.minimum(size - m, first[together]).tolist()
+    runs: list[list[int]] = []
+    for lo, hi in zip(lows, highs):
+        if runs and lo <= runs[-1][1] + 1:
+            runs[-1][1] = hi
+        else:
+            runs.append([lo, hi])
+    return [(at, min(at + RUN - 1, hi)) for lo, hi in runs for at in range(lo, hi + 1, RUN)]
+
+
+def aligned(item: bytes, text: bytes, m: int, k: int, low: int, high: int) -> list[tuple[int, int, int]]:
+    """(edits, start, end) of the regions of the text that hold windows of m item bytes within k < m edits.
+
+    One alignment in the band of diagonals (place in the text minus place in the item) from ``low``
+    to ``high`` serves all windows: per number of edits, a table says for each cell how early in the
+    item a path that ends there can begin. Edits step there from the table of one edit fewer, equal
+    bytes carry on along the diagonal, which is a running minimum between unequal ones. A cell whose
+    path has m item bytes behind it ends a window. Regions are what such paths cover together; their
+    edits are the fewest of any of their windows.
+    """
+    i = np.arange(len(item) + 1)[:, None]
+    t = i + np.arange(low, high + 1)
+    valid = (t >= 0) & (t <= len(text))
+    letters = np.frombuffer(b"\0" + text, np.uint8)
+    equal = letters[np.clip(t, 0, len(text))] == np.frombuffer(b"\0" + item, np.uint8)[:, None]
+    equal &= (t > 0) & (t <= len(text)) & (i > 0)
+    unit = len(text) + 1
+    none = (len(item) + 1) * unit  # larger than every beginning (place in the item * unit + place in the text)
+    own = np.where(valid, i * unit + t, none)
+    apart = np.cumsum(~equal, axis=0) * (none + 1)
+    fewest = np.full(t.shape, k + 1)
+    start = own
+    for edits in range(k + 1):
+        begin = own.copy()
+        if edits:
+            np.minimum(begin[1:], start[:-1], out=begin[1:])
+            np.minimum(begin[1:, :-1], start[:-1, 1:], out=begin[1:, :-1])
+            np.minimum(begin[:, 1:], start[:, :-1], out=begin[:, 1:])
+            begin[~valid] = none
+        start = np.minimum.accumulate(begin - apart, axis=0) + apart
+        fewest[(i - start // unit >= m) & (fewest > edits)] = edits
+    ends = fewest <= k
+    if not ends.any():
+        return []
+    to, edits = t[ends], fewest[ends]
+    covered = np.zeros(len(text) + 2, np.int64)
+    np.add.at(covered, start[ends] % unit, 1)
+    np.add.at(covered, to, -1)
+    inside = np.concatenate([[0], np.cumsum(covered) > 0]).astype(np.int8)
+    change = np.diff(inside)
+    begins, stops = np.flatnonzero(change == 1), np.flatnonzero(change == -1)
+    least = np.full(len(begins), k + 1)
+    np.minimum.at(least, np.searchsorted(begins, to - 1, side="right") - 1, edits)
+    return list(zip(least.tolist(), begins.tolist(), stops.tolist()))
 
 
 def blocks(benchmark: DataFrame) -> list[Broadcast]:
-    """Items, under a tag, in blocks of about BLOCK_BYTES of text; the driver holds one block at a time.
+    """Items, under a tag, in blocks of up to BLOCK_BYTES of text; the driver gathers one block at a time.
 
-    A single item larger than that is a block of its own.
+    The benchmark is sorted and read once, whatever the number of blocks. A single item larger than that is a block of its own.
     """
-    spark = benchmark.sparkSession
-    items = benchmark.select("item_id", "text").where("item_id IS NOT NULL AND text IS NOT NULL")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-total // BLOCK_BYTES)
-    out = []
-    for b in range(n):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == b).orderBy("item_id", "text").collect()
-        out.append(spark.sparkContext.broadcast((uuid.uuid4().hex, [(r.item_id, folded(r.text)) for r in rows])))
+    context = benchmark.sparkSession.sparkContext
+    rows = benchmark.select("item_id", "text").where("item_id IS NOT NULL AND text IS NOT NULL").orderBy("item_id", "text")
+    out, block, size = [], [], 0
+    for row in rows.toLocalIterator():
+        said = folded(row.text)
+        if block and size + len(said) > BLOCK_BYTES:
+            out.append(context.broadcast((uuid.uuid4().hex, block)))
+            block, size = [], 0
+        block.append((row.item_id, said))
+        size += len(said)
+    if block:
+        out.append(context.broadcast((uuid.uuid4().hex, block)))
     return out
 
 
@@ -238,8 +279,12 @@ def regions(docs: list[bytes], idx: Index) -> dict[int, list[tuple[int, int, int
 
 def in_text(text: str, found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
     """One row per item: first start, last end (code points of the text, whole words), fewest edits."""
-    matched = list(WORD.finditer(text.lower()))
+    lowered = text.lower()
+    matched = list(WORD.finditer(lowered))
     words = [m.span() for m in matched]
+    if len(lowered) != len(text):  # a letter became two
+        of = np.repeat(np.arange(len(text)), [len(c.lower()) for c in text])
+        words = [(int(of[s]), int(of[e - 1]) + 1) for s, e in words]
     sizes = np.array([len(m[0].encode()) + 1 for m in matched])
     ends = np.cumsum(sizes)
     by: dict[int, tuple[int, int, int]] = {}

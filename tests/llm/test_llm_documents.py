@@ -19,20 +19,81 @@ def words():
     return ["".join(rng.choice(["ka", "lo", "mi", "ter", "sun", "da", "ven", "ri"]) for _ in range(rng.randint(1, 4))) for _ in range(3000)]
 
 
+def fewest_edits(item, text, m):
+    """For each window of m bytes the fewest edits that give a piece of the text: column by column, all windows at once."""
+    windows = np.stack([np.frombuffer(item[w:w + m], np.uint8) for w in range(len(item) - m + 1)])
+    steps = np.arange(m + 1)
+    column = np.tile(steps, (len(windows), 1))
+    best = column[:, -1].copy()
+    for c in text:
+        new = np.zeros_like(column)
+        new[:, 1:] = np.minimum(column[:, :-1] + (windows != c), column[:, 1:] + 1)
+        column = np.minimum.accumulate(new - steps, axis=1) + steps
+        best = np.minimum(best, column[:, -1])
+    return best
+
+
 def test_alignment_equals_plain_edit_distance():
     rng = random.Random(1)
-    for _ in range(60):
-        p = bytes(rng.choice(b"abc") for _ in range(rng.randint(1, 14)))
-        t = bytes(rng.choice(b"abc") for _ in range(rng.randint(0, 25)))
-        row = [0] * (len(t) + 1)
-        for i, c in enumerate(p, 1):
-            new = [i]
-            for j, d in enumerate(t, 1):
-                new.append(min(row[j - 1] + (c != d), row[j] + 1, new[-1] + 1))
-            row = new
-        got = decontam.aligned(p, t, 99)
-        assert got[0] == min(row)
-        assert 0 <= got[1] <= got[2] <= len(t)
+    for _ in range(200):
+        item = bytes(rng.choice(b"abc") for _ in range(rng.randint(1, 20)))
+        text = bytes(rng.choice(b"abc") for _ in range(rng.randint(0, 25)))
+        m = rng.randint(1, len(item))
+        got, want = decontam.aligned(item, text, m, m - 1, -len(item), len(text)), fewest_edits(item, text, m).min()
+        assert min((e for e, _, _ in got), default=m) == want
+        assert all(0 <= a <= b <= len(text) for _, a, b in got)
+
+
+def edited(rng, passage, edits, upto):
+    out = bytearray(passage)
+    for _ in range(edits):
+        at, kind = rng.randrange(min(upto, len(out))), rng.randrange(3)
+        out[at:at + (kind < 2)] = b"" if kind == 1 else bytes([rng.choice(b"qxz")])
+    return bytes(out)
+
+
+def test_no_window_within_the_budget_is_missed():
+    rng = random.Random(7)
+    within = 0
+    for case in range(400):
+        letters = b"abcdefghijklmnop " if case % 3 else b"ab "
+        item, before, after = (bytes(rng.choice(letters) for _ in range(n)) for n in (rng.choice([30, 60, 80, 90, 150, 300]), rng.randint(0, 100), rng.randint(0, 100)))
+        m = min(decontam.WINDOW, len(item))
+        k, w = decontam.edit_budget(m), rng.randrange(len(item) - m + 1)
+        text = before + edited(rng, item[w:w + m], rng.randint(0, k + 2), rng.choice([12, 1000])) + after
+        want = int(fewest_edits(item, text, m).min())
+        got = decontam.regions([b"other", text, b""], decontam.Index([(5, item), (6, b"short")]))
+        assert set(got) == ({1} if want <= k else set())
+        if want <= k:
+            within += 1
+            assert min(e for _, _, _, e in got[1]) == want and all(i == 5 for i, _, _, _ in got[1])
+    assert within > 200
+
+
+def test_long_items_are_cut_into_runs_without_loss(monkeypatch):
+    rng = random.Random(9)
+    item = bytes(rng.choice(b"abcdefgh ") for _ in range(900))
+    text = b"y" * 50 + item[:400] + b"q" + item[401:] + b"y" * 50
+    for run in (decontam.RUN, 7):
+        monkeypatch.setattr(decontam, "RUN", run)
+        got = decontam.regions([text], decontam.Index([(1, item)]))[0]
+        assert min(a for _, a, _, _ in got) == 50 and max(b for _, _, b, _ in got) == 950 and min(e for *_, e in got) == 0
+
+
+def test_places_count_in_the_text_as_it_was():
+    item = "a passage of the benchmark that is long enough to be found in any text whatever"
+    text = "İ" * 30 + ", " + item.upper() + "! end"
+    found = decontam.regions([decontam.folded(text)], decontam.Index([(1, decontam.folded(item))]))[0]
+    (_, start, end, edits), = decontam.in_text(text, found)
+    assert text[start:end] == item.upper() and edits == 0
+
+
+def test_blocks_hold_the_benchmark_once(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 100)
+    rows = [(i, "w" * (i % 70)) for i in range(60)] + [(3, "twice"), (None, "no id"), (99, None), (100, "x" * 500)]
+    got = [b.value[1] for b in decontam.blocks(spark.createDataFrame(rows, "item_id long, text string").repartition(5))]
+    assert sorted(r for b in got for r in b) == sorted((i, t.encode()) for i, t in rows if i is not None and t is not None)
+    assert all(sum(len(t) for _, t in b) <= 100 or len(b) == 1 for b in got)
 
 
 def test_passages_are_found_whatever_their_edits(spark, words):
