@@ -5,7 +5,8 @@ digits, each word of a titled name), so every way of writing one entity gets the
 A surrogate is drawn from a keyed hash of type, canonical form and attempt:
 
 * numbers keep their layout, phones their country code, cards their first digit and whether their
-  check digit is right, network addresses their kind;
+  check digit is right, bank accounts their country and whether their check digits are right, network
+  addresses their four groups and whether they are public, private, local or of a link;
 * e-mail addresses keep their structure and endings; a host recurs as one host;
 * secrets keep their alphabet and length;
 * names keep title, gender (from the title), script and capitals.
@@ -13,8 +14,8 @@ A surrogate is drawn from a keyed hash of type, canonical form and attempt:
 A surrogate is taken only if no entity of its type really has it and no other entity has drawn it;
 of several that draw the same one the smallest canonical form keeps it, the others draw again until
 none is left. So distinct entities stay distinct over the whole table. No format runs out: names, mails
-and hosts grow every fourth attempt, numbers, network addresses and secrets by a digit or a group every
-``GROW`` attempts, beyond their layout once its values are taken.
+and hosts grow every fourth attempt, numbers and secrets by a digit every ``GROW`` attempts, beyond their
+layout once its values are taken; network addresses leave their range then, but stay addresses.
 
 Entities are grouped before they are shuffled. Texts that cannot hold an entity, by a plain filter
 inside the scan, never move; the others meet their replacements once.
@@ -77,6 +78,21 @@ def luhn(number: str) -> bool:
     return total % 10 == 0
 
 
+def iban_digits(country: str, account: str) -> str:
+    """The two digits that make country, digits and account leave 1 modulo 97, letters read as 10 to 35."""
+    return f"{98 - int(''.join(str(int(c, 36)) for c in account + country + '00')) % 97:02d}"
+
+
+def network(groups: list[str]) -> str:
+    """The special range an address lies in, if any: private, of the host itself or of the link."""
+    first, second = int(groups[0]), int(groups[1])
+    if first in (10, 127):
+        return str(first)
+    if (first, second) in ((192, 168), (169, 254)):
+        return f"{first}.{second}"
+    return "172.16" if first == 172 and 16 <= second < 32 else ""
+
+
 def find(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, canonical form) of the entities of a text, none overlapping, in order."""
     found: list[tuple[int, int, str, str]] = []
@@ -148,11 +164,18 @@ def surrogate(key: bytes, kind: str, canonical: str, attempt: int) -> str:
         return f"{body}{last if luhn(canonical) else (last + 1 + next(draw) % 9) % 10}"
     if kind == "ip":
         parts = canonical.split(".")
-        kept = 1 if parts[0] in ("10", "127") else 2 if parts[:2] == ["192", "168"] else 0
-        new = [str(1 + next(draw) % 223) if i == 0 else str(next(draw) % 256) for i in range(kept, 4 + more)]
-        return ".".join(parts[:kept] + new)
+        lies = network(parts)
+        kept = 0 if more or not lies else 2 if lies in ("192.168", "169.254") else 1
+        while True:
+            new = parts[:kept] + [str(1 + next(draw) % 223) if i == 0 else str(next(draw) % 256) for i in range(kept, 4)]
+            if more or network(new) == lies:
+                return ".".join(new)
     if kind == "iban":
-        return canonical[:2] + alike(canonical[2:] + "0" * more, draw)
+        country, account = canonical[:2], alike(canonical[4:] + "0" * more, draw)
+        right = iban_digits(country, account)
+        if canonical[2:4] == iban_digits(country, canonical[4:]):
+            return country + right + account
+        return f"{country}{(int(right) + 1 + next(draw) % 96) % 97:02d}{account}"
     if kind == "host":
         name, _, ending = canonical.rpartition(".")
         return f"{alike(name + 'x' * (attempt // 4), draw)}.{ending}"

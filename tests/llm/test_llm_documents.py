@@ -230,7 +230,26 @@ def test_formats_with_few_values_go_on(spark):
             new = pii.surrogate(b"k", kind, canonical, attempt)
             said = pii.written(surface, kind, new)
             assert pii.digits(said) == pii.digits(new) and len(said) == len(surface) + attempt // pii.GROW
-    assert len(pii.surrogate(b"k", "ip", "192.168.0.1", pii.GROW).split(".")) == 5
+
+
+def test_addresses_stay_addresses_in_their_range():
+    for address in ["192.168.0.1", "169.254.3.4", "10.0.0.1", "127.0.0.1", "172.20.1.1", "172.32.1.1", "8.8.8.8", "01.2.3.4"]:
+        for attempt in range(3 * pii.GROW):
+            new = pii.surrogate(b"k", "ip", address, attempt)
+            assert pii.IPV4.fullmatch(new)
+            assert attempt >= pii.GROW or pii.network(new.split(".")) == pii.network(address.split("."))
+
+
+def test_accounts_keep_country_layout_and_check():
+    def valid(iban):
+        return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+
+    for account, right in [("DE89370400440532013000", True), ("GB82WEST12345698765432", True), ("DE00370400440532013000", False), ("GB13WEST12345698765432", False)]:
+        assert valid(account) == right
+        for attempt in range(2 * pii.GROW):
+            new = pii.surrogate(b"k", "iban", account, attempt)
+            assert new[:2] == account[:2] and valid(new) == right and len(new) == len(account) + attempt // pii.GROW
+            assert attempt >= pii.GROW or [c.isdigit() for c in new] == [c.isdigit() for c in account]
 
 
 def test_names_after_any_white_space_are_replaced(spark):
