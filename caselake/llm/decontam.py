@@ -156,7 +156,7 @@ def candidates(places: np.ndarray, size: int, m: int) -> list[tuple[int, int]]:
     Runs are cut at ``RUN`` windows, to bound the alignment's tables.
     """
     n = needed(m)
-    first, last = places[:len(places) - n + 1], places[n - 1:]
+    first, last = places[:max(0, len(places) - n + 1)], places[n - 1:]
     together = last - first <= m - Q
     lows = np.maximum(0, last[together] - (m - Q)).tolist()
     highs = np.minimum(size - m, first[together]).tolist()

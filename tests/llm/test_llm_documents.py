@@ -80,6 +80,13 @@ def test_long_items_are_cut_into_runs_without_loss(monkeypatch):
         assert min(a for _, a, _, _ in got) == 50 and max(b for _, _, b, _ in got) == 950 and min(e for *_, e in got) == 0
 
 
+def test_few_places_met_many_times_are_no_candidates():
+    assert all(decontam.candidates(np.arange(n), 300, 80) == [] for n in range(decontam.needed(80)))
+    assert decontam.candidates(np.arange(100, 100 + decontam.needed(80)), 300, 80) == [(40, 100)]
+    item = bytes(range(97, 123)) * 2 + b" " + bytes(range(65, 91)) * 2
+    assert decontam.regions([(item[:13] + b"q") * 9], decontam.Index([(1, item)])) == {}
+
+
 def test_places_count_in_the_text_as_it_was():
     item = "a passage of the benchmark that is long enough to be found in any text whatever"
     text = "İ" * 30 + ", " + item.upper() + "! end"
