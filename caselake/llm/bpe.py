@@ -14,6 +14,8 @@ import json
 import os
 import re
 import unicodedata
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 # GPT-style pre-tokenisers keep one space before a word and the rest of the white space apart.
 SPACED = re.compile(r" ?\S+|\s+(?!\S)|\s+")
@@ -75,28 +77,38 @@ class Encoder:
         return [np.asarray(e.ids, "<u4").tobytes()
                 for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def _part(self, part: str) -> bytes:
+    def _merged(self, part: str) -> bytes:
         written = part.encode().decode("latin-1").translate(self.letters)
-        ids = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(written)])
-        if len(part) <= KNOWN_LENGTH:
-            self.known_parts[part] = ids
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(written)])
+
+    def _part(self, part: str) -> bytes:
+        ids = self.known_parts.get(part)
+        if ids is None:
+            ids = self._merged(part)
+            if len(part) <= KNOWN_LENGTH:
+                self.known_parts[part] = ids
+        return ids
+
+    def _kept(self, piece: str) -> bytes:
+        ids = self.known.get(piece)
+        if ids is None:
+            ids = self._piece(piece)
+            if len(piece) <= KNOWN_LENGTH:
+                self.known[piece] = ids
         return ids
 
     def _piece(self, piece: str) -> bytes:
         text = spelled(piece) if self.spaced else piece
         if not PLAIN(text):
             return self._library([text])[0]
-        known, make = self.known_parts, self._part
         if self.folds:
             text = unicodedata.normalize("NFC", text).lower()
         word = text[1:] if text[0] == " " else text
         if word.isalpha():
-            parts = [text]
-        elif word[-1:] in (".", ",") and word[:-1].isalpha():
-            parts = [text[:-1], text[-1]]
-        else:
-            parts = self.parts(text)
-        return b"".join([known.get(p) or make(p) for p in parts])
+            return self._merged(text)
+        if word[-1:] in (".", ",") and word[:-1].isalpha():  # the word is kept as the piece it is elsewhere
+            return self._kept(piece[:-1]) + self._part(text[-1])
+        return b"".join(map(self._part, self.parts(text)))
 
     def ids(self, texts: list[str]) -> list[bytes]:
         out = []
@@ -112,24 +124,24 @@ class Encoder:
         return out
 
     def _mixed(self, pieces: list[str]) -> bytes:
-        if len(self.known) > KNOWN_PIECES:
-            self.known, self.known_parts = {}, {}
-        known, out = self.known, []
-        for p in pieces:
-            ids = known.get(p)
-            if ids is None:
-                ids = self._piece(p)
-                if len(p) <= KNOWN_LENGTH:
-                    known[p] = ids
-            out.append(ids)
-        return b"".join(out)
+        if len(self.known) + len(self.known_parts) > KNOWN_PIECES:
+            self.forget()
+        known, kept = self.known.get, self._kept
+        return b"".join([known(p) or kept(p) for p in pieces])
+
+    def forget(self) -> None:
+        self.known, self.known_parts = {}, {}
 
 
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder per worker process, so that known pieces outlive a task."""
+@contextmanager
+def encoder(path: str) -> Iterator[Encoder]:
+    """One encoder per worker process. Pieces are known for a task: workers live on for other work."""
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    try:
+        yield _ENCODERS[path]
+    finally:
+        _ENCODERS[path].forget()

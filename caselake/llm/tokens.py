@@ -126,16 +126,16 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode = encoder(tokenizer)
-        vocabulary = max(encode.tokenizer.get_vocab_size(), end_id + 1)
-        shards = _Shards(TaskContext.get().partitionId(), 2 if vocabulary <= 1 << 16 else 4)
-        for batch in slices(batches):
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode.ids(texts(batch.column("text")))):
-                shards.add(doc_id, np.append(np.frombuffer(ids, "<u4"), np.uint32(end_id)))
-                if shards.n >= SHARD_IDS:
-                    yield shards.close()
-        if shards.n:
-            yield shards.close()
+        with encoder(tokenizer) as encode:
+            vocabulary = max(encode.tokenizer.get_vocab_size(), end_id + 1)
+            shards = _Shards(TaskContext.get().partitionId(), 2 if vocabulary <= 1 << 16 else 4)
+            for batch in slices(batches):
+                for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode.ids(texts(batch.column("text")))):
+                    shards.add(doc_id, np.append(np.frombuffer(ids, "<u4"), np.uint32(end_id)))
+                    if shards.n >= SHARD_IDS:
+                        yield shards.close()
+            if shards.n:
+                yield shards.close()
 
     docs.select("doc_id", "text").repartitionByRange(F.col("doc_id").asc_nulls_first()) \
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text") \
