@@ -83,17 +83,18 @@ def long_form(rows: DataFrame, columns: list[str], keep: list[str] | None = None
 def field_measures(rows: DataFrame, columns: list[str], batch: str) -> DataFrame:
     """Per batch and column: rows, null rate, cardinality and the most common shape.
 
-    Everything is counted per shape first, so the final aggregate sees few rows per batch.
+    Equal values are counted first, so the records are read once and a hot value is one row per task. A value has
+    one shape: counts and distinct values per shape add up to those of the column, exactly.
     """
-    long = long_form(rows, columns, [batch])
-    measures = long.groupBy(batch, "column").agg(
-        F.count("*").alias("sample"), F.sum(F.when(F.col("value").isNull(), 1).otherwise(0)).alias("nulls"),
-        F.approx_count_distinct("value", 0.01).alias("cardinality"))
-    shapes = long.filter(F.col("value").isNotNull()).groupBy(batch, "column", shape(F.col("value")).alias("shape")) \
-        .agg(F.count("*").alias("n"))
-    top = shapes.groupBy(batch, "column").agg(
-        F.max_by("shape", F.struct("n", "shape")).alias("top_shape"), F.max("n").alias("top_n"))
-    return measures.join(top, [batch, "column"], "left").withColumn("null_rate", F.col("nulls") / F.col("sample"))
+    values = long_form(rows, columns, [batch]).groupBy(batch, "column", "value").agg(F.count("*").alias("n"))
+    shapes = values.groupBy(batch, "column", shape(F.col("value")).alias("shape")).agg(
+        F.sum("n").alias("n"), F.count("value").alias("distinct"))
+    known = F.col("shape").isNotNull()
+    return shapes.groupBy(batch, "column").agg(
+        F.sum("n").alias("sample"), F.sum(F.when(known, 0).otherwise(F.col("n"))).alias("nulls"),
+        F.sum("distinct").alias("cardinality"),
+        F.max_by("shape", F.when(known, F.struct("n", "shape"))).alias("top_shape"),
+        F.max(F.when(known, F.col("n"))).alias("top_n")).withColumn("null_rate", F.col("nulls") / F.col("sample"))
 
 
 def source_drift(measures: DataFrame, batch: str, history: int = 7, threshold: float = 0.2) -> DataFrame:
