@@ -13,6 +13,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from caselake.operators.merge import without
 from caselake.operators.store import BUCKET, Commit, Tables
 from caselake.session import materialise
 
@@ -73,15 +74,15 @@ class Buckets:
     def missing(self, wanted: DataFrame, name: str, key: str, beside: DataFrame | None = None) -> DataFrame:
         """The wanted keys that neither ``beside`` nor the stored table holds; only the buckets of the rest are read."""
         if beside is not None:
-            wanted = wanted.join(beside.select(key), key, "left_anti")
+            wanted = without(wanted, beside, key)
         if not self.has(name):
             return wanted
         wanted = materialise(wanted, "wanted")
-        return wanted.join(self.lookup(name, wanted, key).select(key), key, "left_anti")
+        return without(wanted, self.lookup(name, wanted, key), key)
 
 
 def newer(keys: list[str]) -> Merge:
     """Rows of the change replace those with the same keys."""
     def merge(stored: DataFrame | None, fresh: DataFrame) -> DataFrame:
-        return fresh if stored is None else stored.join(fresh.select(*keys), keys, "left_anti").unionByName(fresh)
+        return fresh if stored is None else without(stored, fresh, keys).unionByName(fresh)
     return merge

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from caselake.functions.text import relationship, simple_name
 from caselake.model import ID, CanonicalType, Model
 from caselake.operators.buckets import COUNT, Buckets, newer
-from caselake.operators.merge import merge_into, merge_rows, schema_changes
+from caselake.operators.merge import merge_into, merge_rows, schema_changes, without
 from caselake.operators.store import Tables
 from caselake.session import materialise
 
@@ -62,7 +62,7 @@ def dangling(links: DataFrame, entities: dict[str, DataFrame], ends: tuple[str,
     for end in ends:
         for type_name, ids in entities.items():
             wanted = links.filter(F.col(end + "_type") == type_name).select(F.col(end).alias(ID)).distinct()
-            lost = wanted.join(ids.select(ID), ID, "left_anti").select(
+            lost = without(wanted, ids, ID).select(
                 F.lit(end).alias("end"), F.lit(type_name).alias("type"), ID)
             out = lost if out is None else out.unionByName(lost)
     return out
@@ -142,7 +142,7 @@ class GraphStore:
                 for target in sorted(targets):
                     wanted = rows.filter(F.col(end + "_type") == target).select(F.col(end).alias(ID)).distinct()
                     if replaced and target in fresh:
-                        gone = wanted.join(fresh[target].select(ID), ID, "left_anti")
+                        gone = without(wanted, fresh[target], ID)
                     else:
                         gone = self.buckets.missing(wanted, target, ID, fresh.get(target))
                     lost += [f"{target} {r[ID]}" for r in gone.limit(5).collect()]

@@ -37,6 +37,16 @@ def merge_into(stored: DataFrame, fresh: DataFrame, key: str, always: tuple[str,
     return s.join(f, F.col(f"s.{key}") == F.col(f"f.{key}"), "full_outer").select(*out)
 
 
+def without(rows: DataFrame, known: DataFrame, key: str | list[str], how: str = "left_anti") -> DataFrame:
+    """Rows whose key is not among the known ones (or, with ``left_semi``, is).
+
+    Keys meet in a shuffle: stored keys are delta encoded, so their files look small enough to be sent whole through the
+    driver when they are millions.
+    """
+    keys = [key] if isinstance(key, str) else key
+    return rows.join(known.select(*keys).hint("merge"), keys, how)
+
+
 class SchemaConflict(ValueError):
     pass
 

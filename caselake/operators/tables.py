@@ -8,7 +8,7 @@ from caselake.functions.text import snake
 from caselake.model import ID, CanonicalType, Model
 from caselake.operators.buckets import COUNT, Buckets
 from caselake.operators.graph import ProjectionRefused, require_identity
-from caselake.operators.merge import merge_into, merge_rows, schema_changes
+from caselake.operators.merge import merge_into, merge_rows, schema_changes, without
 from caselake.operators.store import Tables
 from caselake.session import materialise
 
@@ -52,7 +52,7 @@ def missing_references(tables: dict[str, DataFrame], model: Model) -> DataFrame:
         for r in model[name].roles:
             column = role_column(r.name)
             wanted = rows.filter(F.col(column).isNotNull()).select(F.col(column).alias(KEY)).distinct()
-            lost = wanted.join(tables[r.target].select(KEY), KEY, "left_anti") if r.target in tables else wanted
+            lost = without(wanted, tables[r.target], KEY) if r.target in tables else wanted
             lost = lost.select(F.lit(snake(name)).alias("table"), F.lit(column).alias("column"), KEY)
             out = lost if out is None else out.unionByName(lost)
     return out
@@ -60,7 +60,7 @@ def missing_references(tables: dict[str, DataFrame], model: Model) -> DataFrame:
 
 def would_orphan(operational: DataFrame, column: str, current: DataFrame, rebuilt: DataFrame) -> DataFrame:
     """Operational rows that point at identities a rebuild would remove."""
-    gone = current.select(KEY).join(rebuilt.select(KEY), KEY, "left_anti")
+    gone = without(current.select(KEY), rebuilt, KEY)
     return operational.join(gone.select(F.col(KEY).alias(column)), column, "left_semi")
 
 
@@ -105,7 +105,7 @@ class Relational:
                 column = role_column(r.name)
                 lost = rows.filter(F.col(column).isNotNull()).select(F.col(column).alias(KEY)).distinct()
                 if r.target in fresh and replaced:
-                    lost = lost.join(fresh[r.target].select(KEY), KEY, "left_anti")
+                    lost = without(lost, fresh[r.target], KEY)
                 else:
                     lost = self.buckets.missing(lost, snake(r.target), KEY, fresh.get(r.target))
                 found += [f"{snake(name)}.{column} -> {row[KEY]}" for row in lost.limit(5).collect()]
