@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from caselake.functions.text import is_stated
+from caselake.operators.ordering import with_row_index
+from caselake.session import materialise
 
 ENVELOPE = ("envelope_id string, source_id string, connector_instance_id string, ingest_timestamp timestamp, "
             "source_asserted_timestamp timestamp, payload binary, content_hash string, offset string")
@@ -101,16 +103,55 @@ def slice_records(df: DataFrame, after: dict[tuple[str, int], int] | None = None
     Each partition gives its lowest offsets, whatever the producers' times, so a position never moves
     past a record that has not landed. The ceiling is shared out in turns: the first of every
     partition, then the second, and so on.
+
+    How much each partition gives follows from the counts, one row per topic partition. Only offsets are put in order for the
+    place to cut at; the slice is then a filter, so that no task holds more of it than its split.
     """
     if after:
         known = df.sparkSession.createDataFrame(
             [(t, p, o) for (t, p), o in after.items()], "topic string, partition int, last bigint")
         df = df.join(F.broadcast(known), ["topic", "partition"], "left") \
             .filter(F.col("last").isNull() | (F.col("offset") > F.col("last"))).drop("last")
-    turn = F.row_number().over(Window.partitionBy("topic", "partition").orderBy("offset"))
-    # no partition gives more than the whole slice, so no more of it is ranked
-    return df.withColumn("_turn", turn).filter(F.col("_turn") <= max_records) \
-        .orderBy("_turn", "topic", "partition").limit(max_records).drop("_turn")
+    held = {(r["topic"], r["partition"]): r["n"] for r in df.groupBy("topic", "partition").agg(F.count("*").alias("n")).collect()}
+    share = shares(held, max_records)
+    if share == held:
+        return df
+    place = with_row_index(df.select("topic", "partition", "offset"), ["topic", "partition", "offset"], "_place")
+    first = place.groupBy("topic", "partition").agg(F.min("_place").alias("_first"))
+    wanted = df.sparkSession.createDataFrame([(t, p, n) for (t, p), n in share.items()], "topic string, partition int, _share bigint")
+    same = lambda a, b, columns: [a[c].eqNullSafe(b[c]) for c in columns]
+    quota = F.broadcast(materialise(first.join(F.broadcast(wanted), same(first, wanted, ("topic", "partition")))
+                                    .select(wanted["topic"], wanted["partition"], "_first", "_share"), "shares"))
+    # the last offset that each partition gives, and how many of its records have that very offset and still fit
+    given = place.join(quota, same(place, quota, ("topic", "partition"))).filter(F.col("_place") < F.col("_first") + F.col("_share")).select(
+        place["topic"], place["partition"], place["offset"])
+    last = F.max(F.struct("offset"))["offset"]
+    cut = F.broadcast(materialise(given.groupBy("topic", "partition").agg(last.alias("_cut"), F.count("*").alias("_given")), "cuts"))
+    marked = df.join(cut, same(df, cut, ("topic", "partition"))).select(*[df[c] for c in df.columns], "_cut", "_given")
+    below = (F.col("offset") < F.col("_cut")) | (F.col("offset").isNull() & F.col("_cut").isNotNull())
+    at = F.col("offset").eqNullSafe(F.col("_cut"))
+    under = marked.filter(below).groupBy("topic", "partition").agg(F.count("*").alias("_under"))
+    edge = marked.filter(at).withColumn("_turn", F.row_number().over(Window.partitionBy("topic", "partition", "offset").orderBy(F.lit(1))))
+    fits = edge.join(F.broadcast(under.withColumnsRenamed({"topic": "_t", "partition": "_p"})),
+                     F.col("topic").eqNullSafe(F.col("_t")) & F.col("partition").eqNullSafe(F.col("_p")), "left") \
+        .filter(F.col("_turn") <= F.col("_given") - F.coalesce("_under", F.lit(0)))
+    return marked.filter(F.coalesce(below, F.lit(False))).select(*df.columns).unionByName(fits.select(*df.columns))
+
+
+def shares(held: dict[tuple[str, int], int], max_records: int) -> dict[tuple[str, int], int]:
+    """How many records each partition gives when ``max_records`` are shared out in turns."""
+    order = sorted(held, key=lambda k: [(x is not None, x) for x in k])
+    turns, left = 0, max_records
+    for n in sorted(set(held.values())):
+        open_ = sum(held[k] > turns for k in order)
+        full = min(n - turns, left // open_)
+        turns, left = turns + full, left - full * open_
+        if turns < n:
+            break
+    share = {k: min(held[k], turns) for k in order}
+    for k in [k for k in order if held[k] > turns][:left]:
+        share[k] += 1
+    return {k: n for k, n in share.items() if n}
 
 
 def positions_after(taken: DataFrame, after: dict[tuple[str, int], int] | None = None) -> dict[tuple[str, int], int]:

@@ -3,6 +3,7 @@
 from caselake.model import ID
 from caselake.operators.buckets import Buckets
 from caselake.operators.store import Tables
+from caselake.sources.envelopes import shares, slice_records
 
 
 def plan(df):
@@ -18,3 +19,28 @@ def test_missing_keys_are_found_without_a_broadcast(spark, folder):
     b.publish([b.replace("Person", keys(spark, *[f"P{i}" for i in range(50)]), ID)])
     gone = b.missing(keys(spark, "P3", "X1", "N1"), "Person", ID, keys(spark, "N1"))
     assert [r[ID] for r in gone.collect()] == ["X1"] and "BroadcastHashJoin" not in plan(gone)
+
+
+def topic(spark, *rows):
+    return spark.createDataFrame(rows, "topic string, partition int, offset bigint, value string")
+
+
+def test_a_slice_is_a_filter_and_keeps_its_turns(spark):
+    rows = topic(spark, *[("t", p, o, f"{p}/{o}") for p, n in ((0, 7), (1, 2), (2, 5)) for o in range(10, 10 + n)])
+    taken = slice_records(rows, {}, 9)
+    assert "TakeOrdered" not in plan(taken) and "GlobalLimit" not in plan(taken)
+    assert sorted(r["value"] for r in taken.collect()) == sorted(["0/10", "0/11", "0/12", "0/13", "1/10", "1/11", "2/10", "2/11", "2/12"])
+    rest = slice_records(rows, {("t", 0): 13, ("t", 1): 11, ("t", 2): 12}, 100)
+    assert sorted(r["value"] for r in rest.collect()) == ["0/14", "0/15", "0/16", "2/13", "2/14"]
+
+
+def test_a_slice_cuts_among_equal_offsets_and_takes_null_places(spark):
+    rows = topic(spark, ("t", 0, 1, "a"), ("t", 0, 2, "b"), ("t", 0, 2, "b"), ("t", 0, 2, "b"), ("t", None, None, "n"), ("t", None, 4, "m"))
+    assert sorted(r["value"] for r in slice_records(rows, None, 5).collect()) == ["a", "b", "b", "m", "n"]
+    assert [r["value"] for r in slice_records(rows, None, 1).collect()] == ["n"]
+    assert slice_records(rows, None, 0).count() == 0
+
+
+def test_shares_are_dealt_in_turns():
+    assert shares({("t", 0): 7, ("t", 1): 2, ("t", 2): 5}, 9) == {("t", 0): 4, ("t", 1): 2, ("t", 2): 3}
+    assert shares({("t", 0): 2, ("t", 1): 2}, 3) == {("t", 0): 2, ("t", 1): 1}
