@@ -115,7 +115,10 @@ SELECT 'sha256:' || sha256(html || chr(10)) AS content_hash, CAST(octet_length(e
 FROM pages""")
 def s2_whole_files(spark, sf):
     folder = scratch_path(spark, "pages")
-    table(spark, sf, "pages").select("page_id", "html").write.partitionBy("page_id").text(folder)
+    html = F.coalesce("html", F.lit(""))
+    pages = table(spark, sf, "pages").groupBy("page_id").agg(F.array_join(F.sort_array(F.collect_list(html)), "\n").alias("html"))
+    # A file a page, all in one folder: no folder is made, listed or renamed for a page, and tasks put their own files in place.
+    pages.select("html").write.option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(folder)
     return src.whole_files(spark, folder, "pages", "part-*").select(
         "content_hash", F.octet_length("payload").cast("bigint").alias("bytes"), "source_id")
 

@@ -1,5 +1,6 @@
 """What keeps stored keys, slices, files, words and documents from growing in one place."""
 
+from caselake.catalog import raw
 from caselake.model import ID
 from caselake.operators.buckets import Buckets
 from caselake.operators.store import Tables
@@ -44,3 +45,12 @@ def test_a_slice_cuts_among_equal_offsets_and_takes_null_places(spark):
 def test_shares_are_dealt_in_turns():
     assert shares({("t", 0): 7, ("t", 1): 2, ("t", 2): 5}, 9) == {("t", 0): 4, ("t", 1): 2, ("t", 2): 3}
     assert shares({("t", 0): 2, ("t", 1): 2}, 3) == {("t", 0): 2, ("t", 1): 1}
+
+
+def test_pages_are_files_of_one_folder(spark, folder, monkeypatch):
+    spark.createDataFrame([(1, "<p>a</p>"), (2, None), (3, "x\ny"), (4, "twice"), (4, "twice")], "page_id bigint, html string") \
+        .coalesce(1).write.parquet(folder + "/pages.parquet")
+    monkeypatch.setattr(raw, "scratch_path", lambda *_: folder + "/files")
+    found = sorted(r["bytes"] for r in raw.s2_whole_files(spark, folder).collect())
+    assert found == [1, 4, 9, 12]
+    assert not list(__import__("pathlib").Path(folder, "files").glob("page_id=*"))
