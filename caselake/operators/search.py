@@ -8,7 +8,7 @@ from caselake.functions.text import iso_instant
 from caselake.model import ID, CanonicalType, Model
 from caselake.operators.buckets import COUNT, Buckets, newer
 from caselake.operators.lists import sorted_lists
-from caselake.operators.merge import merge_into, merge_rows, schema_changes
+from caselake.operators.merge import merge_into, merge_rows, schema_changes, without
 from caselake.operators.graph import ProjectionRefused, require_identity
 from caselake.operators.store import Tables
 from caselake.session import materialise
@@ -132,12 +132,23 @@ class TokenIndex:
         return rows.groupBy("token", self.key).agg(F.max_by("live", "seq").alias("live"), F.max("seq").alias("seq")).filter("live")
 
     def changes(self, before: DataFrame | None, after: DataFrame) -> DataFrame:
-        """What the texts of the same documents, (key, text), say before and after: pairs that only one of them has."""
-        def said(rows: DataFrame, n: int) -> DataFrame:
-            return rows.select(F.explode(tokens(F.col("text"))).alias("token"), self.key, F.lit(n).alias("n"))
-        both = said(after, 1) if before is None else said(after, 1).unionByName(said(before, -1))
-        return both.groupBy("token", self.key).agg(F.sum("n").alias("n")).filter("n <> 0").select(
-            "token", self.key, F.lit(self.buckets.store.version(self.name) + 1).cast("bigint").alias("seq"), (F.col("n") > 0).alias("live"))
+        """What the texts of the same documents, (key, text), one row per document, say before and after: pairs that only one of them has.
+
+        A document's words are distinct in its row, so they are compared there and no pair is shuffled for it.
+        """
+        none = F.array().cast("array<string>")
+        words = after.select(self.key, tokens(F.col("text")).alias("now"))
+        if before is None:
+            words = words.withColumn("was", none)
+        else:
+            old = before.select(F.col(self.key).alias("_key"), tokens(F.col("text")).alias("was"))
+            words = words.join(old.hint("merge"), F.col(self.key) == F.col("_key"), "full_outer").select(
+                F.coalesce(self.key, "_key").alias(self.key), "now", "was")
+        now, was = F.coalesce("now", none), F.coalesce("was", none)
+        marked = lambda found, live: F.transform(found, lambda t: F.struct(t.alias("token"), F.lit(live).alias("live")))
+        pairs = F.concat(marked(F.array_except(now, was), True), marked(F.array_except(was, now), False))
+        return words.select(self.key, F.explode(pairs).alias("p")).select(
+            "p.token", self.key, F.lit(self.buckets.store.version(self.name) + 1).cast("bigint").alias("seq"), "p.live")
 
     def extend(self, before: DataFrame | None, after: DataFrame) -> tuple[str, dict]:
         return self.buckets.extend(self.name, self.changes(before, after), "token")
@@ -209,7 +220,7 @@ class SearchStore:
             if self.buckets.has(t.name):
                 stored = self.buckets.lookup(t.name, fresh, ID)
                 schema_changes(stored, fresh)
-                before = stored.join(fresh.select(ID), ID, "left_semi")
+                before = without(stored, fresh, ID, "left_semi")
                 after = merge_into(before, fresh, ID, always=STORED_LINEAGE)
             staged.append(self.buckets.change(t.name, fresh, ID, lambda old, new: new if old is None else
                                               merge_into(old, new, ID, always=STORED_LINEAGE)))

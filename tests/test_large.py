@@ -3,6 +3,7 @@
 from caselake.catalog import raw
 from caselake.model import ID
 from caselake.operators.buckets import Buckets
+from caselake.operators.search import TokenIndex
 from caselake.operators.store import Tables
 from caselake.sources.envelopes import shares, slice_records
 
@@ -54,3 +55,15 @@ def test_pages_are_files_of_one_folder(spark, folder, monkeypatch):
     found = sorted(r["bytes"] for r in raw.s2_whole_files(spark, folder).collect())
     assert found == [1, 4, 9, 12]
     assert not list(__import__("pathlib").Path(folder, "files").glob("page_id=*"))
+
+
+def test_words_are_compared_in_their_document(spark, folder):
+    index = TokenIndex(Buckets(Tables(spark, folder + "/w"), 4), "words")
+    texts = lambda *rows: spark.createDataFrame(rows, f"{ID} string, text string")
+    fresh = index.changes(None, texts(("a", "one two two"), ("b", None)))
+    assert sorted((r["token"], r[ID], r["live"]) for r in fresh.collect()) == [("one", "a", True), ("two", "a", True)]
+    assert "Exchange" not in plan(fresh)
+    later = index.changes(texts(("a", "one two"), ("c", "old")), texts(("a", "two three"), ("b", "b")))
+    assert sorted((r["token"], r[ID], r["live"]) for r in later.collect()) == [
+        ("b", "b", True), ("old", "c", False), ("one", "a", False), ("three", "a", True)]
+    assert "HashAggregate" not in plan(later)
