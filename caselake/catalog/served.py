@@ -618,14 +618,17 @@ TRADE_DOCUMENT = Assembly("Order", (Follow("OrderLine", "line", "lines", (
     Follow("LinePart", "part", "part"), Follow("LineSupplier", "supplier", "supplier"))),))
 
 
-def trade(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
-    """Orders, their lines, and the parts up to size 40 and all suppliers those lines name."""
+def trade(spark: SparkSession, sf: str, scattered: bool = False) -> dict[str, DataFrame]:
+    """Orders, their lines, and the parts up to size 40 and all suppliers those lines name; ``scattered``: in no order of their ids."""
     o, p, s = (table(spark, sf, n) for n in ("orders", "part", "supplier"))
-    # A line is the last of the rows that share its number.
+    # A line is the last of the rows that share its number; what tells the last one also has what it holds.
     l = merge_rows(table(spark, sf, "lineitem").select(
         F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias(ID),
-        F.struct("l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice").alias("ord"),
-        F.struct("l_orderkey", "l_partkey", "l_suppkey", "l_returnflag", "l_quantity").alias("v")), ID, "ord").select(ID, "v.*")
+        F.struct("l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag", "l_orderkey").alias("ord")), ID, "ord") \
+        .select(ID, "ord.l_orderkey", "ord.l_partkey", "ord.l_suppkey", "ord.l_returnflag", "ord.l_quantity")
+    if scattered:
+        o, p, s, l = (rows.repartition(F.hash(F.reverse(F.col(key).cast("string")))) for rows, key in (
+            (o, "o_orderkey"), (p, "p_partkey"), (s, "s_suppkey"), (l, ID)))
     l = materialise(l, "lines")     # four of the tables below are views of it
     t = lambda c: F.col(c).cast("string")
     line = F.col(ID)
@@ -678,8 +681,7 @@ WITH {TRADE_SQL}
 SELECT CAST(o_orderkey AS VARCHAR) AS root, COALESCE(string_agg(line, ' ' ORDER BY line), '') AS lines FROM orders LEFT JOIN li ON ok = o_orderkey GROUP BY 1""")
 def e3_stable_order(spark, sf):
     """Elements come in identity order whatever order the rows were in."""
-    shuffled = {k: v.repartition(5) for k, v in trade(spark, sf).items()}
-    d = assemble(TRADE_DOCUMENT, shuffled, TRADE, merged=True).documents
+    d = assemble(TRADE_DOCUMENT, trade(spark, sf, scattered=True), TRADE, merged=True).documents
     return d.select(F.col(ID).alias("root"), F.array_join(F.transform("document.elements.lines", lambda l: l[ID]), " ").alias("lines"))
 
 
@@ -750,7 +752,9 @@ def e5_document_json(spark, sf):
 WITH n AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, ROW_NUMBER() OVER (ORDER BY CAST(o_orderkey AS VARCHAR)) - 1 AS i FROM orders)
 SELECT printf('%012d', CAST(i // 100 AS BIGINT)) AS batch_id, COUNT(*) AS documents, MIN(id) AS first, MAX(id) AS last, 'trade' AS exchange FROM n GROUP BY i // 100""")
 def e6_submission_batches(spark, sf):
-    b = submission_batches(trade_documents(spark, sf).documents, "trade", "1.0.0", "town", 100)
+    tables = trade(spark, sf)
+    documents = assemble(TRADE_DOCUMENT, tables, TRADE, merged=True).documents
+    b = submission_batches(documents, "trade", "1.0.0", "town", 100, ids=tables["Order"])
     return b.select("batch_id", F.col("documents").cast("bigint").alias("documents"), F.array_min("document_ids").alias("first"),
                     F.array_max("document_ids").alias("last"), F.get_json_object("body", "$.exchange").alias("exchange"))
 

@@ -7,14 +7,16 @@ rows, whatever their number, for readers that cannot take one large value.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from caselake.functions.text import iso_instant
 from caselake.model import ID, CanonicalType, Model
 from caselake.operators.merge import merge_rows
 from caselake.operators.ordering import with_row_index
+from caselake.session import materialise
 
 
 class AssemblyRefused(ValueError):
@@ -136,6 +138,10 @@ def _has_fields(t: CanonicalType) -> Column:
     return any_
 
 
+def by_name(steps: tuple[Follow, ...]) -> list[Follow]:
+    return sorted(steps, key=lambda s: s.name)
+
+
 @dataclass
 class Assembled:
     documents: DataFrame                     # canonicalId, document (struct), size
@@ -167,34 +173,27 @@ def assemble(spec: Assembly, tables: dict[str, DataFrame], model: Model,
         return ready[name]
 
     def nested(type_name: str, steps: tuple[Follow, ...]) -> DataFrame:
-        """(id, node, size): the element and everything below it, once per identity."""
+        """(id, fields, a list per step, size): what an element holds, once per identity."""
         t, rows = model[type_name], rows_of(type_name)
         base = rows.select(F.col(ID).alias("id"), json_fields(t, rows).alias("fields"))
         size, lists = F.lit(1).cast("bigint"), []
-        for i, s in enumerate(sorted(steps, key=lambda s: s.name)):
+        for i, s in enumerate(by_name(steps)):
             children = links(type_name, s)
             base = base.join(children.select(
                 F.col("anchor").alias(f"a{i}"), F.col("items").alias(f"i{i}"),
                 F.col("size").alias(f"z{i}")), F.col("id") == F.col(f"a{i}"), "left")
             item_type = base.schema[f"i{i}"].dataType
-            lists.append(F.coalesce(F.col(f"i{i}"), F.array().cast(item_type)).alias(s.name))
+            lists.append(F.coalesce(F.col(f"i{i}"), F.array().cast(item_type)).alias(f"l{i}"))
             size = size + F.coalesce(F.col(f"z{i}"), F.lit(0))
-        parts = [F.lit(type_name).alias("type"), F.col("id").alias(ID), F.col("fields")]
-        if lists:
-            parts.append(F.struct(*lists).alias("elements"))
-        return base.select("id", F.struct(*parts).alias("node"), size.alias("size"))
+        return base.select("id", "fields", *lists, size.alias("size"))
 
     def links(at_type: str, s: Follow) -> DataFrame:
         t = model[s.association]
         anchor, target = anchor_role(t, s.role, at_type), t.role(s.role).target
         rows = rows_of(s.association)
-        via = [F.lit(s.association).alias("type"), F.col(ID).alias(ID)]
-        has = _has_fields(t)
-        if t.fields:
-            via.append(F.when(has, json_fields(t, rows)).alias("fields"))
+        said = [F.when(_has_fields(t), json_fields(t, rows)).alias("via")] if t.fields else []
         link = rows.filter(F.col(anchor)["id"].isNotNull() & F.col(s.role)["id"].isNotNull()).select(
-            F.col(anchor)["id"].alias("anchor"), F.col(s.role)["id"].alias("target"), F.col(ID).alias("link_id"),
-            F.struct(*via).alias("via"))
+            F.col(anchor)["id"].alias("anchor"), F.col(s.role)["id"].alias("target"), F.col(ID).alias("link_id"), *said)
         child = nested(target, s.follow)
         # Ids alone say which links lead nowhere; the elements below are not built for it.
         lost = link.join(rows_of(target).select(F.col(ID).alias("target")), "target", "left_anti")
@@ -203,19 +202,30 @@ def assemble(spec: Assembly, tables: dict[str, DataFrame], model: Model,
                                   F.lit(s.association).alias("association"), F.lit(s.role).alias("role"),
                                   F.lit(target).alias("target_type"), F.col("target").alias("target_id")))
         found = link.join(child, F.col("target") == F.col("id"))
-        node = [F.col("node")[c].alias(c) for c in ("type", ID, "fields")]
-        tail = [F.col("node")["elements"].alias("elements")] if s.follow else []
-        element = F.struct(F.col("target").alias("_t"), F.col("link_id").alias("_l"),
-                           F.struct(*node, F.col("via"), *tail).alias("e"))
-        own = F.struct(*node, F.col("via"))
         elements.append(found.select(
             F.lit(at_type).alias("anchor_type"), F.col("anchor").alias("anchor_id"), F.lit(s.name).alias("name"),
-            F.col("target").alias("element_id"), F.to_json(own).alias("element")))
-        gathered = found.groupBy("anchor").agg(F.sum("size").alias("size"), F.sort_array(F.collect_list(element)).alias("sorted"))
-        return gathered.select("anchor", F.transform("sorted", lambda x: x["e"]).alias("items"), "size")
+            F.col("target").alias("element_id"), F.to_json(F.struct(*own(s, found))).alias("element")))
+        # What moves to the anchor is what differs from link to link; ``whole`` adds the rest where the document ends up.
+        element = F.struct("target", "link_id", "fields", *(["via"] if t.fields else []), *[f"l{i}" for i in range(len(s.follow))])
+        return found.groupBy("anchor").agg(F.sum("size").alias("size"), F.sort_array(F.collect_list(element)).alias("items"))
+
+    def own(s: Follow, x: DataFrame | Column) -> list[Column]:
+        """An element without what lies below it."""
+        t = model[s.association]
+        via = [F.lit(s.association).alias("type"), x["link_id"].alias(ID), *([x["via"].alias("fields")] if t.fields else [])]
+        return [F.lit(t.role(s.role).target).alias("type"), x["target"].alias(ID), x["fields"].alias("fields"), F.struct(*via).alias("via")]
+
+    def below(steps: tuple[Follow, ...], x: DataFrame | Column) -> list[Column]:
+        """``elements``, where a type is followed any further."""
+        lists = [F.transform(x[f"l{i}"], whole(s)).alias(s.name) for i, s in enumerate(by_name(steps))]
+        return [F.struct(*lists).alias("elements")] if lists else []
+
+    def whole(s: Follow) -> Callable[[Column], Column]:
+        return lambda x: F.struct(*own(s, x), *below(s.follow, x))
 
     top = nested(spec.root, spec.follow)
-    documents = top.select(F.col("id").alias(ID), F.col("node").alias("document"), "size")
+    node = [F.lit(spec.root).alias("type"), F.col("id").alias(ID), F.col("fields"), *below(spec.follow, top)]
+    documents = top.select(F.col("id").alias(ID), F.struct(*node).alias("document"), "size")
     return Assembled(documents, _union(unresolved, documents, UNRESOLVED), _union(elements, documents, ELEMENTS))
 
 
@@ -233,24 +243,32 @@ def _union(parts: list[DataFrame], like: DataFrame, schema: str) -> DataFrame:
 
 
 def submission_batches(documents: DataFrame, exchange: str, version: str, source_id: str,
-                       size: int = 100, synthetic: bool = False) -> DataFrame:
+                       size: int = 100, synthetic: bool = False, ids: DataFrame | None = None) -> DataFrame:
     """Request bodies of ``size`` documents each, the last one of what is left.
 
     Documents are numbered by identity and cut there, so the same documents give the same batches
-    on any cluster.
+    on any cluster. Only identities are put in order; ``ids`` gives those of the documents, one row each, where they can
+    be had without building the documents. A document itself moves once, to its batch.
     """
     if size < 1:
         raise ValueError("a batch holds at least one document")
-    numbered = with_row_index(documents.select(ID, "document"), [ID]).withColumn(
-        "batch", F.floor(F.col("row_index") / size).cast("bigint"))
-    grouped = numbered.groupBy("batch").agg(F.sort_array(F.collect_list(F.struct(F.col(ID), F.col("document")))).alias("d"))
-    body = F.struct(F.lit(exchange).alias("exchange"), F.lit(version).alias("exchangeVersion"),
-                    F.lit(source_id).alias("sourceId"), F.lit(synthetic).alias("synthetic"),
-                    F.transform("d", lambda x: x["document"]).alias("documents"))
-    return grouped.select(
+    if ids is None:
+        documents = materialise(documents.select(ID, "document"), "documents")
+    # equal identities have numbers in a row; nulls come first
+    first = with_row_index((documents if ids is None else ids).select(ID), [ID]).groupBy(F.col(ID).alias("_id")).agg(F.min("row_index").alias("_first"))
+    again = F.row_number().over(Window.partitionBy(ID).orderBy(ID)) - 1
+    row_index = F.coalesce("_first", F.lit(0)) + again
+    numbered = documents.select(ID, "document").join(first.hint("merge"), F.col(ID) == F.col("_id"), "left") \
+        .select(ID, "document", F.floor(row_index / size).cast("bigint").alias("batch"))
+    text = F.struct(F.col(ID), F.to_json("document").alias("text"))
+    grouped = numbered.groupBy("batch").agg(F.sort_array(F.collect_list(text)).alias("d"))
+    head = F.to_json(F.struct(F.lit(exchange).alias("exchange"), F.lit(version).alias("exchangeVersion"),
+                              F.lit(source_id).alias("sourceId"), F.lit(synthetic).alias("synthetic")))
+    body = F.concat(F.expr("substring(head, 1, length(head) - 1)"), F.lit(',"documents":['),
+                    F.array_join(F.transform("d", lambda x: x["text"]), ","), F.lit("]}"))
+    return grouped.withColumn("head", head).select(
         F.lpad(F.col("batch").cast("string"), 12, "0").alias("batch_id"),
-        F.size("d").alias("documents"), F.transform("d", lambda x: x[ID]).alias("document_ids"),
-        F.to_json(body).alias("body"))
+        F.size("d").alias("documents"), F.transform("d", lambda x: x[ID]).alias("document_ids"), body.alias("body"))
 
 
 def reconcile(batches: DataFrame, answers: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
 """What keeps stored keys, slices, files, words and documents from growing in one place."""
 
 from caselake.catalog import raw
-from caselake.model import ID
+from caselake.model import ID, CanonicalField, CanonicalType, Model, Role
+from caselake.operators.assemble import Assembly, Follow, assemble, submission_batches
 from caselake.operators.buckets import Buckets
 from caselake.operators.search import TokenIndex
 from caselake.operators.store import Tables
@@ -67,3 +68,49 @@ def test_words_are_compared_in_their_document(spark, folder):
     assert sorted((r["token"], r[ID], r["live"]) for r in later.collect()) == [
         ("b", "b", True), ("old", "c", False), ("one", "a", False), ("three", "a", True)]
     assert "HashAggregate" not in plan(later)
+
+
+SHOP, SALE = CanonicalType("Shop", "entity", (CanonicalField("name"),)), CanonicalType("Sale", "entity", (CanonicalField("status"),))
+SOLD = CanonicalType("ShopSale", "association", (CanonicalField("code"),), (Role("shop", "Shop"), Role("sale", "Sale")))
+ITEM = CanonicalType("Item", "entity", (CanonicalField("name"),))
+HAS = CanonicalType("SaleItem", "association", (), (Role("sale", "Sale"), Role("item", "Item")))
+
+
+def documents(spark):
+    t = lambda shape, *rows: spark.createDataFrame(rows, f"{ID} string, " + shape)
+    ref = "struct<typeName:string,id:string>"
+    tables = {"Shop": t("name string", ("s1", "One"), ("s2", "Two"), ("s3", "Three")), "Sale": t("status string", ("a", "O"), ("b", "F")),
+              "ShopSale": t(f"code string, shop {ref}, sale {ref}", ("l2", "c", ("Shop", "s1"), ("Sale", "b")), ("l1", None, ("Shop", "s1"), ("Sale", "a")),
+                            ("l3", "d", ("Shop", "s2"), ("Sale", "a"))),
+              "Item": t("name string", ("i", "thing")), "SaleItem": t(f"sale {ref}, item {ref}", ("h", ("Sale", "a"), ("Item", "i")))}
+    spec = Assembly("Shop", (Follow("ShopSale", "sale", "sales", (Follow("SaleItem", "item", "items"),)),))
+    return assemble(spec, tables, Model.of(SHOP, SALE, SOLD, ITEM, HAS), merged=True)
+
+
+def test_only_what_differs_moves_to_the_anchor(spark):
+    made = documents(spark)
+    text = {r[ID]: r["document"] for r in made.json().collect()}
+    item = '{"type":"Item","canonicalId":"i","fields":{"name":"thing"},"via":{"type":"SaleItem","canonicalId":"h"}}'
+    assert text["s1"] == ('{"type":"Shop","canonicalId":"s1","fields":{"name":"One"},"elements":{"sales":['
+        '{"type":"Sale","canonicalId":"a","fields":{"status":"O"},"via":{"type":"ShopSale","canonicalId":"l1"},"elements":{"items":[' + item + ']}},'
+        '{"type":"Sale","canonicalId":"b","fields":{"status":"F"},"via":{"type":"ShopSale","canonicalId":"l2","fields":{"code":"c"}},"elements":{"items":[]}}]}}')
+    gathered = [line for line in plan(made.documents).splitlines() if "collect_list" in line and "partial" in line]
+    assert gathered and not any("ShopSale" in line or "SaleItem" in line for line in gathered)
+
+
+def test_a_document_moves_once_to_its_batch(spark):
+    made = documents(spark).documents
+    for ids in (None, made.select(ID)):
+        got = submission_batches(made, "x", "1", "town", 2, ids=ids)
+        assert not any("rangepartitioning" in line and "document" in line for line in plan(got).splitlines())
+        rows = sorted(got.collect())
+        assert [(r["batch_id"], r["documents"], r["document_ids"]) for r in rows] == [("0" * 12, 2, ["s1", "s2"]), ("0" * 11 + "1", 1, ["s3"])]
+        s3 = '{"type":"Shop","canonicalId":"s3","fields":{"name":"Three"},"elements":{"sales":[]}}'
+        assert rows[1]["body"] == '{"exchange":"x","exchangeVersion":"1","sourceId":"town","synthetic":false,"documents":[' + s3 + "]}"
+
+
+def test_equal_and_null_identities_are_numbered_like_rows(spark):
+    rows = spark.createDataFrame([(i, (i,)) for i in ("a", "a", "b", None, "c")], f"{ID} string, document struct<k:string>")
+    for ids in (None, rows.select(ID)):
+        got = {r["batch_id"][-1]: r["documents"] for r in submission_batches(rows, "x", "1", "town", 2, ids=ids).collect()}
+        assert got == {"0": 2, "1": 2, "2": 1}
