@@ -1,9 +1,10 @@
 """N-gram Jaccard join with adaptive multi-match prefixes.
 
 A document is its set of distinct word shingles, as 64-bit hashes. Shingles are ordered by how many
-documents hold them: the rare ones by hash, then the frequent ones by count. Frequent are those in
-at least ``FREQUENT`` of all documents, counted over all of them; there can only be so many of these
-(shingles of a document on average, divided by the fraction), so they are sent to every task.
+documents hold them: the rare ones by hash, then the frequent ones by count. Frequent are the
+``MOST_FREQUENT`` that are held most, counted in every batch where they are in ``FREQUENT`` / 2 of its
+documents. A least share of all documents would not do: what falls below it is held by more documents as
+the table grows, and families with it. Their number is bounded, so they are sent to every task.
 
 If two sets of sizes n, m are similar enough they share at least ``o = ceil(t * n)`` shingles, so they
 share at least k of the first ``n - o + k``. Each document takes the k that costs it least: what its
@@ -32,7 +33,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import StructType
 
 from caselake.llm.arrow import slices, texts, tidy, unused
@@ -40,7 +41,8 @@ from caselake.llm.components import components
 from caselake.session import materialise
 
 WORDS, PERCENT = 5, 80
-FREQUENT, MOST_FREQUENT = 0.001, 500_000
+FREQUENT, LEAST_HELD, MOST_FREQUENT = 0.001, 8, 500_000
+WORD_BITS = 18
 MATCHES = (1, 2, 4, 8, 16, 32)
 VERIFY_COST = 8.0
 BLOCK = 1000
@@ -245,22 +247,37 @@ def _families(frame: DataFrame, keys: list[str], fn: Callable[[list[tuple]], Ite
     return frame.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, out)
 
 
+def _perhaps(docs: DataFrame, said: str, hashes: DataFrame, flag: str) -> DataFrame:
+    """Whether a document's hash may be among ``hashes`` (h), by a filter of 2 ** ``WORD_BITS`` words in every task."""
+    word, bits = unused(docs, "filter_word"), unused(docs, "filter_bits")
+    at = lambda c: F.shiftrightunsigned(c, 64 - WORD_BITS)
+    words = hashes.groupBy(at("h").alias(word)).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 AS int))")).alias(bits))
+    return docs.withColumn(word, at(said)).join(F.broadcast(words), word, "left") \
+        .withColumn(flag, F.expr(f"coalesce(shiftright({bits}, cast({said} & 63 AS int)) & 1, 0) = 1")).drop(word, bits)
+
+
 def _classes(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Every document with its set's id, and the components among these ids."""
     spark = docs.sparkSession
     survey = materialise(_surveyed(docs, words), "sets")
     sets = survey.where("held IS NULL").drop("held")
     often = survey.where("held IS NOT NULL").groupBy("id").agg(F.sum("held").alias("held"))
-    often = often.where(F.col("held") >= max(8, FREQUENT * sets.count())).orderBy(F.desc("held"), "id").limit(MOST_FREQUENT).toPandas()
+    often = often.where(F.col("held") >= LEAST_HELD).orderBy(F.desc("held"), "id").limit(MOST_FREQUENT).toPandas()
     order = Order(often["id"].to_numpy(np.int64).view(np.uint64), often["held"].to_numpy(np.int64), percent)
     sent = spark.sparkContext.broadcast(order)  # at most MOST_FREQUENT shingles; which, changes no result
     prefixes = materialise(_prefixes(docs, words, sent), "prefixes")
     # whoever is similar shares a shingle of the shortest prefixes, so these alone bring documents together
-    shortest = F.slice("prefix", F.lit(1), (F.size("prefix") - F.col("matches") + 1).cast("int"))
-    tokens = prefixes.select(F.explode(shortest).alias("token"), "id")
-    led = tokens.groupBy("token").agg(F.min("id").alias("leader"), F.max("id").alias("last")) \
-        .where(F.col("leader") < F.col("last")).select("token", "leader")
-    pairs = materialise(tokens.join(led, "token").select("leader", "id").distinct(), "families")
+    tokens = prefixes.select("id", "matches", F.size("prefix").alias("size"), F.posexplode("prefix").alias("at", "token")) \
+        .select("token", "id", (F.col("at") <= F.col("size") - F.col("matches")).alias("short"))
+    alike, short = Window.partitionBy("token"), F.when(F.col("short"), F.col("id"))
+    met = tokens.select("token", "id", "short", F.min("id").over(alike).alias("low"), F.max("id").over(alike).alias("high"),
+                        F.min(short).over(alike).alias("leader"), F.max(short).over(alike).alias("last")).where("low < high")
+    # 31 bits of a shingle: two that look alike make candidates at most, whose whole sets are compared
+    shared = materialise(met.select("id", F.col("token").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("mark"), F.when(
+        F.col("short") & (F.col("leader") < F.col("last")), F.col("leader")).alias("leader")), "shared")
+    pairs = materialise(shared.where("leader IS NOT NULL").select("leader", "id").distinct(), "families")
+    # a shingle of a single prefix is no match, so only the others are counted against each other
+    marks = shared.groupBy("id").agg(F.collect_list("mark").alias("prefix")).join(prefixes.select("id", "n", "matches"), "id")
     blocks = pairs.groupBy("leader").agg(F.ceil(F.count("*") / BLOCK).alias("n_blocks"))
     # each member goes to the pair of its block with every block, itself included
     placed = pairs.join(blocks, "leader").withColumn("block", F.pmod(F.xxhash64("id"), F.col("n_blocks"))) \
@@ -269,29 +286,34 @@ def _classes(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Data
     keys = ["leader", "low", "high"]
 
     def meet(own: list[tuple]) -> Iterator[tuple]:
+        import xxhash
+
         if len(own) > 1:
-            leader, low, high, ids, block, n, matches, taken = zip(*own)
-            label = candidates(np.array(n), np.array(matches), list(taken), np.array(block) != low[0], percent)
-            size = np.bincount(label)
-            for i, x in enumerate(label.tolist()):
-                if size[x] > 1:
-                    yield leader[i], low[i], high[i], x, ids[i], block[i]
-
-    met = materialise(_families(placed.join(prefixes, "id").select(*keys, "id", "block", "n", "matches", "prefix"), keys, meet,
-                                "leader long, low long, high long, part long, id long, block long"), "candidates")
+            _, low, _, ids, block, n, matches, taken = zip(*sorted(own, key=lambda r: r[3]))
+            side, ids = np.array(block) != low[0], np.array(ids)
+            label = candidates(np.array(n), np.array(matches), list(taken), side, percent)
+            for x in np.flatnonzero(np.bincount(label) > 1):
+                members = label == x
+                part = xxhash.xxh3_64_intdigest(ids[members].tobytes() + side[members].tobytes()) >> 1
+                yield from ((part, i, s) for i, s in zip(ids[members].tolist(), side[members].tolist()))
+
+    # the same members met under several leaders are one part, compared once
+    met = materialise(_families(placed.join(marks, "id").select(*keys, "id", "block", "n", "matches", "prefix"), keys, meet,
+                                "part long, id long, side boolean").distinct(), "candidates")
     first = sets.where("n_shingles > 0").groupBy("id").agg(F.min(F.struct("doc_id", "said")).alias("row"))
-    asked = met.join(first, "id").select(*keys, "part", "id", "block", F.col("row.doc_id").alias("d"), F.col("row.said").alias("s"))
+    asked = met.join(first, "id").select("part", "id", "side", F.col("row.doc_id").alias("d"), F.col("row.said").alias("s"))
     asked = materialise(asked, "asked")  # with a known size, a small one is sent to the texts
-    told = docs.withColumn("said", F.xxhash64("text")).join(
-        asked, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("said") == F.col("s"))).select(*keys, "part", "id", "block", "text")
+    # only texts that may be asked for are moved
+    told = _perhaps(docs.withColumn("said", F.xxhash64("text")), "said", asked.select(F.col("s").alias("h")), "perhaps").where("perhaps").join(
+        asked, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("said") == F.col("s"))).select("part", "id", "side", "text")
 
     def verify(own: list[tuple]) -> Iterator[tuple]:
         if len(own) > 1:
-            _, low, _, _, ids, block, said = zip(*own)
-            label = links(list(said), np.array(block) != low[0], sent.value, words)
+            _, ids, side, said = zip(*own)
+            label = links(list(said), np.array(side), sent.value, words)
             yield from ((ids[x], ids[i]) for i, x in enumerate(label.tolist()) if i != x)
 
-    return sets, components(_families(told, [*keys, "part"], verify, "a long, b long"))
+    return sets, components(_families(told, ["part"], verify, "a long, b long"))
 
 
 def groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -320,5 +342,9 @@ def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     key, said = unused(docs, "key_id"), unused(docs, "key_text")
     dropped = materialise(dropped.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")).alias(key),
                                          F.col("said").alias(said)).distinct(), "dropped")
-    return docs.withColumn(key, F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).withColumn(said, F.xxhash64("text")) \
-        .join(dropped, [key, said], "left_anti").select(*docs.columns)
+    perhaps = unused(docs, "perhaps")
+    marked = _perhaps(docs.withColumn(key, F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).withColumn(said, F.xxhash64("text")),
+                      said, dropped.select(F.col(said).alias("h")), perhaps)
+    # documents that no dropped text resembles stay where they are
+    return marked.where(~F.col(perhaps)).select(*docs.columns).unionByName(
+        marked.where(perhaps).join(dropped, [key, said], "left_anti").select(*docs.columns))

@@ -110,6 +110,32 @@ def test_copies_enter_a_family_once(spark, monkeypatch):
     assert seen and all(rows == distinct for rows, distinct in seen)
 
 
+def test_families_count_shared_shingles_alone(spark, monkeypatch):
+    """What no other set holds is not sent to a family, and the same members under several leaders are compared once."""
+    sent, parts, families = [], [], jaccard._families
+
+    def counted(frame, keys, fn, schema):
+        if "prefix" in frame.columns:
+            sent.extend(frame.collect())
+        elif "text" in frame.columns:
+            parts.extend((r[keys[0]], r["id"]) for r in frame.collect())
+        return families(frame, keys, fn, schema)
+
+    monkeypatch.setattr(jaccard, "_families", counted)
+    rng = random.Random(5)
+    texts = [t for _ in range(12) for t in family(rng, 3, 2, 80)]
+    got = jaccard.groups(spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate(texts)], DOCS).repartition(4), 4, 60).collect()
+    sets = plain_sets(texts, 4)
+    want = smallest_reachable(len(texts), [(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if similar(sets[a], sets[b], 60)])
+    assert [r.component_id for r in sorted(got)] == want
+    held = Counter(m for _, marks in {(r.id, tuple(r.prefix)) for r in sent} for m in set(marks))
+    assert sent and min(held.values()) > 1
+    members = {}
+    for part, i in parts:
+        members.setdefault(part, []).append(i)
+    assert parts and len({tuple(sorted(m)) for m in members.values()}) == len(members)
+
+
 def test_rows_with_odd_ids_in_groups(spark):
     t = "one two three four five six seven"
     docs = spark.createDataFrame([(None, t, "a", None), (3, t, "b", None), (3, t, "b", None), (2, None, "c", None), (2, "", "c", None), (None, "alone in here with nobody", None, None)], DOCS)
