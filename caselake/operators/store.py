@@ -72,10 +72,10 @@ class Tables:
         entry = {"version": version, "generation": generation, "path": path, "schema": df.schema.json()}
         if touched is None:
             seen = Observation()
-            df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("error").parquet(f"{self.root}/{path}")
+            df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("error").option("compression", "zstd").parquet(f"{self.root}/{path}")
             return {**entry, "records": seen.get.get("n", 0)}
         # the newer page format has delta encodings, which suit sorted keys
-        df.write.mode("error").partitionBy(BUCKET).option("parquet.writer.version", "PARQUET_2_0").parquet(f"{self.root}/{path}")
+        df.write.mode("error").partitionBy(BUCKET).option("parquet.writer.version", "PARQUET_2_0").option("compression", "zstd").parquet(f"{self.root}/{path}")
         schema = T.StructType([T.StructField(BUCKET, T.IntegerType())])   # no column is read: footers and folder names
         held = self.spark.read.schema(schema).parquet(f"{self.root}/{path}").groupBy(BUCKET).count().collect()
         rows = {str(b): 0 for b in touched} | {str(r[BUCKET]): r["count"] for r in held}

@@ -223,7 +223,8 @@ class MappedRun:
         if tag not in self.answered:
             resolver, entity_type = self.asks[tag]
             rows = self.wide.filter(F.col(tag + "ask").isNotNull()).select("ord", F.col("envelope_id").alias("record_key"), tag + "ask.*")
-            self.answered[tag] = materialise(resolver(rows, entity_type).select("ord", F.col("cluster_id").alias("id")), "identities")
+            answer = getattr(resolver, "answers", resolver)
+            self.answered[tag] = materialise(answer(rows, entity_type).select("ord", F.col("cluster_id").alias("id")), "identities")
         return self.answered[tag]
 
     def _completed(self, rows: DataFrame, real: bool) -> DataFrame:

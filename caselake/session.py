@@ -74,5 +74,5 @@ def materialise(df: DataFrame, label: str = "step") -> DataFrame:
     """Write once, read back: one computation, columnar, and independent of the lineage."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.mode("error").parquet(path)
+    df.write.mode("error").option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -76,7 +76,7 @@ class Bronze:
             "batch_id": batch_name(F.col("batch_no")),
             "ord": F.shiftleft("batch_no", ORD_BITS).bitwiseOR(F.col("seq"))}).drop("row_index", "source_id")
         path = f"{self.root}/data/source_id={source_id}/landing={landing_id}"
-        stored.write.mode("overwrite").parquet(path)      # leftovers of a failed try are replaced
+        stored.write.mode("overwrite").option("compression", "zstd").parquet(path)      # leftovers of a failed try are replaced
         written = self.spark.read.parquet(path)
         receipts = written.groupBy("batch_no", "batch_id").agg(
             F.lit(source_id).alias("source_id"), F.count("*").alias("record_count"),

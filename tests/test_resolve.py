@@ -162,3 +162,14 @@ def test_tenants_types_and_providers(spark):
     table = who.assignment_table(resolved(spark, rows).assignments.withColumn("record_key", F.lit("same")))
     assert table.count() == 1
     assert who.capabilities()["tiers"] == ["DL", "SSN", "NAME_DOB"]
+
+
+def test_answers_are_the_clusters_of_the_assignments(spark):
+    """Without the joins by record that evidence needs; a repeated or missing order number keeps its rows."""
+    rng = random.Random(8)
+    rows = [sighting(i, dl=f"L{rng.randrange(60)}" if rng.random() < .5 else None, ssn=f"{rng.randrange(60)}" if rng.random() < .3 else None,
+                     sur=f"S{rng.randrange(40)}" if rng.random() < .7 else None, dob="1900-01-01") for i in range(300)]
+    rows += rows[:40] + [(None, "n1", "L1", None, None, None, None), (None, "n2", None, None, None, None, None)]
+    result = resolved(spark, rows)
+    told = lambda df: sorted(map(tuple, df.select("ord", "cluster_id").collect()), key=str)
+    assert result.answers.columns == ["ord", "cluster_id"] and told(result.answers) == told(result.assignments)
