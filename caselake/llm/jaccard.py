@@ -2,8 +2,8 @@
 
 A document is its set of distinct word shingles, as 64-bit hashes. Shingles are ordered by how many
 documents hold them: the rare ones by hash, then the frequent ones by count. Frequent are the
-``MOST_FREQUENT`` that are held most, counted in every batch where they are in ``FREQUENT`` / 2 of its
-documents. A least share of all documents would not do: what falls below it is held by more documents as
+``MOST_FREQUENT`` that are held most, counted in every run of a task's documents (``RUN_DOCS`` of them, or
+``RUN_SHINGLES``) where they are in ``FREQUENT`` / 2 of it. A least share of all documents would not do: what falls below it is held by more documents as
 the table grows, and families with it. Their number is bounded, so they are sent to every task.
 
 If two sets of sizes n, m are similar enough they share at least ``o = ceil(t * n)`` shingles, so they
@@ -36,15 +36,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import StructType
 
-from caselake.llm.arrow import slices, texts, tidy, unused
+from caselake.llm.arrow import released, settings, slices, texts, tidy, unused
 from caselake.llm.components import components
-from caselake.session import materialise
+from caselake.session import SMALL_BATCHES, materialise
 
 WORDS, PERCENT = 5, 80
 FREQUENT, LEAST_HELD, MOST_FREQUENT = 0.001, 8, 500_000
 WORD_BITS = 18
 MATCHES = (1, 2, 4, 8, 16, 32)
 VERIFY_COST = 8.0
+RUN_DOCS, RUN_SHINGLES = 10_000, 1 << 22
+PARTS = 8
 BLOCK = 1000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -104,28 +106,43 @@ def set_id(shingle: np.ndarray) -> int:
     return int(signed(np.array([xxhash.xxh3_64_intdigest(shingle.tobytes())], np.uint64))[0])
 
 
+def frequent(sets: list[np.ndarray], least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Shingles that at least ``least`` of some sorted sets hold, and how many do; one range of hashes after the other."""
+    bounds = np.arange(1, PARTS, dtype=np.uint64) * np.uint64((1 << 64) // PARTS)
+    cuts = [[0, *np.searchsorted(s, bounds).tolist(), len(s)] for s in sets]
+    for k in range(PARTS):
+        every = np.concatenate([s[c[k]:c[k + 1]] for s, c in zip(sets, cuts)])
+        every.sort()
+        token, count = np.unique(every[np.flatnonzero(every[least - 1:] == every[:max(0, len(every) - least + 1)])], return_counts=True)
+        yield token, count + least - 1
+
+
 def _surveyed(docs: DataFrame, words: int) -> DataFrame:
-    """A row per document (its set's id and size) and, with ``held``, a row per shingle frequent in a batch."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingles(t, words) for part in slices([batch]) for t in texts(part.column("text"))]
-            own = [(len(s), set_id(s)) for s in sets]
-            least = max(3, int(FREQUENT / 2 * len(sets)))
-            every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-            del sets
-            every.sort()
-            token, count = np.unique(every[np.flatnonzero(every[least - 1:] == every[:max(0, len(every) - least + 1)])], return_counts=True)
-            count += least - 1
+    """A row per document (its set's id and size) and, with ``held``, a row per shingle frequent in a run of documents."""
+    names = ["doc_id", "said", "n_shingles", "id", "held"]
+
+    def counted(sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for token, count in frequent(sets, max(3, int(FREQUENT / 2 * len(sets)))):
             none = pa.nulls(len(token), pa.int64())
-            keys = [pa.concat_arrays([batch.column(c).cast(pa.int64()), none]) for c in ("doc_id", "said")]
+            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(signed(token)), pa.array(count.astype(np.int64))], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets, held = [], 0
+        for batch in slices(batches):
+            new = [shingles(t, words) for t in texts(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([
-                *keys, pa.concat_arrays([pa.array([n for n, _ in own], pa.int64()), none]),
-                pa.array(np.concatenate([np.array([i for _, i in own], np.int64), signed(token)])),
-                pa.concat_arrays([pa.nulls(len(own), pa.int64()), pa.array(count.astype(np.int64))])],
-                names=["doc_id", "said", "n_shingles", "id", "held"])
+                *(batch.column(c).cast(pa.int64()) for c in ("doc_id", "said")), pa.array([len(s) for s in new], pa.int64()),
+                pa.array([set_id(s) for s in new], pa.int64()), pa.nulls(len(new), pa.int64())], names=names)
+            sets += new
+            held += sum(map(len, new))
+            if len(sets) >= RUN_DOCS or held >= RUN_SHINGLES:
+                yield from counted(sets)
+                sets, held = [], 0
+        if sets:
+            yield from counted(sets)
 
     return docs.select("doc_id", F.xxhash64("text").alias("said"), "text").mapInArrow(
-        run, "doc_id long, said long, n_shingles long, id long, held long")
+        released(run), "doc_id long, said long, n_shingles long, id long, held long")
 
 
 def _prefixes(docs: DataFrame, words: int, sent) -> DataFrame:
@@ -146,7 +163,7 @@ def _prefixes(docs: DataFrame, words: int, sent) -> DataFrame:
                     [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(matches, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))],
                     names=["id", "n", "matches", "prefix"])
 
-    return docs.select("text").mapInArrow(run, "id long, n long, matches long, prefix array<long>").dropDuplicates(["id"])
+    return docs.select("text").mapInArrow(released(run), "id long, n long, matches long, prefix array<long>").dropDuplicates(["id"])
 
 
 class Marked:
@@ -244,7 +261,7 @@ def _families(frame: DataFrame, keys: list[str], fn: Callable[[list[tuple]], Ite
         if made:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made), arrow)], schema=arrow)
 
-    return frame.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, out)
+    return frame.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(released(run), out)
 
 
 def _perhaps(docs: DataFrame, said: str, hashes: DataFrame, flag: str) -> DataFrame:
@@ -318,7 +335,7 @@ def _classes(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Data
 
 def groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, said (a hash of the text), n_shingles and component_id of every document."""
-    with tidy(docs.sparkSession):
+    with tidy(docs.sparkSession), settings(docs.sparkSession, SMALL_BATCHES):
         sets, found = _classes(docs.select("doc_id", "text"), words, percent)
         # an empty set stands for itself alone
         named = sets.join(found, sets["id"] == found["node"], "left").select(

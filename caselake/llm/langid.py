@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
-from caselake.llm.arrow import slices, texts, unused
+from caselake.llm.arrow import released, slices, texts, unused
 from caselake.session import materialise
 
 TRAIN_ROWS, LEAST_ROWS, TRAIN_CHARS = 4000, 250, 2000
@@ -105,7 +105,7 @@ def text_posteriors(rows: DataFrame, model: tuple[list[str], np.ndarray], keys:
                  pa.array([v if ok else None for v, ok in zip(p.tolist(), lettered)], pa.list_(pa.float64()))],
                 names=out.names)
 
-    return rows.select(*keys, "text").mapInArrow(run, out)
+    return rows.select(*keys, "text").mapInArrow(released(run), out)
 
 
 def host_of(url: Column) -> Column:
@@ -199,7 +199,7 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], keys: list[st
 
     columns = list(dict.fromkeys([*keys, "declared", "host", "domain", "suffix", "loglik", "votes", "host_votes",
                                   "domain_votes", "suffix_votes"]))
-    return joined.select(*columns).mapInArrow(run, out)
+    return joined.select(*columns).mapInArrow(released(run), out)
 
 
 def document_rows(docs: DataFrame) -> DataFrame:

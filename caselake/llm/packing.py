@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from caselake.llm.arrow import slices, texts
+from caselake.llm.arrow import released, slices, texts
 from caselake.llm.bpe import encoder
 
 MAX_LENGTH = 1024
@@ -54,7 +54,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, longest: int = MAX_LENGTH
                     [pa.array(c, pa.binary() if f.name == "ids" else pa.int64()) for c, f in zip(columns, fields)],
                     names=[f.name for f in fields])
 
-    return docs.select("doc_id", "text").mapInArrow(run, StructType(fields)) \
+    return docs.select("doc_id", "text").mapInArrow(released(run), StructType(fields)) \
         .withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long")) \
         .withColumn("bucket", F.col("length"))
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from caselake.llm.arrow import map_rows, unused
+from caselake.llm.arrow import map_rows, released, unused
 from caselake.session import materialise
 
 KEY = b"surrogates"
@@ -220,7 +220,7 @@ def surrogates(entities: DataFrame, key: bytes = KEY) -> DataFrame:
                     + [pa.array([surrogate(key, *r) for r in rows], pa.string())],
                     names=["kind", "canonical", "attempt", "surrogate"])
         return frame.select("kind", "canonical", "attempt").mapInArrow(
-            run, "kind string, canonical string, attempt int, surrogate string")
+            released(run), "kind string, canonical string, attempt int, surrogate string")
 
     real = entities.select("kind", F.col("canonical").alias("surrogate"), F.lit(True).alias("real"))
     waiting = entities.select("kind", "canonical", F.lit(0).alias("attempt"))
@@ -279,7 +279,7 @@ def with_surrogates(docs: DataFrame, key: bytes = KEY, counted: str | None = Non
                 new.append(said[at:] if not edits else "".join(out) + said[at:])
             yield batch.set_column(batch.schema.get_field_index(text), text, pa.array(new, pa.string()))
 
-    moved = joined.mapInArrow(replace, out_type)
+    moved = joined.mapInArrow(released(replace), out_type)
     number = F.coalesce(F.size(F.filter(changes, lambda e: e["kind"] != "host")), F.lit(0)).cast("long")
     still = docs.where(~maybe())
     if counted:

@@ -26,6 +26,10 @@ PINNED = {
 }
 
 
+# Arrow batches lie outside the heap, doubled while they grow; ten thousand rows of text would take some 100 MB a task.
+SMALL_BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
+
+
 def build_session(app: str = "caselake", master: str | None = None, conf: dict | None = None) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:

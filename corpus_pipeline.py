@@ -5,11 +5,27 @@ Each stage takes all documents that its predecessor kept, written as Parquet and
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from caselake.llm import decontam, jaccard, langid, packing, pii
-from caselake.session import materialise
+from caselake.session import SMALL_BATCHES, materialise
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def in_small_batches(stage: Stage) -> Stage:
+    """A stage whose rows go to Python in small batches, also those that whoever takes its result lets it work out."""
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        for key, value in SMALL_BATCHES.items():
+            spark.conf.set(key, value)
+        return stage(spark, docs, sf_dir)
+
+    return run
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +55,9 @@ def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
 
 
-STAGES = [("language ID", language), ("n-gram Jaccard join", near_duplicates), ("benchmark decontamination", decontamination),
-          ("PII", personal_data), ("packing", sequences)]
+STAGES = [(name, in_small_batches(stage)) for name, stage in (
+    ("language ID", language), ("n-gram Jaccard join", near_duplicates), ("benchmark decontamination", decontamination),
+    ("PII", personal_data), ("packing", sequences))]
 # Models, alignments and tokenizers are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 

@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from caselake.llm import decontam, jaccard, packing, suffixes, vectors
+from caselake.llm import arrow, decontam, jaccard, packing, suffixes, vectors
 from caselake.llm.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -136,6 +136,59 @@ def test_families_count_shared_shingles_alone(spark, monkeypatch):
     assert parts and len({tuple(sorted(m)) for m in members.values()}) == len(members)
 
 
+def test_shingles_are_counted_over_small_batches(spark, monkeypatch):
+    """However few rows a batch has, what a task's documents share is counted over all of them."""
+    docs = spark.createDataFrame([(i, f"a common line and w{i} of its own", "x", "y") for i in range(8)], DOCS).coalesce(1)
+    with arrow.settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": "2"}):
+        rows = jaccard._surveyed(docs, 3).collect()
+        monkeypatch.setattr(jaccard, "RUN_DOCS", 4)
+        runs = jaccard._surveyed(docs, 3).collect()
+    assert sorted(r.held for r in rows if r.held) == [8, 8, 8] and sorted(r.held for r in runs if r.held) == [4] * 6
+    assert sorted(r.doc_id for r in rows if r.held is None) == list(range(8))
+
+
+def test_ranges_of_shingles_count_as_the_whole():
+    rng = np.random.default_rng(3)
+    pool = rng.integers(0, 1 << 64, 60, dtype=np.uint64)
+    sets = [np.unique(rng.choice(pool, rng.integers(0, 25))) for _ in range(40)] + [np.array([0, (1 << 64) - 1], np.uint64)] * 9
+    for least in (3, 8):
+        got = [x for t, c in jaccard.frequent(sets, least) for x in zip(t.tolist(), c.tolist())]
+        assert got == sorted((t, c) for t, c in Counter(x for s in sets for x in s.tolist()).items() if c >= least)
+
+
+def test_workers_get_few_bytes_at_a_time(spark, monkeypatch):
+    import corpus_pipeline
+
+    def small(batches, rows=1000):
+        for batch in batches:
+            assert batch.nbytes < 10_000_000
+            yield from arrow.slices([batch], rows)
+
+    for module in (jaccard, packing):
+        monkeypatch.setattr(module, "slices", small)
+    docs = spark.createDataFrame([(i, f"{i} " + "some words " * 50_000, "en", "y") for i in range(30)], DOCS).coalesce(1).drop("said")
+    assert len(jaccard.groups(docs).collect()) == 30
+    assert {r.doc_id for r in corpus_pipeline.STAGES[-1][1](spark, docs, SF).select("doc_id").distinct().collect()} == set(range(30))
+
+
+def test_a_task_gives_back_what_it_freed():
+    def held():
+        with open("/proc/self/smaps_rollup") as f:
+            return sum(int(line.split()[1]) for line in f if line.startswith("Pss_Anon")) / 1024
+
+    def run(batches):
+        blocks = [np.ones(100_000, np.uint8) for _ in range(1200)]
+        last = blocks[::60]  # what stands between freed blocks keeps the heap from shrinking by itself
+        del blocks
+        yield from batches
+        kept.extend(last)
+
+    kept = []
+    before = held()
+    assert list(arrow.released(run)(iter(["batch"]))) == ["batch"] and len(kept) == 20
+    assert held() - before < 40
+
+
 def test_rows_with_odd_ids_in_groups(spark):
     t = "one two three four five six seven"
     docs = spark.createDataFrame([(None, t, "a", None), (3, t, "b", None), (3, t, "b", None), (2, None, "c", None), (2, "", "c", None), (None, "alone in here with nobody", None, None)], DOCS)
