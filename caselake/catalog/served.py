@@ -167,9 +167,9 @@ def r1_replay(spark, sf):
     bronze = landed_dispatch(spark, sf)
     silver = Silver(Tables(spark, scratch_path(spark, "silver"), "town"), MODEL)
     resolvers = {"deterministic": deterministic("town")}
-    execute(bronze, silver, mapped.DISPATCH, resolvers, "run")
+    execute(bronze, silver, mapped.DISPATCH, resolvers, "run").run.let_go()
     before = {t: silver.store.read(t) for t in silver.counts()}
-    replay(ReplayRequest("dispatch", mapped.DISPATCH.qualified), bronze, silver, mapped.DISPATCH, resolvers)
+    replay(ReplayRequest("dispatch", mapped.DISPATCH.qualified), bronze, silver, mapped.DISPATCH, resolvers).run.let_go()
     out = None
     for t, old in before.items():
         one = side_by_side(versions.digest(silver.read(t)).select(F.lit(t).alias("type"), F.col("rows").alias("records"), "digest"),

@@ -17,6 +17,7 @@ from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, Observation, SparkSession, Window, functions as F, types as T
 
+from caselake.session import SHUFFLES_GO, settings
 from caselake.sources.files_meta import Markers, claim_tenant
 
 
@@ -72,7 +73,8 @@ class Tables:
         entry = {"version": version, "generation": generation, "path": path, "schema": df.schema.json()}
         if touched is None:
             seen = Observation()
-            df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("error").option("compression", "zstd").parquet(f"{self.root}/{path}")
+            with settings(self.spark, SHUFFLES_GO):
+                df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("error").option("compression", "zstd").parquet(f"{self.root}/{path}")
             return {**entry, "records": seen.get.get("n", 0)}
         # the newer page format has delta encodings, which suit sorted keys
         df.write.mode("error").partitionBy(BUCKET).option("parquet.writer.version", "PARQUET_2_0").option("compression", "zstd").parquet(f"{self.root}/{path}")

@@ -52,7 +52,8 @@ def execute(bronze: Bronze, silver: Silver, mapping: Mapping, resolvers: dict[st
             first: str | None = None, last: str | None = None, sinks: dict[str, Sink] | None = None,
             rewrite: bool = False, rejects: Tables | None = None) -> RunResult:
     """Read a range of the raw store, map it, write silver and what was held back, feed the projections."""
-    run = run_mapping(bronze.read(mapping.source_id, first, last), mapping, resolvers, run_id)
+    run = run_mapping(bronze.read(mapping.source_id, first, last), mapping, resolvers, run_id,
+                      bronze.at_most(mapping.source_id, first, last))
     tables = run.by_type()
     commits = silver.rewrite(tables) if rewrite else silver.append(tables)
     written = {c.name: silver.read(c.name) if rewrite else tables[c.name] for c in commits}

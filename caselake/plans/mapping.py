@@ -21,9 +21,10 @@ from caselake.functions.decode import Delimited, decode
 from caselake.functions.text import is_stated
 from caselake.functions.transforms import FAILURE_TYPE, MappingRefused, Scope, Step, Typed, build
 from caselake.model import ID, CanonicalType
-from caselake.session import materialise
+from caselake.session import Scratch, materialise
 
 PRODUCED, QUARANTINED, SKIPPED = "produced", "quarantined", "skipped"
+ROWS_PER_BUCKET, ROWS_PER_CORE, MOST_BUCKETS = 1 << 20, 1 << 17, 128     # each task that maps writes a file per bucket
 STEP_TYPES = {"string": T.StringType(), "date": T.DateType(), "timestamp": T.TimestampType(),
               "integer": T.LongType(), "decimal": T.DecimalType(38, 9)}
 
@@ -215,16 +216,25 @@ class MappedRun:
     done: list[_Done]
     asks: dict[str, tuple[Resolver, str]]       # tag of a resolving hop -> who answers, for which type
     late: list[dict[str, Column]]               # columns that rest on answers, in the order of the hops
+    buckets: int = 1                            # in which the rows lie by ``ord``, and the answers too
+    scratch: Scratch = field(default_factory=Scratch)
     answered: dict[str, DataFrame] = field(default_factory=dict)
 
+    def let_go(self) -> None:
+        """Delete the run's rows and answers, once what is wanted of them is stored."""
+        self.scratch.let_go()
+
     # -- identities ---------------------------------------------------------------------
     def identities(self, tag: str) -> DataFrame:
         """(ord, id) for every row that asked."""
         if tag not in self.answered:
             resolver, entity_type = self.asks[tag]
             rows = self.wide.filter(F.col(tag + "ask").isNotNull()).select("ord", F.col("envelope_id").alias("record_key"), tag + "ask.*")
-            answer = getattr(resolver, "answers", resolver)
-            self.answered[tag] = materialise(answer(rows, entity_type).select("ord", F.col("cluster_id").alias("id")), "identities")
+            own = resolver.resolution(rows, entity_type) if hasattr(resolver, "resolution") else None
+            answers = resolver(rows, entity_type) if own is None else own.answers
+            self.answered[tag] = materialise(answers.select("ord", F.col("cluster_id").alias("id")), "identities", "ord", self.buckets, self.scratch)
+            if own is not None and own.assignments is None:     # nobody else has it
+                own.scratch.let_go()
         return self.answered[tag]
 
     def _completed(self, rows: DataFrame, real: bool) -> DataFrame:
@@ -421,8 +431,11 @@ def account_row(counted: DataFrame, hops: int) -> DataFrame:
 
 
 def run_mapping(envelopes: DataFrame, mapping: Mapping, resolvers: dict[str, Resolver] | None = None,
-                run_id: str = "run") -> MappedRun:
-    """``envelopes`` needs ``envelope_id``, a unique ascending ``ord`` and ``payload``."""
+                run_id: str = "run", at_most: int = 0) -> MappedRun:
+    """``envelopes`` needs ``envelope_id``, a unique ascending ``ord`` and ``payload``.
+
+    ``at_most``: how many there are, where that is known. Many lie in buckets of ``ord``, where answers meet them unshuffled.
+    """
     kept = envelopes.select("envelope_id", "ord", "payload")
     frame = _Frame(decode(kept, mapping.decoder, prefix="s_").drop("payload"))
     hops = [(f"h{i}_", hop) for i, hop in enumerate(mapping.ordered())]
@@ -503,7 +516,10 @@ def run_mapping(envelopes: DataFrame, mapping: Mapping, resolvers: dict[str, Res
         frame.df = frame.df.drop(tag + "ok", *[tag + "v_" + f for f in given if f in hop.scratch and tag + "id" not in again])
         done[hop.id] = _Done(hop, tag, emitted, hop.id in waits or bool(again))
     narrow = frame.df.drop(*[tag + "id" for tag in asks], *[c for columns in late for c in columns])
-    return MappedRun(mapping, run_id, materialise(narrow, "mapped"), list(done.values()), asks, late)
+    cores = envelopes.sparkSession.sparkContext.defaultParallelism
+    buckets = min(max(-(-at_most // ROWS_PER_BUCKET), min(cores, at_most // ROWS_PER_CORE), 1), MOST_BUCKETS) if asks else 1
+    scratch = Scratch()
+    return MappedRun(mapping, run_id, materialise(narrow, "mapped", "ord", buckets, scratch), list(done.values()), asks, late, buckets, scratch)
 
 
 def trace(envelopes: DataFrame, mapping: Mapping, hop_id: str) -> DataFrame:

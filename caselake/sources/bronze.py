@@ -14,12 +14,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from caselake.operators.ordering import with_row_index
-from caselake.sources.envelopes import ENVELOPE, content_hash, place
+from caselake.session import SHUFFLES_GO, Scratch, settings
+from caselake.sources.envelopes import ENVELOPE, content_hash, envelope_id, place
 from caselake.sources.files_meta import Markers, claim_tenant
 
 BATCH_SIZE = 1000
 STORED = ENVELOPE + ", batch_no bigint, batch_id string, seq bigint, ord bigint"
 ORD_BITS = 32   # ord = batch number, then place in the batch
+ROW_GROUP = 32 << 20   # bytes; the least that a task reads at once
 RECEIPT = ("batch_no bigint, batch_id string, source_id string, record_count bigint, first_offset string, "
            "last_offset string, latest_asserted timestamp, landed_at timestamp")
 
@@ -65,9 +67,8 @@ class Bronze:
             return before
         done = self._commits(source_id)
         first = max([c["last_batch"] for c in done.values()], default=0) + 1
-        stem, number = place(F.col("offset"))
-        numbered = with_row_index(envelopes.withColumns({"_stem": stem, "_number": number}),
-                                  ["_stem", "_number", "offset", "envelope_id"]).drop("_stem", "_number")
+        scratch = Scratch()
+        numbered = whole(with_row_index(light(envelopes), [*place(F.col("offset")), "offset", _hashes()["envelope_id"]], scratch=scratch))
         if not numbered.filter(~F.col("source_id").eqNullSafe(F.lit(source_id))).isEmpty():
             raise LandingRefused(f"a landing holds one source; some envelopes are not from '{source_id}'")
         batch_no = F.floor(F.col("row_index") / batch_size).cast("bigint") + first
@@ -76,7 +77,9 @@ class Bronze:
             "batch_id": batch_name(F.col("batch_no")),
             "ord": F.shiftleft("batch_no", ORD_BITS).bitwiseOR(F.col("seq"))}).drop("row_index", "source_id")
         path = f"{self.root}/data/source_id={source_id}/landing={landing_id}"
-        stored.write.mode("overwrite").option("compression", "zstd").parquet(path)      # leftovers of a failed try are replaced
+        with settings(self.spark, SHUFFLES_GO):
+            stored.write.mode("overwrite").option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)  # over leftovers of a failed try
+        scratch.let_go()
         written = self.spark.read.parquet(path)
         receipts = written.groupBy("batch_no", "batch_id").agg(
             F.lit(source_id).alias("source_id"), F.count("*").alias("record_count"),
@@ -103,10 +106,16 @@ class Bronze:
     def sources(self) -> list[str]:
         return self.markers.names("commits")
 
+    def _chosen(self, source_id: str, first: int | None, last: int | None) -> list[dict]:
+        return [c for c in self._commits(source_id).values() if c["records"]
+                and (first is None or c["last_batch"] >= first) and (last is None or c["first_batch"] <= last)]
+
+    def at_most(self, source_id: str, first: str | None = None, last: str | None = None) -> int:
+        """The records of the landings that a range touches, by their markers; no data is read."""
+        return sum(c["records"] for c in self._chosen(source_id, _number(first), _number(last)))
+
     def _read(self, kind: str, source_id: str, first: int | None, last: int | None, schema: str) -> DataFrame:
-        chosen = [c for c in self._commits(source_id).values() if c["records"]
-                  and (first is None or c["last_batch"] >= first) and (last is None or c["first_batch"] <= last)]
-        paths = [f"{self.root}/{kind}/source_id={source_id}/landing={c['landing']}" for c in chosen]
+        paths = [f"{self.root}/{kind}/source_id={source_id}/landing={c['landing']}" for c in self._chosen(source_id, first, last)]
         if not paths:
             return self.spark.createDataFrame([], schema)
         names = [f.split()[0] for f in schema.split(", ")]
@@ -148,6 +157,26 @@ class Bronze:
         return rows.select(*cols, *(["payload"] if show_payload else []))
 
 
+def _hashes() -> dict[str, Column]:
+    """What a record's hashes are: the one it has of its own, else the one that follows from its other columns."""
+    body = F.when(F.col("content_hash").isNull(), content_hash(F.col("payload"))).otherwise(F.col("content_hash.own"))
+    return {"content_hash": body, "envelope_id": F.when(F.col("envelope_id").isNull(), envelope_id(F.col("source_id"), F.col("offset"), body))
+            .otherwise(F.col("envelope_id.own"))}
+
+
+def light(envelopes: DataFrame) -> DataFrame:
+    """Hashes that follow from the other columns stay behind, as null; any other value, null too, travels as ``own``."""
+    own = lambda name, follows: F.when(~F.col(name).eqNullSafe(follows), F.struct(F.col(name).alias("own")))
+    return envelopes.withColumns({
+        "content_hash": own("content_hash", content_hash(F.col("payload"))),
+        "envelope_id": own("envelope_id", envelope_id(F.col("source_id"), F.col("offset"), F.col("content_hash")))})
+
+
+def whole(envelopes: DataFrame) -> DataFrame:
+    """What ``light`` left behind, put back."""
+    return envelopes.withColumns(_hashes())
+
+
 def _number(batch_id: str | None) -> int | None:
     if batch_id is None:
         return None
